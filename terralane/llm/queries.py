@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, language_id, packing
+from . import bpe_automaton, fingerprint, language_id, near_dedup, packing
 from .common import documents
 
 
+def op1_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_neighbours(documents(spark, sf_dir))
+
+
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(documents(spark, sf_dir), keep_payload=False)
 
@@ -35,6 +43,8 @@ def op8_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_one_permutation": op1_one_permutation,
+        "op4_superminhash": op4_superminhash,
         "op5_bpe_automaton": op5_bpe_automaton,
         "op6_pack_windows": op6_pack_windows,
         "op8_language_compression": op8_language_compression,
