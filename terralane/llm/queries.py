@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, fingerprint, language_id, near_dedup, packing
+from . import bpe_automaton, fingerprint, language_id, near_dedup, packing, pii
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op8_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_one_permutation": op1_one_permutation,
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe_automaton": op5_bpe_automaton,
         "op6_pack_windows": op6_pack_windows,
         "op8_language_compression": op8_language_compression,
+        "op10_bootstrapped_pii": op10_bootstrapped_pii,
     }
 
 
