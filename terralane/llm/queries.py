@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, fingerprint, language_id, near_dedup, packing, pii
+from . import (
+    bpe_automaton,
+    fingerprint,
+    host_graph,
+    language_id,
+    merkle,
+    near_dedup,
+    packing,
+    pii,
+    sharding,
+)
 from .common import documents
 
 
@@ -15,6 +25,10 @@ def op1_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(documents(spark, sf_dir))
 
 
+def op2_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
 
@@ -27,6 +41,44 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), keep_ids=False)
 
 
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a replica that lost, changed and gained some records."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    at = F.col("page_id") % 211
+    replica = (
+        pages.where(at != 17)
+        .withColumn("html", F.when(at == 5, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
+        .unionByName(pages.where(at == 99).withColumn("page_id", -1 - F.col("page_id")))
+    )
+    found = merkle.audit(merkle.tree(pages), merkle.tree(replica))
+    return found.withColumnRenamed("place", "page_id")
+
+
+_RECORD = (
+    "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || "
+    "'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || "
+    "strlen(coalesce({html}, '')) || chr(13) || chr(10) || chr(13) || chr(10) || "
+    "coalesce({html}, '') || chr(13) || chr(10) || chr(13) || chr(10)"
+)
+OP7_SQL = f"""
+WITH whole AS (
+  SELECT page_id, sha256({_RECORD.format(html="html")}) AS own,
+         sha256({_RECORD.format(html="(html || ' ')")}) AS longer
+  FROM pages
+)
+SELECT page_id, 'changed' AS status, own AS first_hash, longer AS second_hash
+FROM whole WHERE page_id % 211 = 5
+UNION ALL
+SELECT page_id, 'missing', own, NULL FROM whole WHERE page_id % 211 = 17
+UNION ALL
+SELECT -1 - page_id, 'extra', NULL, own FROM whole WHERE page_id % 211 = 99
+"""
+
+
+def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op8_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     models = language_id.learn(docs.where(~language_id.held_out()))
@@ -48,13 +100,16 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_one_permutation": op1_one_permutation,
+        "op2_host_graph": op2_host_graph,
         "op4_superminhash": op4_superminhash,
         "op5_bpe_automaton": op5_bpe_automaton,
         "op6_pack_windows": op6_pack_windows,
+        "op7_merkle_audit": op7_merkle_audit,
         "op8_language_compression": op8_language_compression,
+        "op9_minimax_shards": op9_minimax_shards,
         "op10_bootstrapped_pii": op10_bootstrapped_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_merkle_audit": OP7_SQL}
