@@ -321,10 +321,10 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
         step,
         lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))),
     )
+    # What is touched grows with the corpus, so it is never broadcast.
     keyed = docs.withColumns({"_key_a": _keys()[0], "_key_b": _keys()[1]})
-    joined = keyed.join(
-        touched.withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b"}), ["_key_a", "_key_b"], "left"
-    )
+    renamed = touched.withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b"})
+    joined = keyed.join(renamed.hint("merge"), ["_key_a", "_key_b"], "left")
     out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)

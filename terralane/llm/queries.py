@@ -11,6 +11,7 @@ from . import (
     bpe_automaton,
     fingerprint,
     host_graph,
+    image_descriptors,
     language_id,
     merkle,
     near_dedup,
@@ -29,6 +30,12 @@ def op2_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images drawn from all vectors, with edited copies of the ids that 50 divides."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return image_descriptors.image_copies(image_descriptors.render(vectors))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
 
@@ -101,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_one_permutation": op1_one_permutation,
         "op2_host_graph": op2_host_graph,
+        "op3_image_copies": op3_image_copies,
         "op4_superminhash": op4_superminhash,
         "op5_bpe_automaton": op5_bpe_automaton,
         "op6_pack_windows": op6_pack_windows,
