@@ -270,7 +270,8 @@ def near_duplicates(
     placed = around.join(blocks, "component").select(
         F.col("node").alias("doc_id"), "component", "n_blocks"
     )
-    texts = docs.select("doc_id", "text").join(placed, "doc_id")
+    # The neighbourhoods grow with the corpus, so they are never broadcast.
+    texts = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id")
     links = _confirm(texts, shingle_words, percent, block_docs)
     groups = connected_components(links).withColumnRenamed("node", "head")
     grouped = members.select("doc_id", "head").distinct().join(groups, "head", "left").groupBy("doc_id").agg(
