@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralane.llm import language_id, near_dedup, packing, pii
-from terralane.llm.common import documents, materialize
+from terralane.llm.common import documents, materialize, small_batches
 
 #: The stages rest on compression, signatures and tokenization, which SQL lacks.
 ORACLE_SQL = None
@@ -22,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rejected are texts that are null or without letters and those whose two best
     languages compress alike.
     """
+    small_batches(spark)
     models = language_id.learn(docs)
     judged = language_id.identify(docs, models)
     kept = judged.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred"))
@@ -33,6 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id are one document, of which one row stays.
     """
+    small_batches(spark)
     groups = near_dedup.near_duplicates(docs)
     kept = groups.where("kept").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
@@ -44,11 +46,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; every document stays."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -42,7 +42,14 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
-@lru_cache(maxsize=4)
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """Special strings and their ids; read once, on the driver."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return tuple(sorted((t["content"], t["id"]) for t in spec.get("added_tokens", [])))
+
+
+@lru_cache(maxsize=1)
 def load_vocabulary(path: str):
     """(bytes -> id, merges as id triples in rank order, special text -> id)."""
     with open(path, encoding="utf-8") as f:
@@ -62,7 +69,7 @@ def load_vocabulary(path: str):
     return vocab, merges, specials
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def rank_encoder(ranks_path: str, pattern: str, specials: tuple[tuple[str, int], ...]):
     """A tiktoken encoder over the same vocabulary, given as ranks."""
     import tiktoken

@@ -52,7 +52,23 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch, where the session doesn't say: a few MB of usual texts.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Python workers small: fewer rows a batch than Spark's 10,000.
+
+    Two workers and a JVM share an executor's memory, and workers live on from stage to
+    stage. A session that sets its own number keeps it.
+    """
+    if int(spark.conf.get(_BATCH_KEY)) == 10_000:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

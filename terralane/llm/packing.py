@@ -20,8 +20,8 @@ from .bpe_tables import (
     default_pattern,
     default_ranks,
     default_vocabulary,
-    load_vocabulary,
     rank_encoder,
+    special_tokens,
 )
 from .common import materialize
 
@@ -35,14 +35,14 @@ def encode_documents(
     """doc_id, part, before, n_tokens, ids (packed, two or four bytes each)."""
     source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
+    specials = special_tokens(vocabulary)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        _, _, specials = load_vocabulary(vocabulary)
-        encode = rank_encoder(ranks, pattern, tuple(sorted(specials.items()))).encode_to_numpy
+        encode = rank_encoder(ranks, pattern, specials).encode_to_numpy
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             starts, counts, packed = [], [], []

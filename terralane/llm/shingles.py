@@ -89,7 +89,7 @@ def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(texts)))])
 
 
-def in_portions(column, limit: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def in_portions(column, limit: int = 400_000) -> Iterator[tuple[int, list[bytes]]]:
     """(position of the first, texts as UTF-8) in portions of about ``limit`` bytes."""
     portion, size, first = [], 0, 0
     for i, value in enumerate(column):
