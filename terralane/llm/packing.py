@@ -93,9 +93,8 @@ def pack(
         "packing-ids",
     )
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    offsets = dict(
-        zip([r.part for r in totals], accumulate([0, *(r.n for r in totals[:-1])]), strict=True)
-    )
+    ends = [0, *accumulate(r.n for r in totals)]
+    offsets = {r.part: before for r, before in zip(totals, ends, strict=False)}
     id_type = stored.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, "
