@@ -4,7 +4,9 @@ Everything here is a SQL expression over one row; no Python runs on the executor
 text's word shingles are hashed once. The high bits of a hash name its bin and each
 bin keeps its least hash. An empty bin copies another one: it tries bins in an order
 that a universal hash fixes for it, the same in all documents, until one is filled.
-Of each bin the low four bits are stored, sixteen bins to a long.
+Of each bin the low four bits of a hash of value and bin are stored, sixteen bins to a
+long; without the bin in it, a short text's one value would agree by chance everywhere
+at once.
 """
 
 from __future__ import annotations
@@ -113,7 +115,12 @@ def packed(bins: Column) -> Column:
     """Low bits of all bins as an array of longs; null for a text without shingles."""
     def word(i):
         parts = [
-            F.shiftleft(F.get(bins, F.lit(i * PER_LONG + j)).bitwiseAND((1 << BITS) - 1), BITS * j)
+            F.shiftleft(
+                F.xxhash64(F.get(bins, F.lit(i * PER_LONG + j)), F.lit(i * PER_LONG + j)).bitwiseAND(
+                    (1 << BITS) - 1
+                ),
+                BITS * j,
+            )
             for j in range(PER_LONG)
         ]
         return reduce(lambda a, b: a.bitwiseOR(b), parts)
