@@ -581,3 +581,79 @@ def link_delaunay(points: DataFrame, longest: float | None = None) -> DataFrame:
     ).select(F.col("e.a").alias("src"), F.col("e.b").alias("dst")).distinct()
     out = resolve(points, edges).select("src", "dst", F.col("length").alias("weight"))
     return out if longest is None else out.where(F.col("weight") < longest)
+
+
+def route(nodes: DataFrame, arcs: DataFrame, trips: DataFrame, tolerance: float) -> DataFrame:
+    """id, exists, impedance, path between two places (x1, y1) and (x2, y2) of each trip.
+
+    Both places are snapped to their nearest arc (id, src, dst, x1, y1, x2, y2); the way
+    runs between the arcs' nearer ends and counts the steps to them. A trip whose place
+    has no arc in reach doesn't exist.
+    """
+    from .spatial_joins import snap_to_arcs
+
+    def ends(x: str, y: str, name: str):
+        p = trips.select("id", F.col(x).alias("x"), F.col(y).alias("y"))
+        s = snap_to_arcs(p, arcs, tolerance)
+        a = arcs.select(F.col("id").alias("arc_id"), "src", "dst", "x1", "y1", "x2", "y2")
+        d1 = geodesy.planar_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))
+        d2 = geodesy.planar_distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
+        near = F.least(F.struct(d1.alias("d"), F.col("src").alias("n")), F.struct(d2.alias("d"), F.col("dst").alias("n")))
+        return s.join(a, "arc_id").select(
+            F.col("point_id").alias("id"), near["n"].alias(name), (F.col("distance") + near["d"]).alias(f"{name}_step")
+        )
+
+    placed = trips.select("id").join(ends("x1", "y1", "source"), "id").join(ends("x2", "y2", "target"), "id")
+    half = both_ways(arcs.withColumn("weight", geodesy.planar_distance(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))))
+    found = astar(nodes, half, placed.select("source", "target").distinct(), exact=True)
+    joined = trips.select("id").join(placed, "id", "left").join(found, ["source", "target"], "left")
+    return joined.select(
+        "id",
+        F.coalesce("exists", F.lit(False)).alias("exists"),
+        (F.col("distance") + F.col("source_step") + F.col("target_step")).alias("impedance"),
+        "path",
+    )
+
+
+def spatial_communities(nodes: DataFrame, arcs: DataFrame, radius: float) -> DataFrame:
+    """id, community grown in id order: the strongest link first, within reach of the centre
+    and while modularity does not fall. One task, for networks of the stated bound."""
+    rows = both_ways(arcs).join(nodes.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")), "src", "right")
+
+    def run(frames):
+        table = pd.concat(list(frames), ignore_index=True)
+        place = {int(r.id): (r.sx, r.sy) for r in table.itertuples(index=False)}
+        near: dict = defaultdict(dict)
+        for r in table.dropna(subset=["dst"]).itertuples(index=False):
+            near[int(r.id)][int(r.dst)] = near[int(r.id)].get(int(r.dst), 0.0) + r.weight
+        degree = {n: sum(near[n].values()) for n in place}
+        total = sum(degree.values()) or 1.0
+        home: dict = {}
+        for seed in sorted(place):
+            if seed in home:
+                continue
+            members = [seed]
+            home[seed] = seed
+            while True:
+                cx = sum(place[m][0] for m in members) / len(members)
+                cy = sum(place[m][1] for m in members) / len(members)
+                links: dict = defaultdict(float)
+                for m in members:
+                    for n, w in near[m].items():
+                        if n not in home:
+                            links[n] += w
+                weight = sum(degree[m] for m in members)
+                options = [
+                    (w, -n)
+                    for n, w in links.items()
+                    if (place[n][0] - cx) ** 2 + (place[n][1] - cy) ** 2 <= radius**2 and w - degree[n] * weight / total >= 0
+                ]
+                if not options:
+                    break
+                n = -max(options)[1]
+                home[n] = seed
+                members.append(n)
+        yield pd.DataFrame({"id": list(home), "community": list(home.values())})
+
+    table = rows.select(F.col("src").alias("id"), "dst", "weight", "sx", "sy")
+    return table.coalesce(1).mapInPandas(run, "id bigint, community bigint")

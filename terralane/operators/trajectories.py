@@ -306,3 +306,55 @@ def smooth_heights(vertices: DataFrame, average: bool = False) -> DataFrame:
     z = F.col("z_") * (1 - p) + F.col("z2") * p
     z = (z + F.col("z")) / 2 if average else z
     return v.withColumn("z", F.coalesce(z, F.col("z"))).drop(*at)
+
+
+def in_out_split(points: DataFrame, polygon, min_points: int = 2) -> DataFrame:
+    """Add part and kind (``in``/``out``): a track cut where it comes into a region.
+
+    A run outside that ends inside is cut at its point farthest from the region: up to
+    there it is an out part, the rest of it and the run inside are an in part. A last
+    run outside is an out part. Parts of fewer points are dropped.
+    """
+    hit = inside(F.col("x"), F.col("y"), polygon)
+    away = None
+    for ring in polygon:
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            d = geodesy.point_segment_distance(*(F.lit(v) for v in (x1, y1, x2, y2)), F.col("x"), F.col("y"))
+            away = d if away is None else F.least(away, d)
+    w = track_order()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = points.withColumns({"_in": hit, "_away": F.when(hit, -1.0).otherwise(away), "_i": F.row_number().over(w)})
+    turned = F.coalesce((F.col("_in") != F.lag("_in").over(w)).cast("int"), F.lit(0))
+    runs = marked.withColumn("_turn", turned).withColumn("_run", F.sum("_turn").over(upto))
+    last = F.max("_run").over(Window.partitionBy("traj_id"))
+    far = F.max_by("_i", F.struct("_away", "_i")).over(Window.partitionBy("traj_id", "_run"))
+    cut = runs.withColumns({"_last": last, "_far": far})
+    out = ~F.col("_in") & ((F.col("_run") == F.col("_last")) | (F.col("_i") <= F.col("_far")))
+    kinds = cut.withColumn("kind", F.when(out, "out").otherwise("in"))
+    new = F.coalesce((F.col("kind") != F.lag("kind").over(w)).cast("int"), F.lit(0))
+    parted = kinds.withColumn("_new", new).withColumn("part", F.sum("_new").over(upto).cast("bigint"))
+    sized = parted.withColumn("_n", F.count("*").over(Window.partitionBy("traj_id", "part")))
+    return sized.where(F.col("_n") >= min_points).drop(*(c for c in sized.columns if c.startswith("_")))
+
+
+def creator_filter(points: DataFrame, creator: str = "default", geographic: bool = True) -> DataFrame:
+    """The point filter that goes with a reader: default, ais or flight."""
+    from . import folds
+
+    if creator == "default":
+        return folds.drop_same_place(folds.drop_overspeed(points, geographic=geographic), geographic)
+    w = track_order()
+    step = geodesy.distance(F.lag("x").over(w), F.lag("y").over(w), F.col("x"), F.col("y"), geographic)
+    same = F.col("ts") == F.lag("ts").over(w)
+    gone = same & (step < 10) if creator == "ais" else step <= 1e-4
+    return points.withColumn("_gone", F.coalesce(gone, F.lit(False))).where(~F.col("_gone")).drop("_gone")
+
+
+def report(points: DataFrame, geographic: bool = True) -> DataFrame:
+    """name, value: the statistics and both histograms as text rows, for any text sink."""
+    s = statistics(points, geographic)
+    rows = s.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in s.columns))).alias("r")).select("r.*")
+    for what in ("seconds", "length"):
+        h = histogram(points, what, geographic)
+        rows = rows.unionByName(h.select(F.concat(F.lit(f"{what} "), "bucket").alias("name"), F.col("n").cast("string").alias("value")))
+    return rows

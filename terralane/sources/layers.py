@@ -86,16 +86,24 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "gbk") -> Dat
         F.regexp_replace("path", r"\.[^.]*$", "").alias("path"), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("kind"), "content"
     )
 
-    def shapes(frames):
-        import pandas as pd
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-        for frame in frames:
-            for base, data in zip(frame["path"], frame["content"], strict=True):
+    fields = to_arrow_schema(_parse_datatype_string(LAYER))
+
+    def shapes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for base, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = [
-                    (base, fid, kind, {"type": _BASE.get(kind, "NULL"), "parts": [[{"x": x, "y": y} for x, y in p] for p in parts]}, z)
-                    for fid, kind, parts, z in parse_shp(bytes(data))
-                ]
-                yield pd.DataFrame(rows, columns=["path", "fid", "shape", "geom", "z"])
+                    {
+                        "path": base, "fid": fid, "shape": kind, "z": z,
+                        "geom": {"type": _BASE.get(kind, "NULL"), "parts": [[{"x": x, "y": y} for x, y in p] for p in parts]},
+                    }
+                    for fid, kind, parts, z in parse_shp(data)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, fields)
 
     def tables(frames):
         import pandas as pd
@@ -109,7 +117,7 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "gbk") -> Dat
                 )
 
     one = lambda k: files.where(F.col("kind") == k).select("path", "content")
-    shp = one("shp").mapInPandas(shapes, LAYER)
+    shp = one("shp").mapInArrow(shapes, LAYER)
     dbf = one("dbf").mapInPandas(tables, "path string, fid bigint, attributes map<string,string>")
     return shp.join(dbf, ["path", "fid"], "left")
 
@@ -190,15 +198,17 @@ def write_shapefile(layer: DataFrame, path: str, key: str | None = None) -> Data
     """
     name = F.col(key).cast("string") if key else F.lit("layer")
 
-    def run(frame):
-        import pandas as pd
+    def run(table):
+        import pyarrow as pa
 
-        frame = frame.sort_values("fid")
-        rows = [(g["type"], [[(p["x"], p["y"]) for p in part] for part in g["parts"]]) for g in frame["geom"]]
-        made = shapefile_bytes(rows, [dict(a or {}) for a in frame["attributes"]])
-        return pd.DataFrame([(frame["part"].iloc[0], k, v) for k, v in made.items()], columns=["part", "extension", "content"])
+        rows = table.sort_by("fid").to_pylist()
+        shapes = [(r["geom"]["type"], [[(p["x"], p["y"]) for p in part] for part in r["geom"]["parts"]]) for r in rows]
+        made = shapefile_bytes(shapes, [dict(r["attributes"] or []) for r in rows])
+        return pa.table(
+            {"part": [rows[0]["part"]] * len(made), "extension": [*made], "content": pa.array([*made.values()], pa.binary())}
+        )
 
-    files = layer.select(name.alias("part"), "fid", "geom", "attributes").groupBy("part").applyInPandas(
+    files = layer.select(name.alias("part"), "fid", "geom", "attributes").groupBy("part").applyInArrow(
         run, "part string, extension string, content binary"
     )
     if path:
