@@ -2,7 +2,9 @@
 
 All of this is DataFrame and SQL functions; no Python runs on the executors.
 
-The fixed forms (email, ip, card, phone) are the seeds. Words to the left and right of
+The fixed forms (email, ip, card, phone) are the seeds. A form that is dropped because
+it ran on into the next number may hold well-formed parts; these are seeds as well and
+count as ``id`` spans. Words to the left and right of
 a seed are lexical patterns; other identifier-like strings next to the same words are
 candidates. Patterns and strings form a graph which is scored in rounds: a pattern's
 confidence is the score of what it extracts over the number of documents that use its
@@ -26,6 +28,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: Whole card numbers and phone numbers inside a match that was dropped.
+PART = (
+    r"(?<![0-9])[0-9]{13,19}(?![0-9])"
+    r"|(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])"
+    r"|\+[0-9]{1,3}[\x20-]?\(?[0-9]{2,4}\)?[\x20-]?[0-9]{3,4}[\x20-][0-9]{3,4}(?![0-9])"
+)
 FOUND = "id"
 #: Identifier-like: a word that holds a digit, with inner joints.
 CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,32}+[0-9][A-Za-z0-9]*+(?:[._:/@-][A-Za-z0-9]++)*+"
@@ -123,23 +131,37 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(found, lambda m: _valid(kind, m["body"]))
 
 
+def _touches(m: Column, spans: Column) -> Column:
+    return F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+
+def parts_of_dropped(text: Column, taken: list[Column]) -> Column:
+    """Well-formed numbers that touch none of the base spans."""
+    def wanted(m):
+        phone = F.startswith(m["body"], F.lit("+"))
+        fits = F.when(phone, _valid("phone", m["body"])).otherwise(_valid("card", m["body"]))
+        for spans in taken:
+            fits &= ~_touches(m, spans)
+        return fits
+
+    return F.filter(located(text, PART), wanted)
+
+
 def candidates(text: Column, taken: list[Column]) -> Column:
-    """Identifier-like strings that touch none of the base spans."""
+    """Identifier-like strings that touch none of the spans found so far."""
     def wanted(m):
         fits = (F.char_length(m["body"]) >= CANDIDATE_LENGTH) & (
             F.length(_digits(m["body"])) >= CANDIDATE_DIGITS
         )
         for spans in taken:
-            fits &= ~F.exists(
-                spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
-            )
+            fits &= ~_touches(m, spans)
         return fits
 
     return F.filter(located(text, CANDIDATE), wanted)
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, key_a, key_b, one array of spans per kind, and candidates.
+    """doc_id, key_a, key_b, one array of spans per kind, parts, and candidates.
 
     The keys are hashes of a row's id and text, so equal rows share results and rows
     of one id but other texts don't.
@@ -148,11 +170,14 @@ def extract(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", text.alias("text")).select(
         "*", *(base_spans(F.col("text"), k).alias(k) for k in KINDS)
     )
+    base = [F.col(k) for k in KINDS]
+    found = found.withColumn("parts", parts_of_dropped(F.col("text"), base))
     return found.select(
         "doc_id",
         *_keys(),
         *KINDS,
-        candidates(F.col("text"), [F.col(k) for k in KINDS]).alias("candidates"),
+        "parts",
+        candidates(F.col("text"), [*base, F.col("parts")]).alias("candidates"),
     )
 
 
@@ -188,7 +213,8 @@ def graph(extracted: DataFrame) -> DataFrame:
 
         return F.flatten(F.transform(spans, two))
 
-    every = F.concat(*(beside(F.col(k), True) for k in KINDS), beside(F.col("candidates"), False))
+    seeds = (beside(F.col(k), True) for k in (*KINDS, "parts"))
+    every = F.concat(*seeds, beside(F.col("candidates"), False))
     return (
         extracted.select(F.explode(F.array_distinct(every)).alias("e"))
         .select("e.*")
@@ -247,7 +273,8 @@ def find(docs: DataFrame, **settings) -> DataFrame:
     One row for each row of ``docs``. Null and empty texts have no spans; repeated rows
     get the same spans; other columns are ignored; without rows the result is empty.
     Whole texts are searched. A string is an ``id`` wherever it occurs as a candidate,
-    once its contexts anywhere in the corpus are convincing.
+    once its contexts anywhere in the corpus are convincing; so is a well-formed part of
+    a form that was dropped.
     """
     extracted = materialize(extract(docs), "pii-spans")
     accepted = discover(graph(extracted), word_frequency(docs), **settings)
@@ -256,12 +283,15 @@ def find(docs: DataFrame, **settings) -> DataFrame:
         .select("key_a", "key_b", "m.start", "m.end", F.lower("m.body").alias("body"))
         .join(accepted.select("body"), "body")
         .groupBy("key_a", "key_b")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(FOUND))
+        .agg(F.collect_set(F.struct("start", "end")).alias("_places"))
     )
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    parts = F.transform("parts", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
     return (
         extracted.drop("candidates")
         .join(places, ["key_a", "key_b"], "left")
-        .withColumn(FOUND, F.coalesce(FOUND, F.array().cast("array<struct<start:int,end:int>>")))
+        .withColumn(FOUND, F.array_sort(F.array_union(parts, F.coalesce("_places", none))))
+        .drop("parts", "_places")
     )
 
 

@@ -81,6 +81,8 @@ def test_base_spans_equal_plain_expressions(spark):
         r = got[i]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(v) for v in spans.values()]
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and r.spans.startswith(listed)
+        found = [s for s in r.spans.split(",") if s.startswith("id:")]
+        assert ",".join(filter(None, [listed, *found])) == r.spans
     assert pii.find(df.limit(0)).count() == 0
 
 
@@ -97,6 +99,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_parts_of_dropped_forms(spark):
+    text = "at a.b@c.de +1 (578) 555-6437 4111111111111111 and 4111111111111111 4111111111111111 end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = pii.digest(pii.find(df)).collect()
+    assert (r.n_card, r.n_phone) == (0, 0)
+    assert r.spans == "email:3:11,id:12:29,id:30:46,id:51:67,id:68:84"
+    (clean,) = pii.redact(df).collect()
+    assert clean.text == "at [EMAIL] [ID] [ID] and [ID] [ID] end"
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "to a@b.cd or 10.0.0.1", 21, "x"), (1, "to a@b.cd or 10.0.0.1", 21, "x"), (2, None, None, "y"), (None, "call +1 222 333 4444.", 20, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _spans string")
