@@ -27,7 +27,65 @@ def op1_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    judged = host_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
+def _op2_sql() -> str:
+    """Rules, host links and both walks, round by round."""
+    host = "translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
+    rules = sorted(host_graph.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for _, h, p in rules]
+    arms = lambda of: " ".join(f"WHEN {c} THEN '{of(r)}'" for c, r in zip(fits, rules, strict=True))
+    damping, rounds = host_graph.DAMPING, host_graph.ROUNDS
+    steps = [
+        f"""s{i} AS (
+  SELECT host, way, sum(score) AS score FROM (
+    SELECT s.dst AS host, s.way, {damping}::DOUBLE * share * score AS score
+    FROM shares s JOIN s{i - 1} w ON w.host = s.src AND w.way = s.way
+    UNION ALL SELECT host, way, score FROM s0
+  ) GROUP BY 1, 2
+)"""
+        for i in range(1, rounds + 1)
+    ]
+    href = r"""(?i)\bhref\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)"""
+    link = "CASE WHEN starts_with(l, '//') THEN 'http:' || l ELSE l END"
+    return f"""WITH named AS (
+  SELECT page_id, {host.format(u="url")} AS host, {path} AS path, html FROM pages
+), ruled AS (
+  SELECT page_id, host, path, html, CASE {arms(lambda r: r[1] + r[2])} END AS rule, CASE {arms(lambda r: r[0])} END AS ruled FROM named
+), seeds AS (
+  SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS trust,
+         avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS distrust, count(*) AS n
+  FROM ruled WHERE host <> '' GROUP BY 1
+), hrefs AS (
+  SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS l FROM named
+), linked AS (
+  SELECT src, dst, count(*) AS n FROM (SELECT src, {host.format(u=link)} AS dst FROM hrefs) GROUP BY 1, 2
+), above AS (
+  SELECT host AS src, n, i, array_to_string(string_split(host, '.')[i:], '.') AS dst
+  FROM (SELECT host, n, unnest(range(2, len(string_split(host, '.')) + 1)) AS i FROM seeds)
+), nearest AS (
+  SELECT src, n, arg_min(dst, i) AS dst FROM above WHERE dst IN (SELECT host FROM seeds) GROUP BY 1, 2
+), edges AS (
+  SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, n FROM linked UNION ALL SELECT src, dst, n FROM nearest)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2
+), ways AS (
+  SELECT src, dst, n, 'trust' AS way FROM edges UNION ALL SELECT dst, src, n, 'distrust' FROM edges
+), shares AS (
+  SELECT src, dst, way, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY src, way) AS share FROM ways
+), s0 AS (
+  SELECT host, 'trust' AS way, {1 - damping!r}::DOUBLE * trust AS score FROM seeds WHERE trust > 0
+  UNION ALL SELECT host, 'distrust', {1 - damping!r}::DOUBLE * distrust FROM seeds WHERE distrust > 0
+), {", ".join(steps)}, scores AS (
+  SELECT host, coalesce(sum(score) FILTER (way = 'trust'), 0) AS trust,
+         coalesce(sum(score) FILTER (way = 'distrust'), 0) AS distrust FROM s{rounds} GROUP BY 1
+)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= {host_graph.THRESHOLD!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+       round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+FROM ruled LEFT JOIN scores USING (host)"""
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_merkle_audit": OP7_SQL}
+    return {"op2_host_graph": _op2_sql(), "op7_merkle_audit": OP7_SQL}

@@ -162,6 +162,19 @@ def test_distrust_flows_against_links(spark):
         assert np.allclose(score, [got[hosts.index(h) + 1][key] for h in hosts])
 
 
+def test_url_query_equals_sql(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(9001, "http://q.info/", '<a HREF = "https://www.example.com/de/x">'), (9002, "http://w.info/", "<a href='//q.info'>"), (9003, None, None)]
+    more = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.unionByName(more).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = duck.execute(queries.oracle_sql()["op2_host_graph"])
+    names = [d[0] for d in want.description]
+    got = queries.op2_host_graph(spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def test_merkle_audit_finds_what_changed(spark):
     duck = duckdb.connect()
     duck.execute(f"create view pages as select * from '{SF}/pages.parquet'")
