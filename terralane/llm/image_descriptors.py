@@ -2,8 +2,10 @@
 
 Each image gives corners on several scales, each with an orientation and 256 binary
 brightness tests in a patch turned upright. Twenty chosen bits of a descriptor are a
-key in each of several Hamming tables. Images that share a key meet through the one of
-them that comes first, so a bucket of n images gives n - 1 candidates. A candidate is a
+key in each of several Hamming tables, and 64 others go along as a check. In a bucket
+each feature is held against the first and the previous one, so n of them give at most
+2n candidates, of which those go whose checks are too far apart; the rows of a table are
+dealt out once and read in order, with two rows of a bucket kept in mind. A candidate is a
 copy if enough of its best descriptor matches agree on one similarity transform.
 """
 
@@ -148,7 +150,11 @@ def _resized(stack: np.ndarray, scale: float) -> np.ndarray:
 def _patterns():
     """Test positions, disc positions for the orientation, bits of each table's key."""
     draw = np.random.Generator(np.random.PCG64(7))
-    tests = np.clip(draw.normal(0, RADIUS / 2, (2, TESTS, 2)), -RADIUS * 0.7, RADIUS * 0.7)
+    tests = draw.normal(0, RADIUS / 2, (2, TESTS, 2))
+    # An upright patch grows brighter to the right, so tests along that way all agree;
+    # those across it tell patches apart.
+    tests[1, :, 0] = tests[0, :, 0] + draw.normal(0, 1, TESTS)
+    tests = np.clip(tests, -RADIUS * 0.7, RADIUS * 0.7)
     span = np.arange(-RADIUS, RADIUS + 1)
     disc = np.stack(np.meshgrid(span, span), -1).reshape(-1, 2)
     disc = disc[(disc**2).sum(1) <= RADIUS**2]
@@ -218,10 +224,18 @@ def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros(0, FEATURE) for f in out]
 
 
+def check_bits(features: np.ndarray) -> np.ndarray:
+    """A quarter of the tests, spread over all, as one number."""
+    packed = features["bits"].copy().view(np.uint8).reshape(len(features), TESTS // 8)
+    bits = np.unpackbits(packed, axis=1, bitorder="little")
+    return np.packbits(bits[:, :: TESTS // 64], axis=1, bitorder="little").view("<i8")[:, 0]
+
+
 def table_keys(features: np.ndarray) -> np.ndarray:
     """A key for every feature and table: the table's number and its chosen bits."""
     _, _, chosen = _patterns()
-    bits = np.unpackbits(features["bits"].copy().view(np.uint8).reshape(len(features), -1), axis=1, bitorder="little")
+    packed = features["bits"].copy().view(np.uint8).reshape(len(features), TESTS // 8)
+    bits = np.unpackbits(packed, axis=1, bitorder="little")
     weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
     return np.stack(
         [(t << KEY_BITS) | bits[:, c].astype(np.int64) @ weights for t, c in enumerate(chosen)], 1
@@ -256,7 +270,7 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def features(images: DataFrame) -> DataFrame:
-    """image_id, digest, n_features, features (packed), keys (array of long)."""
+    """image_id, digest, n_features, features (packed)."""
     id_type = images.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -275,13 +289,85 @@ def features(images: DataFrame) -> DataFrame:
                         pa.array([hashlib.sha256(d or b"").hexdigest() for d in data]),
                         pa.array([len(f) for f in found], pa.int32()),
                         pa.array([f.tobytes() for f in found], pa.binary()),
-                        pa.array([np.unique(table_keys(f)) for f in found], pa.list_(pa.int64())),
                     ],
-                    ["image_id", "digest", "n_features", "features", "keys"],
+                    ["image_id", "digest", "n_features", "features"],
                 )
 
     return images.select("image_id", "media").mapInArrow(
-        run, f"image_id {id_type}, digest string, n_features int, features binary, keys array<bigint>"
+        run, f"image_id {id_type}, digest string, n_features int, features binary"
+    )
+
+
+def table_rows(heads: DataFrame) -> DataFrame:
+    """image_id, key, seen, corner: a row for each feature and table."""
+    id_type = heads.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                found = [np.frombuffer(f, FEATURE) for f in batch.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(f) * TABLES for f in found])
+                every = np.concatenate(found)
+                number = np.concatenate([np.arange(len(f)) % 64 for f in found]).astype(np.int8)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(owner)),
+                        pa.array(table_keys(every).reshape(-1).astype(np.int32)),
+                        pa.array(np.repeat(check_bits(every), TABLES)),
+                        pa.array(np.repeat(number, TABLES)),
+                    ],
+                    ["image_id", "key", "seen", "corner"],
+                )
+
+    return heads.select("image_id", "features").mapInArrow(
+        run, f"image_id {id_type}, key int, seen bigint, corner tinyint"
+    )
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """a, b, corners (one bit) of features in one bucket whose checks are near: each with the
+    first and the previous one.
+
+    The order in a bucket is that of a hash, so that no id meets everything. A check may
+    differ half as much again as its share of the distance that matches allow.
+    """
+    dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("image_id"), "image_id")
+    id_type = rows.schema["image_id"].dataType.simpleString()
+    most = MAX_DISTANCE * 64 * 3 // (TESTS * 2)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if kept is None else [*kept, batch]).combine_chunks()
+            old = sum(k.num_rows for k in kept) if kept else 0
+            ids, keys = table.column(0), table.column(1).to_numpy()
+            seen = table.column(2).to_numpy().view(np.uint64)
+            if not len(keys):
+                continue
+            opens = np.ones(len(keys), bool)
+            opens[1:] = keys[1:] != keys[:-1]
+            place = np.arange(len(keys))
+            first = np.maximum.accumulate(np.where(opens, place, 0))
+            new = place[old:][~opens[old:]]
+            i = np.concatenate([new, new[first[new] != new - 1]])
+            j = np.concatenate([first[new], new[first[new] != new - 1] - 1])
+            near = np.bitwise_count(seen[i] ^ seen[j]) <= most
+            a, b = ids.take(pa.array(i[near])), ids.take(pa.array(j[near]))
+            low = pc.less(a, b)
+            corner = table.column(3).to_numpy()[i[near]].astype(np.int64)
+            out = [pc.if_else(low, a, b), pc.if_else(low, b, a), pa.array(np.int64(1) << corner)]
+            yield from pa.table(out, names=["a", "b", "corners"]).to_batches()
+            last = sorted({int(first[-1]), len(keys) - 1})
+            kept = table.take(pa.array(last)).combine_chunks().to_batches()
+
+    return dealt.select("image_id", "key", "seen", "corner").mapInArrow(
+        run, f"a {id_type}, b {id_type}, corners bigint"
     )
 
 
@@ -312,37 +398,28 @@ def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_I
     """image_id, n_features, class_id, n_links for every row of ``images``.
 
     ``images`` has image_id and media (bytes). Equal bytes form a class at once. Classes
-    are linked where their first images share ``min_votes`` keys and agree in place on
+    are linked where their first images meet with ``min_votes`` different corners and agree in place on
     ``min_inliers`` corners; ``class_id`` is the least id that links reach and
     ``n_links`` counts the confirmed links of the image's bytes. Null, empty and
     unreadable media have no features and only equal bytes in their class; a null id
     has a null class. Repeated rows share a class; other columns are ignored.
     """
     described = materialize(features(images), "image-features")
-    classes = described.where("image_id is not null").groupBy("digest").agg(F.min("image_id").alias("head"))
-    placed = described.join(classes, "digest", "left")
-    heads = materialize(
-        placed.where("image_id = head").dropDuplicates(["image_id"]).select("image_id", "features", "keys"),
-        "image-heads",
-    )
-    # The order in a bucket is that of a hash, so that no id meets everything.
-    keyed = heads.select(
-        "image_id", F.xxhash64("image_id").alias("rank"), F.explode("keys").alias("key")
-    )
-    firsts = (
-        keyed.groupBy("key")
-        .agg(F.min(F.struct("rank", "image_id")).alias("f"), F.max("rank").alias("most"))
-        .where("f.rank != most")
-        .select("key", F.col("f.image_id").alias("first"))
+    narrow = described.select("image_id", "digest", "n_features")
+    classes = narrow.where("image_id is not null").groupBy("digest").agg(F.min("image_id").alias("head"))
+    placed = narrow.join(classes, "digest", "left")
+    # Which images stand for a class grows with the table, so it is never broadcast.
+    standing = classes.select(F.col("head").alias("image_id"), "digest").hint("merge")
+    heads = (
+        described.join(standing, ["image_id", "digest"], "left_semi")
+        .select("image_id", "features")
+        .dropDuplicates(["image_id"])
     )
     votes = (
-        keyed.join(firsts, "key")
-        .where(F.col("image_id") != F.col("first"))
-        .groupBy(
-            F.least("image_id", "first").alias("a"), F.greatest("image_id", "first").alias("b")
-        )
-        .agg(F.count("*").alias("votes"))
-        .where(F.col("votes") >= min_votes)
+        stars(table_rows(heads))
+        .groupBy("a", "b")
+        .agg(F.bit_count(F.bit_or("corners")).alias("votes"))
+        .where((F.col("votes") >= min_votes) & (F.col("a") != F.col("b")))
     )
     side = lambda name: heads.select(
         F.col("image_id").alias(name), F.col("features").alias(f"features_{name}")
@@ -370,7 +447,7 @@ def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_I
 def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50) -> DataFrame:
     """Synthetic images of vectors: image_id, media, one for each row and edited copies.
 
-    A vector's values are the tones of a square grid. The copy of an id that ``every``
+    A vector's values weigh fixed smooth textures, so near vectors give near images. The copy of an id that ``every``
     divides has the id -1 - id; it is cropped, re-toned and, every second one, turned.
     Null or empty vectors give null media.
     """
@@ -398,15 +475,20 @@ def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.select(id_col, vector_col).mapInArrow(run, f"image_id {id_type}, media binary")
 
 
-def _picture(vector, cell: int = 12) -> np.ndarray | None:
+@lru_cache(maxsize=4)
+def _textures(count: int, side: int) -> np.ndarray:
+    """Fixed smooth noise images, one for each value of a vector."""
+    noise = np.random.Generator(np.random.PCG64(11)).normal(size=(count, side, side))
+    smooth = _blur(_blur(noise.astype(np.float32), 1), 1)
+    return (smooth / smooth.std(axis=(1, 2), keepdims=True)).reshape(count, -1)
+
+
+def _picture(vector, side: int = 96) -> np.ndarray | None:
     if not vector:
         return None
-    side = int(np.ceil(np.sqrt(len(vector))))
-    tones = np.zeros(side * side, np.float32)
-    tones[: len(vector)] = np.nan_to_num(np.array([0 if v is None else v for v in vector], np.float32))
-    spread = tones.std() or 1
-    tones = 128 + 50 * np.tanh((tones - tones.mean()) / spread)
-    return np.kron(tones.reshape(side, side), np.ones((cell, cell), np.float32))
+    values = np.nan_to_num(np.array([0 if v is None else v for v in vector], np.float32))
+    tones = (values @ _textures(len(values), side)).reshape(side, side)
+    return 128 + 70 * np.tanh(tones / (tones.std() or 1))
 
 
 def _edited(image: np.ndarray, turn: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from . import (
     pii,
     sharding,
 )
-from .common import documents
+from .common import documents, small_batches
 
 
 def op1_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,7 @@ FROM ruled LEFT JOIN scores USING (host)"""
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images drawn from all vectors, with edited copies of the ids that 50 divides."""
+    small_batches(spark)
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return image_descriptors.image_copies(image_descriptors.render(vectors))
 
