@@ -58,7 +58,7 @@ def a02_length(spark, sf):
 
 
 def q01_length_filter(spark, sf):
-    return T.length_filter(gnss(spark, sf), 1_400_000.0, 1_700_000.0).select("traj_id", "seq")
+    return T.length_filter(gnss(spark, sf), 400_000.0, 500_000.0).select("traj_id", "seq")
 
 
 def q02_duration_filter(spark, sf):
@@ -270,7 +270,7 @@ SELECT traj_id, seq, part FROM sized WHERE n >= 2""",
     "q01_length_filter": (
         q01_length_filter,
         f"WITH {SEGMENTS} SELECT traj_id, seq FROM gnss WHERE traj_id IN (SELECT traj_id FROM segments GROUP BY 1 "
-        "HAVING sum(length) BETWEEN 1400000 AND 1700000)",
+        "HAVING sum(length) BETWEEN 400000 AND 500000)",
     ),
     "q02_duration_filter": (
         q02_duration_filter,
