@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished jobs now.
+
+    It does so once the driver's garbage is collected, which may not happen for half an
+    hour; operators that work in rounds ask for it between them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of one Arrow batch, where the session doesn't say: a few MB of usual texts.
 BATCH_ROWS = 1000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -4,8 +4,9 @@ Each image gives corners on several scales, each with an orientation and 256 bin
 brightness tests in a patch turned upright. Twenty chosen bits of a descriptor are a
 key in each of several Hamming tables, and 64 others go along as a check. In a bucket
 each feature is held against the first and the previous one, so n of them give at most
-2n candidates, of which those go whose checks are too far apart; the rows of a table are
-dealt out once and read in order, with two rows of a bucket kept in mind. A candidate is a
+2n candidates, of which those go whose checks are too far apart. A few tables at a time
+are dealt out and read in order, with two rows of a bucket kept in mind, so that the disk
+never holds all tables. A candidate is a
 copy if enough of its best descriptor matches agree on one similarity transform.
 """
 
@@ -14,13 +15,13 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_shuffles
 from .components import connected_components
 
 SCALES = (1.0, 0.75, 0.5625)
@@ -29,6 +30,8 @@ CORNERS = 24
 RADIUS = 15
 TESTS = 256
 TABLES = 10
+#: Tables that are on disk together.
+TABLES_AT_ONCE = 2
 KEY_BITS = 20
 MAX_DISTANCE = 48
 MIN_INLIERS = 12
@@ -231,14 +234,18 @@ def check_bits(features: np.ndarray) -> np.ndarray:
     return np.packbits(bits[:, :: TESTS // 64], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
-def table_keys(features: np.ndarray) -> np.ndarray:
+def table_keys(features: np.ndarray, first: int = 0, count: int = TABLES) -> np.ndarray:
     """A key for every feature and table: the table's number and its chosen bits."""
     _, _, chosen = _patterns()
     packed = features["bits"].copy().view(np.uint8).reshape(len(features), TESTS // 8)
     bits = np.unpackbits(packed, axis=1, bitorder="little")
     weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
     return np.stack(
-        [(t << KEY_BITS) | bits[:, c].astype(np.int64) @ weights for t, c in enumerate(chosen)], 1
+        [
+            (t << KEY_BITS) | bits[:, chosen[t]].astype(np.int64) @ weights
+            for t in range(first, first + count)
+        ],
+        1,
     )
 
 
@@ -298,8 +305,8 @@ def features(images: DataFrame) -> DataFrame:
     )
 
 
-def table_rows(heads: DataFrame) -> DataFrame:
-    """image_id, key, seen, corner: a row for each feature and table."""
+def table_rows(heads: DataFrame, first: int = 0, count: int = TABLES) -> DataFrame:
+    """image_id, key, seen, corner: a row for each feature and chosen table."""
     id_type = heads.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -309,15 +316,15 @@ def table_rows(heads: DataFrame) -> DataFrame:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
                 found = [np.frombuffer(f, FEATURE) for f in batch.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(found)), [len(f) * TABLES for f in found])
+                owner = np.repeat(np.arange(len(found)), [len(f) * count for f in found])
                 every = np.concatenate(found)
                 number = np.concatenate([np.arange(len(f)) % 64 for f in found]).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(owner)),
-                        pa.array(table_keys(every).reshape(-1).astype(np.int32)),
-                        pa.array(np.repeat(check_bits(every), TABLES)),
-                        pa.array(np.repeat(number, TABLES)),
+                        pa.array(table_keys(every, first, count).reshape(-1).astype(np.int32)),
+                        pa.array(np.repeat(check_bits(every), count)),
+                        pa.array(np.repeat(number, count)),
                     ],
                     ["image_id", "key", "seen", "corner"],
                 )
@@ -394,6 +401,21 @@ def confirm(pairs: DataFrame, min_inliers: int = MIN_INLIERS) -> DataFrame:
     )
 
 
+def candidate_pairs(heads: DataFrame, min_votes: int) -> DataFrame:
+    """a, b that meet with ``min_votes`` different corners, over all tables."""
+    spark, rounds = heads.sparkSession, []
+    for first in range(0, TABLES, TABLES_AT_ONCE):
+        met = stars(table_rows(heads, first, min(TABLES_AT_ONCE, TABLES - first)))
+        met = met.where("a <> b").groupBy("a", "b").agg(F.bit_or("corners").alias("corners"))
+        rounds.append(materialize(met, "image-met"))
+        release_shuffles(spark)
+    every = reduce(DataFrame.unionByName, rounds)
+    votes = every.groupBy("a", "b").agg(F.bit_count(F.bit_or("corners")).alias("votes"))
+    pairs = materialize(votes.where(F.col("votes") >= min_votes), "image-pairs")
+    release_shuffles(spark)
+    return pairs
+
+
 def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_INLIERS) -> DataFrame:
     """image_id, n_features, class_id, n_links for every row of ``images``.
 
@@ -408,19 +430,17 @@ def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_I
     narrow = described.select("image_id", "digest", "n_features")
     classes = narrow.where("image_id is not null").groupBy("digest").agg(F.min("image_id").alias("head"))
     placed = narrow.join(classes, "digest", "left")
-    # Which images stand for a class grows with the table, so it is never broadcast.
-    standing = classes.select(F.col("head").alias("image_id"), "digest").hint("merge")
+    folded = narrow.join(classes.withColumnRenamed("head", "image_id"), ["image_id", "digest"], "left_anti")
+    again = narrow.groupBy("image_id").count().where("count > 1").select("image_id")
+    gone = folded.select("image_id").union(again).distinct()
+    kept_once = described.join(again, "image_id", "left_semi").dropDuplicates(["image_id"])
     heads = (
-        described.join(standing, ["image_id", "digest"], "left_semi")
+        described.join(gone, "image_id", "left_anti")
+        .unionByName(kept_once.join(folded, "image_id", "left_anti"))
+        .where("image_id is not null")
         .select("image_id", "features")
-        .dropDuplicates(["image_id"])
-    )
-    votes = (
-        stars(table_rows(heads))
-        .groupBy("a", "b")
-        .agg(F.bit_count(F.bit_or("corners")).alias("votes"))
-        .where((F.col("votes") >= min_votes) & (F.col("a") != F.col("b")))
     )
+    votes = candidate_pairs(heads, min_votes)
     side = lambda name: heads.select(
         F.col("image_id").alias(name), F.col("features").alias(f"features_{name}")
     )
