@@ -243,9 +243,13 @@ def near_duplicates(
     sketches = materialize(sketch(docs, shingle_words, bands, rows), "near-sketch")
     filled = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     digest = ["set_a", "set_b", "n_shingles"]
-    classes = filled.groupBy(*digest).agg(F.min("doc_id").alias("head"))
+    # Written first, so that both sides of the join are dealt anew and a class that many
+    # documents share can be split.
+    classes = materialize(
+        filled.groupBy(*digest).agg(F.min("doc_id").alias("head")), "near-classes"
+    )
     members = materialize(
-        filled.join(classes, digest).select(
+        filled.join(classes.hint("merge"), digest).select(
             "doc_id",
             "n_shingles",
             "head",
