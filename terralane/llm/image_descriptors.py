@@ -2,12 +2,12 @@
 
 Each image gives corners on several scales, each with an orientation and 256 binary
 brightness tests in a patch turned upright. Twenty chosen bits of a descriptor are a
-key in each of several Hamming tables, and 64 others go along as a check. In a bucket
-each feature is held against the first and the previous one, so n of them give at most
-2n candidates, of which those go whose checks are too far apart. A few tables at a time
-are dealt out and read in order, with two rows of a bucket kept in mind, so that the disk
-never holds all tables. A candidate is a
-copy if enough of its best descriptor matches agree on one similarity transform.
+key in each of several Hamming tables. In a bucket each feature is held against all others,
+and those pairs stay whose descriptors are near enough to match; a large bucket is dealt
+out as block pairs, so no task holds more than two blocks of it. A few tables at a time are
+dealt out, so that the disk never holds all tables, and candidates are confirmed in
+portions. A candidate is a copy if enough of its best descriptor matches agree on one
+similarity transform.
 """
 
 from __future__ import annotations
@@ -32,9 +32,16 @@ TESTS = 256
 TABLES = 10
 #: Tables that are on disk together.
 TABLES_AT_ONCE = 2
+#: Rows of one block of a bucket; larger buckets are dealt out as block pairs.
+BLOCK_ROWS = 1024
+#: Row pairs of buckets that are compared in one step.
+_PORTION = 1 << 18
+#: Candidates that are confirmed together, for each image: a bound of the disk in use.
+PAIRS_AT_ONCE = 2
 KEY_BITS = 20
 MAX_DISTANCE = 48
 MIN_INLIERS = 12
+BITS = tuple(f"bits_{i}" for i in range(4))
 FEATURE = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "<u8", 4)])
 
 
@@ -227,13 +234,6 @@ def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros(0, FEATURE) for f in out]
 
 
-def check_bits(features: np.ndarray) -> np.ndarray:
-    """A quarter of the tests, spread over all, as one number."""
-    packed = features["bits"].copy().view(np.uint8).reshape(len(features), TESTS // 8)
-    bits = np.unpackbits(packed, axis=1, bitorder="little")
-    return np.packbits(bits[:, :: TESTS // 64], axis=1, bitorder="little").view("<i8")[:, 0]
-
-
 def table_keys(features: np.ndarray, first: int = 0, count: int = TABLES) -> np.ndarray:
     """A key for every feature and table: the table's number and its chosen bits."""
     _, _, chosen = _patterns()
@@ -306,7 +306,7 @@ def features(images: DataFrame) -> DataFrame:
 
 
 def table_rows(heads: DataFrame, first: int = 0, count: int = TABLES) -> DataFrame:
-    """image_id, key, seen, corner: a row for each feature and chosen table."""
+    """image_id, key, corner, bits_0 to bits_3: a row for each feature and chosen table."""
     id_type = heads.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -318,64 +318,112 @@ def table_rows(heads: DataFrame, first: int = 0, count: int = TABLES) -> DataFra
                 found = [np.frombuffer(f, FEATURE) for f in batch.column(1).to_pylist()]
                 owner = np.repeat(np.arange(len(found)), [len(f) * count for f in found])
                 every = np.concatenate(found)
-                number = np.concatenate([np.arange(len(f)) % 64 for f in found]).astype(np.int8)
+                number = np.concatenate([np.arange(len(f), dtype=np.int32) for f in found])
+                bits = np.repeat(every["bits"].view(np.int64), count, axis=0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(owner)),
                         pa.array(table_keys(every, first, count).reshape(-1).astype(np.int32)),
-                        pa.array(np.repeat(check_bits(every), count)),
                         pa.array(np.repeat(number, count)),
+                        *(pa.array(bits[:, i]) for i in range(4)),
                     ],
-                    ["image_id", "key", "seen", "corner"],
+                    ["image_id", "key", "corner", *BITS],
                 )
 
     return heads.select("image_id", "features").mapInArrow(
-        run, f"image_id {id_type}, key int, seen bigint, corner tinyint"
+        run, f"image_id {id_type}, key int, corner int, " + ", ".join(f"{c} bigint" for c in BITS)
     )
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """a, b, corners (one bit) of features in one bucket whose checks are near: each with the
-    first and the previous one.
+def bucket_pairs(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """a, b, corner (of a) for every two features in one bucket that are near enough to match.
 
-    The order in a bucket is that of a hash, so that no id meets everything. A check may
-    differ half as much again as its share of the distance that matches allow.
+    A bucket of more than ``block`` rows is cut into blocks by a hash and dealt out as
+    block pairs, each feature of one block against each of the other.
     """
-    dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("image_id"), "image_id")
     id_type = rows.schema["image_id"].dataType.simpleString()
-    most = MAX_DISTANCE * 64 * 3 // (TESTS * 2)
+    # Written first: its size is known then, and the rows needn't be dealt out for this join.
+    large = materialize(
+        rows.groupBy("key")
+        .agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
+        .where("n_blocks > 1"),
+        "image-large-buckets",
+    )
+    n_blocks = F.coalesce("n_blocks", F.lit(1))
+    dealt = (
+        rows.join(large, "key", "left")
+        .withColumn("own", F.pmod(F.xxhash64("image_id", "corner"), n_blocks.cast("bigint")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        .select(
+            "key",
+            F.least("own", "other").alias("low"),
+            F.greatest("own", "other").alias("high"),
+            "own",
+            "image_id",
+            "corner",
+            *BITS,
+        )
+        .repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high", "own")
+    )
 
-    def run(batches: Iterator) -> Iterator:
+    def compare(table) -> Iterator:
+        """Pairs of whole groups: rows of one key and block pair, in order of their block."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        kept = None
+        key, low, high, own = (table.column(i).to_numpy() for i in range(4))
+        ids, corner = table.column(4), table.column(5).to_numpy()
+        bits = np.stack([table.column(6 + i).to_numpy() for i in range(4)], 1)
+        place = np.arange(len(key))
+        opens = np.ones(len(key), bool)
+        opens[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        start = np.maximum.accumulate(np.where(opens, place, 0))
+        group = np.cumsum(opens) - 1
+        of_low = np.bincount(group, weights=own == low).astype(np.int64)[group]
+        # Partners are the rows before in the same block, or all rows of the other block.
+        partners = np.where(low == high, place - start, np.where(own == low, 0, of_low))
+        ends = np.concatenate([[0], np.cumsum(partners)])
+        at = 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _PORTION, "right")) - 1)
+            n = partners[at:to]
+            i = np.repeat(place[at:to], n)
+            j = np.arange(len(i)) + np.repeat(start[at:to] - (ends[at:to] - ends[at]), n)
+            near = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= MAX_DISTANCE
+            i, j = i[near], j[near]
+            a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+            less = pc.less(a, b)
+            chosen = np.where(less.to_numpy(), corner[i], corner[j])
+            out = [pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(chosen)]
+            yield from pa.table(out, names=["a", "b", "corner"]).to_batches()
+            at = to
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kept: list = []
         for batch in batches:
-            table = pa.Table.from_batches([batch] if kept is None else [*kept, batch]).combine_chunks()
-            old = sum(k.num_rows for k in kept) if kept else 0
-            ids, keys = table.column(0), table.column(1).to_numpy()
-            seen = table.column(2).to_numpy().view(np.uint64)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
-            opens = np.ones(len(keys), bool)
-            opens[1:] = keys[1:] != keys[:-1]
-            place = np.arange(len(keys))
-            first = np.maximum.accumulate(np.where(opens, place, 0))
-            new = place[old:][~opens[old:]]
-            i = np.concatenate([new, new[first[new] != new - 1]])
-            j = np.concatenate([first[new], new[first[new] != new - 1] - 1])
-            near = np.bitwise_count(seen[i] ^ seen[j]) <= most
-            a, b = ids.take(pa.array(i[near])), ids.take(pa.array(j[near]))
-            low = pc.less(a, b)
-            corner = table.column(3).to_numpy()[i[near]].astype(np.int64)
-            out = [pc.if_else(low, a, b), pc.if_else(low, b, a), pa.array(np.int64(1) << corner)]
-            yield from pa.table(out, names=["a", "b", "corners"]).to_batches()
-            last = sorted({int(first[-1]), len(keys) - 1})
-            kept = table.take(pa.array(last)).combine_chunks().to_batches()
-
-    return dealt.select("image_id", "key", "seen", "corner").mapInArrow(
-        run, f"a {id_type}, b {id_type}, corners bigint"
-    )
+            # The last group of a batch may go on in the next.
+            key, low, high = (batch.column(i).to_numpy() for i in range(3))
+            last = (key == key[-1]) & (low == low[-1]) & (high == high[-1])
+            cut = int(last.argmax())
+            if kept:
+                before = [kept[-1].column(i)[-1].as_py() for i in range(3)]
+                same = before == [int(key[-1]), int(low[-1]), int(high[-1])]
+                if cut == 0 and same:
+                    kept.append(batch)
+                    continue
+            done = [*kept, *([batch.slice(0, cut)] if cut else [])]
+            if done:
+                yield from compare(pa.Table.from_batches(done).combine_chunks())
+            kept = [batch.slice(cut)]
+        if kept:
+            yield from compare(pa.Table.from_batches(kept).combine_chunks())
+
+    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}, corner int")
 
 
 def confirm(pairs: DataFrame, min_inliers: int = MIN_INLIERS) -> DataFrame:
@@ -402,20 +450,35 @@ def confirm(pairs: DataFrame, min_inliers: int = MIN_INLIERS) -> DataFrame:
 
 
 def candidate_pairs(heads: DataFrame, min_votes: int) -> DataFrame:
-    """a, b that meet with ``min_votes`` different corners, over all tables."""
+    """a, b that meet with ``min_votes`` different corners of a, over all tables."""
     spark, rounds = heads.sparkSession, []
     for first in range(0, TABLES, TABLES_AT_ONCE):
-        met = stars(table_rows(heads, first, min(TABLES_AT_ONCE, TABLES - first)))
-        met = met.where("a <> b").groupBy("a", "b").agg(F.bit_or("corners").alias("corners"))
-        rounds.append(materialize(met, "image-met"))
+        met = bucket_pairs(table_rows(heads, first, min(TABLES_AT_ONCE, TABLES - first)))
+        rounds.append(materialize(met.where("a <> b").distinct(), "image-met"))
         release_shuffles(spark)
-    every = reduce(DataFrame.unionByName, rounds)
-    votes = every.groupBy("a", "b").agg(F.bit_count(F.bit_or("corners")).alias("votes"))
+    every = reduce(DataFrame.unionByName, rounds).distinct()
+    votes = every.groupBy("a", "b").agg(F.count("*").alias("votes"))
     pairs = materialize(votes.where(F.col("votes") >= min_votes), "image-pairs")
     release_shuffles(spark)
     return pairs
 
 
+def confirmed_links(heads: DataFrame, pairs: DataFrame, min_inliers: int) -> DataFrame:
+    """a, b, inliers of all ``pairs`` that agree, in portions: each pair brings two feature lists."""
+    spark = heads.sparkSession
+    side = lambda name: heads.select(
+        F.col("image_id").alias(name), F.col("features").alias(f"features_{name}")
+    )
+    portions = max(1, -(-pairs.count() // max(1, PAIRS_AT_ONCE * heads.count())))
+    links = []
+    for k in range(portions):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(portions)) == k)
+        with_features = part.join(side("a"), "a").join(side("b"), "b")
+        links.append(materialize(confirm(with_features, min_inliers), "image-links"))
+        release_shuffles(spark)
+    return reduce(DataFrame.unionByName, links)
+
+
 def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_INLIERS) -> DataFrame:
     """image_id, n_features, class_id, n_links for every row of ``images``.
 
@@ -440,13 +503,7 @@ def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_I
         .where("image_id is not null")
         .select("image_id", "features")
     )
-    votes = candidate_pairs(heads, min_votes)
-    side = lambda name: heads.select(
-        F.col("image_id").alias(name), F.col("features").alias(f"features_{name}")
-    )
-    links = materialize(
-        confirm(votes.join(side("a"), "a").join(side("b"), "b"), min_inliers), "image-links"
-    )
+    links = confirmed_links(heads, candidate_pairs(heads, min_votes), min_inliers)
     groups = connected_components(links).select(F.col("node").alias("head"), "component")
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n"))
