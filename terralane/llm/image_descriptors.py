@@ -1,6 +1,6 @@
 """Copies of images by local descriptors: cropped, rotated, scaled or re-toned.
 
-Each image gives corners on several scales, each with an orientation and 256 binary
+Each image gives all its corners on scales down to the size of a patch, each with an orientation and 256 binary
 brightness tests in a patch turned upright. Twenty chosen bits of a descriptor are a
 key in each of several Hamming tables. In a bucket each feature is held against all others,
 and those pairs stay whose descriptors are near enough to match; a large bucket is dealt
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialize, release_shuffles
 from .components import connected_components
 
-SCALES = (1.0, 0.75, 0.5625)
-#: Corners kept of each scale, strongest first: a bound of the description, not of rows.
-CORNERS = 24
+#: Each scale is so much smaller than the one before, down to the size of a patch.
+STEP = 0.75
 RADIUS = 15
 TESTS = 256
 TABLES = 10
@@ -41,6 +40,10 @@ PAIRS_AT_ONCE = 2
 KEY_BITS = 20
 MAX_DISTANCE = 48
 MIN_INLIERS = 12
+#: Where the smaller image has few corners, a quarter of them is enough, but never fewer than these.
+LEAST_INLIERS = 6
+#: Pixels of images, corners or pairs of features that are worked on together.
+_PIXELS, _CORNERS, _CELLS = 1 << 20, 2048, 1 << 18
 BITS = tuple(f"bits_{i}" for i in range(4))
 FEATURE = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "<u8", 4)])
 
@@ -173,12 +176,8 @@ def _patterns():
 
 
 def _at_scale(stack: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(image number, feature) of all corners of same-sized images on one scale."""
-    stack = _resized(stack, scale)
-    count, height, width = stack.shape
-    empty = np.zeros(0, np.int64), np.zeros(0, FEATURE)
-    if min(height, width) < 2 * RADIUS + 3:
-        return empty
+    """(image number, feature) of all corners of same-sized images, resized to one scale."""
+    _, height, width = stack.shape
     smooth = _blur(stack, 1)
     gy, gx = np.gradient(smooth, axis=(1, 2))
     xx, yy, xy = (_blur(p, 2) for p in (gx * gx, gy * gy, gx * gy))
@@ -186,24 +185,28 @@ def _at_scale(stack: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     inner = np.zeros((height, width), bool)
     inner[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1] = True
     best = np.pad(response, ((0, 0), (2, 2), (2, 2)), constant_values=-np.inf)
-    around = np.max(
-        [best[:, i : i + height, j : j + width] for i in range(5) for j in range(5)], axis=0
+    around = reduce(
+        np.maximum, (best[:, i : i + height, j : j + width] for i in range(5) for j in range(5))
     )
-    peak = inner & (response >= around) & (response > 1.0)
-    image, y, x = np.nonzero(peak)
+    image, y, x = np.nonzero(inner & (response >= around) & (response > 1.0))
     order = np.lexsort((x, y, -response[image, y, x], image))
     image, y, x = image[order], y[order], x[order]
-    starts = np.searchsorted(image, np.arange(count))
-    strong = np.arange(len(image)) - starts[image] < CORNERS
-    image, y, x = image[strong], y[strong], x[strong]
-    if not len(image):
-        return empty
+    wide = _blur(stack, 2)
+    found = [
+        _features(stack, wide, scale, *(v[low : low + _CORNERS] for v in (image, y, x)))
+        for low in range(0, len(image), _CORNERS)
+    ]
+    return image, np.concatenate(found) if found else np.zeros(0, FEATURE)
+
+
+def _features(stack, wide, scale: float, image, y, x) -> np.ndarray:
+    """Orientation and tests of given corners."""
+    _, height, width = stack.shape
     tests, disc, _ = _patterns()
     values = stack[image[:, None], y[:, None] + disc[:, 1], x[:, None] + disc[:, 0]]
     values = values - values.mean(1, keepdims=True)
     angle = np.arctan2(values @ disc[:, 1].astype(np.float32), values @ disc[:, 0].astype(np.float32))
     cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-    wide = _blur(stack, 2)
     seen = []
     for dx, dy in ((t[:, 0], t[:, 1]) for t in tests):
         px = np.rint(x[:, None] + cos * dx - sin * dy).astype(np.int64)
@@ -213,7 +216,7 @@ def _at_scale(stack: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     found["x"], found["y"] = (x + 0.5) / scale, (y + 0.5) / scale
     found["scale"], found["angle"] = 1 / scale, angle
     found["bits"] = np.packbits(seen[0] < seen[1], axis=1, bitorder="little").view("<u8")
-    return image, found
+    return found
 
 
 def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
@@ -224,13 +227,15 @@ def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
         if image is not None and image.size:
             by_size.setdefault(image.shape, []).append(i)
     for members in by_size.values():
-        for low in range(0, len(members), 64):
-            part = members[low : low + 64]
-            stack = np.stack([images[i] for i in part])
-            for scale in SCALES:
+        together = max(1, min(64, _PIXELS // images[members[0]].size))
+        for low in range(0, len(members), together):
+            part = members[low : low + together]
+            stack, scale = np.stack([images[i] for i in part]), 1.0
+            while min(stack.shape[1:]) >= 2 * RADIUS + 3:
                 owner, found = _at_scale(stack, scale)
                 for k, i in enumerate(part):
                     out[i].append(found[owner == k])
+                stack, scale = _resized(stack, STEP), scale * STEP
     return [np.concatenate(f) if f else np.zeros(0, FEATURE) for f in out]
 
 
@@ -258,24 +263,47 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     """
     if not len(a) or not len(b):
         return 0
-    distance = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(2, dtype=np.int64)
-    near = distance.argmin(1)
-    i = np.flatnonzero((distance.argmin(0)[near] == np.arange(len(a))) & (distance.min(1) <= MAX_DISTANCE))
+    near, least = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    back, back_least = np.zeros(len(b), np.int64), np.full(len(b), TESTS + 1)
+    rows = max(1, _CELLS // len(b))
+    for low in range(0, len(a), rows):
+        part = a["bits"][low : low + rows, None]
+        distance = np.bitwise_count(part ^ b["bits"][None]).sum(2, dtype=np.int64)
+        near[low : low + rows], least[low : low + rows] = distance.argmin(1), distance.min(1)
+        nearer = distance.min(0) < back_least
+        back[nearer] = low + distance.argmin(0)[nearer]
+        back_least[nearer] = distance.min(0)[nearer]
+    i = np.flatnonzero((back[near] == np.arange(len(a))) & (least <= MAX_DISTANCE))
     if len(i) < 2:
         return len(i)
     p, q = a[i], b[near[i]]
     ratio = (q["scale"] / p["scale"])[:, None]
     turn = (q["angle"] - p["angle"])[:, None]
     cos, sin = ratio * np.cos(turn), ratio * np.sin(turn)
-    dx, dy = p["x"][None] - p["x"][:, None], p["y"][None] - p["y"][:, None]
-    ex = q["x"][:, None] + cos * dx - sin * dy - q["x"][None]
-    ey = q["y"][:, None] + sin * dx + cos * dy - q["y"][None]
-    agree = np.hypot(ex, ey) <= 3 + 0.1 * np.hypot(dx, dy)
-    row = agree[agree.sum(1).argmax()]
+    row, rows = np.zeros(len(i), bool), max(1, _CELLS // len(i))
+    for low in range(0, len(i), rows):
+        of = slice(low, low + rows)
+        dx, dy = p["x"][None] - p["x"][of, None], p["y"][None] - p["y"][of, None]
+        ex = q["x"][of, None] + cos[of] * dx - sin[of] * dy - q["x"][None]
+        ey = q["y"][of, None] + sin[of] * dx + cos[of] * dy - q["y"][None]
+        agree = np.hypot(ex, ey) <= 3 + 0.1 * np.hypot(dx, dy)
+        best = agree[agree.sum(1).argmax()]
+        if best.sum() > row.sum():
+            row = best
     places = np.rint(np.stack([p["x"][row], p["y"][row]]) / 4)
     return len(np.unique(places, axis=1).T)
 
 
+def needed_inliers(a: np.ndarray, b: np.ndarray, min_inliers: int = MIN_INLIERS) -> int:
+    """Inliers that make a link, by the corners of the smaller image.
+
+    A crop with few corners needs fewer. Of thousands of corners some agree by chance, 17 of
+    2,770 between unrelated images, so a fiftieth is needed there.
+    """
+    smaller = min(len(a), len(b))
+    return max(min(min_inliers, max(LEAST_INLIERS, -(-smaller // 4))), -(-smaller // 50))
+
+
 def features(images: DataFrame) -> DataFrame:
     """image_id, digest, n_features, features (packed)."""
     id_type = images.schema["image_id"].dataType.simpleString()
@@ -313,8 +341,8 @@ def table_rows(heads: DataFrame, first: int = 0, count: int = TABLES) -> DataFra
         import pyarrow as pa
 
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
+            for low in range(0, whole.num_rows, 64):
+                batch = whole.slice(low, 64)
                 found = [np.frombuffer(f, FEATURE) for f in batch.column(1).to_pylist()]
                 owner = np.repeat(np.arange(len(found)), [len(f) * count for f in found])
                 every = np.concatenate(found)
@@ -434,15 +462,15 @@ def confirm(pairs: DataFrame, min_inliers: int = MIN_INLIERS) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            n = pa.array(
-                [
-                    consensus(np.frombuffer(x, FEATURE), np.frombuffer(y, FEATURE))
-                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-                ],
-                pa.int32(),
+            n, enough = [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, FEATURE), np.frombuffer(y, FEATURE)
+                n.append(consensus(x, y))
+                enough.append(n[-1] >= needed_inliers(x, y, min_inliers))
+            kept = pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32())], ["a", "b", "inliers"]
             )
-            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["a", "b", "inliers"])
-            yield kept.filter(pa.array(np.asarray(n) >= min_inliers))
+            yield kept.filter(pa.array(enough, pa.bool_()))
 
     return pairs.select("a", "b", "features_a", "features_b").mapInArrow(
         run, f"a {id_type}, b {id_type}, inliers int"
@@ -484,7 +512,7 @@ def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_I
 
     ``images`` has image_id and media (bytes). Equal bytes form a class at once. Classes
     are linked where their first images meet with ``min_votes`` different corners and agree in place on
-    ``min_inliers`` corners; ``class_id`` is the least id that links reach and
+    ``min_inliers`` corners (see ``needed_inliers``); ``class_id`` is the least id that links reach and
     ``n_links`` counts the confirmed links of the image's bytes. Null, empty and
     unreadable media have no features and only equal bytes in their class; a null id
     has a null class. Repeated rows share a class; other columns are ignored.

@@ -40,3 +40,25 @@ def test_links_of_many_edited_copies_equal_brute_force(spark):
     links = {i: {j for j in found if i != j and images.consensus(found[min(i, j)], found[max(i, j)]) >= images.MIN_INLIERS} for i in found}
     assert all(links[i] == {j for j in found if j // 100 == i // 100} - {i} for i in found)
     assert got == {i: (i // 100 * 100, len(links[i])) for i in found}
+
+
+def test_strong_crops_and_small_scales_are_copies(spark):
+    def shrunk(picture, k):
+        side = len(picture) // k * k
+        return picture[:side, :side].reshape(side // k, k, side // k, k).mean((1, 3))
+
+    def coarse(seed, side=384):
+        noise = np.random.default_rng(seed).normal(size=(1, side, side)).astype(np.float32)
+        smooth = images._blur(images._blur(images._blur(noise, 4), 4), 4)[0]
+        return 128 + 70 * np.tanh(smooth / smooth.std())
+
+    rng = np.random.default_rng(2)
+    big, other = (images._picture(list(rng.normal(size=16)), 256) for _ in range(2))
+    wide, far = coarse(1), coarse(2)
+    # Class 0: crops of a large image to an eighth and a sixteenth; class 10: copies under half the size.
+    made = {0: big, 1: big[100:191, 60:151], 2: big[100:164, 60:124], 3: other, 10: wide, 11: shrunk(wide, 3), 12: far}
+    rows = [(i, bytearray(images.encode_pgm(p))) for i, p in made.items()]
+    df = spark.createDataFrame(rows, "image_id bigint, media binary")
+    got = {r.image_id: r.class_id for r in images.image_copies(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 10: 10, 11: 10, 12: 12}
+    assert {r.image_id: r.n_features > 500 for r in images.features(df).where("image_id = 0").collect()} == {0: True}
