@@ -114,8 +114,7 @@ def j14_match(spark, sf):
     arcs = across.union(up).select(
         F.abs(F.xxhash64("x1", "y1", "x2", "y2")).alias("id"), node(C("x1"), C("y1")).alias("src"), node(C("x2"), C("y2")).alias("dst"), "x1", "y1", "x2", "y2"
     )
-    tracks = planar(spark, sf).where("traj_id < 20")
-    return map_matching.match(tracks, arcs, 300.0).select("traj_id", "seq", "arc_id")
+    return map_matching.match(planar(spark, sf), arcs, 300.0).select("traj_id", "seq", "arc_id")
 
 
 def s19_reservoir(spark, sf):
