@@ -89,12 +89,12 @@ def m13_fill(spark, sf):
 
 def j13_candidates(spark, sf):
     arcs = _arcs(spark, sf).withColumns({"src": C("id") * 2, "dst": C("id") * 2 + 1})
-    c = map_matching.candidates(planar(spark, sf).where("seq % 20 = 0"), arcs, 600.0, 3)
+    c = map_matching.candidates(planar(spark, sf), arcs, 600.0, 3)
     return c.select("seq", "arc_id", R("distance", 4).alias("distance"))
 
 
 _CANDIDATES = f"""WITH {GNSS}, q AS (
-  SELECT seq, round((x - 116) * 100000, 3) AS x, round((y - 39) * 100000, 3) AS y FROM gnss WHERE seq % 20 = 0
+  SELECT seq, round((x - 116) * 100000, 3) AS x, round((y - 39) * 100000, 3) AS y FROM gnss
 ), {ARCS}, m AS (
   SELECT seq, a.id AS arc_id, x, y, x1, y1, x2, y2,
          ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif(power(x2 - x1, 2) + power(y2 - y1, 2), 0) AS t FROM q, ARC a

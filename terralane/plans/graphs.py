@@ -56,8 +56,7 @@ def n07_greedy(spark, sf):
 
 
 def n09_components(spark, sf):
-    arcs = trade(spark, sf).where("(src + dst) % 9 = 0")
-    return N.components(nations(spark, sf), arcs)
+    return N.components(nations(spark, sf), trade(spark, sf))
 
 
 def n10_clustering_coefficient(spark, sf):
@@ -186,8 +185,8 @@ QUERIES = {
     "n07_greedy": (n07_greedy, None),
     "n09_components": (
         n09_components,
-        f"""WITH RECURSIVE {NATIONS}, {TRADE}, h AS (SELECT src, dst FROM half WHERE (src + dst) % 9 = 0), reach AS (
-  SELECT id AS s, id AS d FROM nodes UNION SELECT r.s, h.dst FROM reach r JOIN h ON r.d = h.src
+        f"""WITH RECURSIVE {NATIONS}, {TRADE}, reach AS (
+  SELECT id AS s, id AS d FROM nodes UNION SELECT r.s, h.dst FROM reach r JOIN half h ON r.d = h.src
 ) SELECT s AS id, min(d) AS component FROM reach GROUP BY 1""",
     ),
     "n10_clustering_coefficient": (

@@ -54,7 +54,7 @@ def s05_ais(spark, sf):
 
 
 def s06_flights(spark, sf):
-    e = gnss(spark, sf).where("seq % 5 = 0")
+    e = gnss(spark, sf)
     blank = [F.lit("")] * 4
     line = F.concat_ws(",", "x", "y", "traj_id", *([F.lit("-")] * 6), F.lit("AAA"), F.lit("-"), F.lit("BBB"), *blank, scalars.from_epoch(F.floor("ts")))
     path = _written(spark, e.select(line.alias("value")), "flights")
@@ -445,12 +445,12 @@ def m16_extrude(spark, sf):
     return meshes.extrude(r).groupBy("region").agg(F.count("*").alias("panels"), F.max("z2").alias("top"))
 
 
-_LINE_SQL = f"""WITH {PLANAR}, v AS (SELECT traj_id AS fid, seq % 2 AS p, seq, x, y FROM planar WHERE seq % 3 = 0)"""
+_LINE_SQL = f"""WITH {PLANAR}, v AS (SELECT traj_id AS fid, seq % 2 AS p, seq, x, y FROM planar)"""
 
 QUERIES = {
     "s04_csv_points": (s04_csv_points, f"WITH {GNSS} SELECT traj_id, round(x, 6) AS x, round(y, 6) AS y, {_SECOND} AS ts FROM gnss WHERE x BETWEEN 116.02 AND 116.05 AND y BETWEEN 39.0 AND 39.2"),
     "s05_ais": (s05_ais, f"WITH {GNSS} SELECT traj_id, round(x, 6) AS x, round(y, 6) AS y, kind FROM gnss"),
-    "s06_flights": (s06_flights, f"WITH {GNSS} SELECT traj_id, round(6378137.0::DOUBLE * radians(x), 2) AS x, 'AAA' AS origin, 'BBB' AS destination FROM gnss WHERE seq % 5 = 0"),
+    "s06_flights": (s06_flights, f"WITH {GNSS} SELECT traj_id, round(6378137.0::DOUBLE * radians(x), 2) AS x, 'AAA' AS origin, 'BBB' AS destination FROM gnss"),
     "s08_shapefile": (s08_shapefile, f"{_LINE_SQL} SELECT 'PolyLine' AS shape, count(DISTINCT fid) AS n, count(DISTINCT (fid, p)) AS parts, count(*) AS points FROM v"),
     "s10_dbf": (s10_dbf, "SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS s, round(p_retailprice, 2) AS p, p_brand AS b FROM part"),
     "s11_geojson": (s11_geojson, f"WITH {NATIONS} SELECT id, x, y FROM nodes"),

@@ -217,7 +217,7 @@ FROM region_edges GROUP BY 1"""
 
 
 def _lines(spark, sf):
-    v = planar(spark, sf).where("seq % 3 = 0")
+    v = planar(spark, sf)
     parts = v.groupBy("traj_id", (C("seq") % 2).alias("p")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("seq", "x", "y"))),
@@ -242,7 +242,7 @@ def p06_single_parts(spark, sf):
     )
 
 
-_PARTS = f"WITH {PLANAR}, v AS (SELECT traj_id AS fid, seq % 2 AS p, seq, x, y FROM planar WHERE seq % 3 = 0)"
+_PARTS = f"WITH {PLANAR}, v AS (SELECT traj_id AS fid, seq % 2 AS p, seq, x, y FROM planar)"
 
 
 def p07_segments_of_parts(spark, sf):
