@@ -2,18 +2,23 @@
 
 All of this is DataFrame and SQL functions; no Python runs on the executors.
 
-The fixed forms (email, ip, card, phone) are the seeds. A form that is dropped because
-it ran on into the next number may hold well-formed parts; these are seeds as well and
-count as ``id`` spans. Words to the left and right of
-a seed are lexical patterns; other identifier-like strings next to the same words are
-candidates. Patterns and strings form a graph which is scored in rounds: a pattern's
-confidence is the score of what it extracts over the number of documents that use its
-word at all, and a string's score is the noisy-or of its patterns. Strings that end
-above a threshold are identifiers not seen before; their places become ``id`` spans.
+The fixed forms (email, ip, card, phone) are the seeds. Patterns are lexical: the word to
+the left of an instance, the word to its right and, for well-formed card and phone numbers,
+the form in which it is written. Other identifier-like strings are candidates; so are the
+well-formed numbers inside a form that was dropped because it ran on into the next one.
+Patterns and strings are a graph which is scored in rounds until nothing moves: a pattern's
+confidence is the score of what it extracts over the number of documents that use it at
+all, and a string's score is the noisy-or of its patterns. Strings that end above a
+threshold are identifiers not seen before; their places become ``id`` spans.
+
+Work is linear in a text, but for sorting its spans: positions are running sums in blocks,
+and spans of several kinds meet in one sorted list.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: Kinds whose way of writing is a pattern.
+FORMED = ("card", "phone")
 #: Whole card numbers and phone numbers inside a match that was dropped.
 PART = (
     r"(?<![0-9])[0-9]{13,19}(?![0-9])"
@@ -35,58 +42,131 @@ PART = (
     r"|\+[0-9]{1,3}[\x20-]?\(?[0-9]{2,4}\)?[\x20-]?[0-9]{3,4}[\x20-][0-9]{3,4}(?![0-9])"
 )
 FOUND = "id"
-#: Identifier-like: a word that holds a digit, with inner joints.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,32}+[0-9][A-Za-z0-9]*+(?:[._:/@-][A-Za-z0-9]++)*+"
+#: Identifier-like: at least six signs, four digits among them, with inner joints.
+WORD = (
+    r"(?<![A-Za-z0-9])(?=[A-Za-z0-9._:/@-]{6})[A-Za-z]*+(?=[0-9](?:[A-Za-z._:/@-]*+[0-9]){3})"
+    r"[0-9][A-Za-z0-9]*+(?:[._:/@-][A-Za-z0-9]++)*+"
+)
+CANDIDATE = f"{PART}|{WORD}"
 CANDIDATE_LENGTH = 6
 CANDIDATE_DIGITS = 4
-ROUNDS = 3
+#: Scores only grow from round to round; they are final once none moves by more than this.
+TOLERANCE = 0.01
 SMOOTHING = 2.0
 ACCEPT = 0.5
-CONTEXT = 64
 
-_SPAN = "struct<start:int,end:int,body:string,left:string,right:string>"
+_SPAN = "struct<start:int,end:int,body:string,left:string,right:string,form:string>"
+_BLOCK = 128
+_CHUNK = 1024
+_FAR = 2**31 - 1
 _WORDS = r"[^\p{L}]+"
 
 
-def _let(value: Column, body) -> Column:
+def _let(value: Column, body: Callable) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
 
 
+def _running(values: Column, merge: Callable, depth: int = 2) -> Column:
+    """``merge`` of each value and all before it.
+
+    An array is copied whenever it grows, so it grows in blocks, which carry on the last
+    value of the blocks before them; ``depth`` levels of blocks.
+    """
+
+    def grown(v):
+        return F.aggregate(
+            F.slice(v, F.lit(2), F.size(v)),
+            F.slice(v, 1, 1),
+            lambda done, x: F.concat(done, F.array(merge(F.element_at(done, F.lit(-1)), x))),
+        )
+
+    def over(v):
+        if not depth:
+            return grown(v)
+
+        def joined(blocks):
+            def carried(before):
+                return F.flatten(
+                    F.transform(
+                        blocks,
+                        lambda block, i: F.when(i == 0, block).otherwise(
+                            F.transform(block, lambda x: merge(F.get(before, i - 1), x))
+                        ),
+                    )
+                )
+
+            lasts = F.transform(blocks, lambda block: F.element_at(block, F.lit(-1)))
+            return _let(_running(lasts, merge, depth - 1), carried)
+
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")),
+            lambda b: _let(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)), grown),
+        )
+        return F.when(F.size(v) <= _BLOCK, grown(v)).otherwise(_let(blocks, joined))
+
+    return _let(values, over)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORDS), lambda w: w != "")
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches from left to right: start, end (code points), body, words beside it."""
-    empty = F.array().cast(f"array<{_SPAN}>")
-
-    def placed(matches):
-        def over(pieces):
-            def step(done, i):
-                body = F.get(matches, i)
-                before, after = F.get(pieces, i), F.get(pieces, i + 1)
-                start = done["at"] + F.char_length(before)
-                end = start + F.char_length(body)
-                span = F.struct(
-                    start.cast("int").alias("start"),
-                    end.cast("int").alias("end"),
-                    body.alias("body"),
-                    F.try_element_at(_words(F.right(before, F.lit(CONTEXT))), F.lit(-1)).alias("left"),
-                    F.try_element_at(_words(F.left(after, F.lit(CONTEXT))), F.lit(1)).alias("right"),
-                )
-                return F.struct(end.cast("int").alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+def _last_word(text: Column) -> Column:
+    found = F.regexp_extract(text, r"(?<!\p{L})(\p{L}++)[^\p{L}]*+\z", 1)
+    return F.nullif(F.lower(found), F.lit(""))
 
-            begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-            return F.aggregate(
-                F.sequence(F.lit(0), F.size(matches) - 1), begin, step, lambda d: d["spans"]
-            )
 
-        return F.when(F.size(matches) == 0, empty).otherwise(
-            _let(F.split(text, pattern, -1), over)
+def _first_word(text: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(text, r"^[^\p{L}]*+(\p{L}++)", 1)), F.lit(""))
+
+
+def located(rows: DataFrame, searches: dict[str, tuple]) -> DataFrame:
+    """``rows`` with a column of matches in ``text`` for each name -> (pattern, sign, keep, form).
+
+    A match that ``keep`` has start, end (code points), body, the words beside it and its
+    form. The words are those between a match and the next one on either side, kept or
+    not. A text without ``sign`` is not searched. Matches, pieces and ends are columns of
+    their own: each is used more than once.
+    """
+    def found(name, pattern, sign):
+        every = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        if not sign:
+            return every
+        return F.when(F.contains("text", F.lit(sign)), every).otherwise(F.array().cast("array<string>"))
+
+    def ends(name):
+        sizes = F.transform(
+            f"_found_{name}", lambda m, i: F.char_length(m) + F.char_length(F.get(f"_pieces_{name}", i))
+        )
+        return _running(sizes, lambda a, b: a + b)
+
+    def spans(name, keep, form):
+        end = lambda i: F.get(f"_ends_{name}", i)
+        piece = lambda i: F.get(f"_pieces_{name}", i)
+        made = F.transform(
+            f"_found_{name}",
+            lambda m, i: F.struct((end(i) - F.char_length(m)).alias("start"), end(i).alias("end"), m.alias("body"), i.alias("i")),
+        )
+        return F.transform(
+            F.filter(made, lambda s: keep(s["body"])),
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["body"].alias("body"),
+                _last_word(piece(s["i"])).alias("left"),
+                _first_word(piece(s["i"] + 1)).alias("right"),
+                form(s["body"]).cast("string").alias("form"),
+            ),
         )
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    kept = rows.columns
+    rows = rows.withColumns({f"_found_{n}": found(n, p, s) for n, (p, s, _, _) in searches.items()})
+    rows = rows.withColumns(
+        {f"_pieces_{n}": F.when(F.size(f"_found_{n}") > 0, F.split("text", p, -1)) for n, (p, _, _, _) in searches.items()}
+    )
+    rows = rows.withColumns({f"_ends_{n}": ends(n) for n in searches})
+    return rows.select(*kept, *(spans(n, k, f).alias(n) for n, (_, _, k, f) in searches.items()))
 
 
 def luhn(digits: Column) -> Column:
@@ -120,65 +200,80 @@ def _valid(kind: str, body: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Matches of one fixed form that pass its test; a failing match is dropped whole."""
-    sign = {"email": "@", "phone": "+", "ip": "."}.get(kind)
-    found = located(text, PATTERNS[kind])
-    if sign:
-        found = F.when(F.contains(text, F.lit(sign)), found).otherwise(
-            F.array().cast(f"array<{_SPAN}>")
-        )
-    return F.filter(found, lambda m: _valid(kind, m["body"]))
+def _form(body: Column) -> Column:
+    return F.regexp_replace(body, "[0-9]", "9")
+
 
+def base_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` with the matches of each fixed form that pass its test; a failing match is dropped whole."""
+    signs = {"email": "@", "phone": "+", "ip": "."}
 
-def _touches(m: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    def search(kind):
+        form = _form if kind in FORMED else lambda body: F.lit(None)
+        return PATTERNS[kind], signs.get(kind), lambda body: _valid(kind, body), form
 
+    return located(rows, {kind: search(kind) for kind in KINDS})
 
-def parts_of_dropped(text: Column, taken: list[Column]) -> Column:
-    """Well-formed numbers that touch none of the base spans."""
-    def wanted(m):
-        phone = F.startswith(m["body"], F.lit("+"))
-        fits = F.when(phone, _valid("phone", m["body"])).otherwise(_valid("card", m["body"]))
-        for spans in taken:
-            fits &= ~_touches(m, spans)
-        return fits
 
-    return F.filter(located(text, PART), wanted)
+def _apart(spans: Column, taken: Column) -> Column:
+    """``spans`` that overlap none of those ``taken``: all in one sorted list.
 
+    Of the taken spans, the furthest end so far must not lie beyond a span's start, nor the
+    next start before its end.
+    """
+    mark = lambda m, own: F.struct(m["start"].alias("at"), F.lit(own).alias("own"), m.alias("m"))
 
-def candidates(text: Column, taken: list[Column]) -> Column:
-    """Identifier-like strings that touch none of the spans found so far."""
-    def wanted(m):
-        fits = (F.char_length(m["body"]) >= CANDIDATE_LENGTH) & (
-            F.length(_digits(m["body"])) >= CANDIDATE_DIGITS
+    def kept(events):
+        behind = _running(
+            F.transform(events, lambda e: F.when(e["own"] == 1, F.lit(-1)).otherwise(e["m"]["end"])), F.greatest
+        )
+        ahead = _running(
+            F.transform(F.reverse(events), lambda e: F.when(e["own"] == 1, F.lit(_FAR)).otherwise(e["at"])), F.least
         )
-        for spans in taken:
-            fits &= ~_touches(m, spans)
-        return fits
 
-    return F.filter(located(text, CANDIDATE), wanted)
+        def fits(behind, ahead):
+            free = F.filter(
+                events,
+                lambda e, i: (e["own"] == 1)
+                & (F.get(behind, i) <= e["at"])
+                & (F.get(ahead, F.size(events) - 1 - i) >= e["m"]["end"]),
+            )
+            return F.transform(free, lambda e: e["m"])
+
+        return _let(behind, lambda x: _let(ahead, lambda y: fits(x, y)))
+
+    events = F.array_sort(
+        F.concat(F.transform(taken, lambda m: mark(m, 0)), F.transform(spans, lambda m: mark(m, 1)))
+    )
+    return F.when((F.size(spans) == 0) | (F.size(taken) == 0), spans).otherwise(_let(events, kept))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """``rows`` with identifier-like strings and well-formed numbers that overlap no fixed form."""
+    phone = lambda body: F.startswith(body, F.lit("+"))
+    number = lambda body: ~F.rlike(body, F.lit("[^0-9\\x20-]")) & (F.length(_digits(body)) >= 13)
+
+    def well_formed(body):
+        return F.when(phone(body), _valid("phone", body)).otherwise(number(body) & _valid("card", body))
+
+    def wanted(body):
+        word = (F.char_length(body) >= CANDIDATE_LENGTH) & (F.length(_digits(body)) >= CANDIDATE_DIGITS)
+        return F.when(phone(body) | F.contains(body, F.lit(" ")), well_formed(body)).otherwise(word)
+
+    form = lambda body: F.when(well_formed(body), _form(body))
+    found = located(rows, {"_all": (CANDIDATE, None, wanted, form)}).withColumn("_base", F.concat(*KINDS))
+    return found.withColumn("candidates", _apart(F.col("_all"), F.col("_base"))).drop("_all", "_base")
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, key_a, key_b, one array of spans per kind, parts, and candidates.
+    """doc_id, key_a, key_b, one array of spans per kind, and candidates.
 
     The keys are hashes of a row's id and text, so equal rows share results and rows
     of one id but other texts don't.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).select(
-        "*", *(base_spans(F.col("text"), k).alias(k) for k in KINDS)
-    )
-    base = [F.col(k) for k in KINDS]
-    found = found.withColumn("parts", parts_of_dropped(F.col("text"), base))
-    return found.select(
-        "doc_id",
-        *_keys(),
-        *KINDS,
-        "parts",
-        candidates(F.col("text"), [*base, F.col("parts")]).alias("candidates"),
-    )
+    rows = docs.select("doc_id", *_keys(), text.alias("text"))
+    return candidates(base_spans(rows)).drop("text")
 
 
 def _keys() -> list[Column]:
@@ -196,9 +291,12 @@ def word_frequency(docs: DataFrame) -> DataFrame:
 
 
 def graph(extracted: DataFrame) -> DataFrame:
-    """side, word, body, is_seed, n: in how many rows a string stands beside a word."""
+    """side, word, body, is_seed, n: in how many rows a string stands in a pattern.
+
+    A pattern is the word on the left or right, or the form a number is written in.
+    """
     def beside(spans: Column, seed: bool) -> Column:
-        def two(m):
+        def three(m):
             return F.array(
                 *(
                     F.struct(
@@ -207,13 +305,13 @@ def graph(extracted: DataFrame) -> DataFrame:
                         F.lower(m["body"]).alias("body"),
                         F.lit(int(seed)).alias("is_seed"),
                     )
-                    for side in ("left", "right")
+                    for side in ("left", "right", "form")
                 )
             )
 
-        return F.flatten(F.transform(spans, two))
+        return F.flatten(F.transform(spans, three))
 
-    seeds = (beside(F.col(k), True) for k in (*KINDS, "parts"))
+    seeds = (beside(F.col(k), True) for k in KINDS)
     every = F.concat(*seeds, beside(F.col("candidates"), False))
     return (
         extracted.select(F.explode(F.array_distinct(every)).alias("e"))
@@ -227,21 +325,26 @@ def graph(extracted: DataFrame) -> DataFrame:
 def discover(
     edges: DataFrame,
     frequency: DataFrame,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     smoothing: float = SMOOTHING,
     accept: float = ACCEPT,
 ) -> DataFrame:
     """body, score of strings that are no seeds and score at least ``accept``.
 
-    A pattern weighs sum(n * score) / (docs + smoothing), at most 1. Sums are made
-    before rows are dealt out; each round is one join on the pattern and one on the
+    A pattern weighs sum(n * score) / (docs + smoothing), at most 1; ``docs`` of a word are
+    all rows that use it, of a form all that write a number so. Scores start from the seeds
+    and never fall, so rounds end: when no score moved by more than ``tolerance``. Sums are
+    made before rows are dealt out; each round is one join on the pattern and one on the
     string, with no row for a pair of strings.
     """
-    # Only words beside a seed can give a pattern any weight in the first round; later
-    # ones get theirs from strings, so all edges stay.
-    known = materialize(edges.join(frequency, "word"), "pii-graph")
+    words, forms = edges.where("side <> 'form'"), edges.where("side = 'form'")
+    written = forms.groupBy("word").agg(F.sum("n").alias("docs"))
+    known = materialize(
+        words.join(frequency, "word").unionByName(forms.join(written, "word")), "pii-graph"
+    )
     scored = known.withColumn("score", F.col("is_seed").cast("double"))
-    for _ in range(rounds):
+    before, moved = known.groupBy("body").agg(F.max("is_seed").cast("double").alias("score")), 1.0
+    while moved > tolerance:
         patterns = scored.groupBy("side", "word").agg(
             F.least(
                 F.lit(1.0), F.sum(F.col("n") * F.col("score")) / (F.max("docs") + smoothing)
@@ -260,11 +363,15 @@ def discover(
             )
         )
         strings = materialize(strings, "pii-scores")
+        steps = strings.join(before.withColumnRenamed("score", "was"), "body", "left")
+        change = F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))
+        moved = steps.agg(change.alias("moved")).first().moved or 0.0
+        before = strings
         scored = known.join(strings, "body", "left").withColumn(
             "score", F.coalesce("score", F.col("is_seed").cast("double"))
         )
     seeds = known.where("is_seed = 1").select("body").distinct()
-    return strings.where(F.col("score") >= accept).join(seeds, "body", "left_anti")
+    return before.where(F.col("score") >= accept).join(seeds, "body", "left_anti").select("body", "score")
 
 
 def find(docs: DataFrame, **settings) -> DataFrame:
@@ -273,8 +380,7 @@ def find(docs: DataFrame, **settings) -> DataFrame:
     One row for each row of ``docs``. Null and empty texts have no spans; repeated rows
     get the same spans; other columns are ignored; without rows the result is empty.
     Whole texts are searched. A string is an ``id`` wherever it occurs as a candidate,
-    once its contexts anywhere in the corpus are convincing; so is a well-formed part of
-    a form that was dropped.
+    once its patterns anywhere in the corpus are convincing.
     """
     extracted = materialize(extract(docs), "pii-spans")
     accepted = discover(graph(extracted), word_frequency(docs), **settings)
@@ -286,12 +392,11 @@ def find(docs: DataFrame, **settings) -> DataFrame:
         .agg(F.collect_set(F.struct("start", "end")).alias("_places"))
     )
     none = F.array().cast("array<struct<start:int,end:int>>")
-    parts = F.transform("parts", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
     return (
         extracted.drop("candidates")
         .join(places, ["key_a", "key_b"], "left")
-        .withColumn(FOUND, F.array_sort(F.array_union(parts, F.coalesce("_places", none))))
-        .drop("parts", "_places")
+        .withColumn(FOUND, F.array_sort(F.coalesce("_places", none)))
+        .drop("_places")
     )
 
 
@@ -313,13 +418,63 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` up to ``end`` of a text given in chunks."""
+    def part(c):
+        low = F.greatest(start - c * _CHUNK, F.lit(0))
+        high = F.least(end - c * _CHUNK, F.lit(_CHUNK))
+        return F.substring(F.get(chunks, c), low + 1, high - low)
+
+    first, last = (F.floor(x / _CHUNK).cast("int") for x in (start, end - 1))
+    return F.when(end <= start, "").otherwise(
+        F.array_join(F.transform(F.sequence(first, last), part), "")
+    )
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with each span (start, end, kind) replaced by its kind in brackets.
+
+    Of overlapping spans each takes what those before it left; one inside others vanishes.
+    """
+    length = F.char_length(text)
+
+    def over(ordered):
+        def cut(ends):
+            def chunked(chunks):
+                numbered = F.transform(
+                    ordered,
+                    lambda s, i: F.struct(
+                        F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("at"), s.alias("s")
+                    ),
+                )
+                pieces = F.transform(
+                    F.filter(numbered, lambda n: n["s"]["end"] > n["at"]),
+                    lambda n: F.concat(
+                        _between(chunks, n["at"], n["s"]["start"]),
+                        F.lit("["),
+                        F.upper(n["s"]["kind"]),
+                        F.lit("]"),
+                    ),
+                )
+                tail = _between(chunks, F.element_at(ends, F.lit(-1)), length)
+                return F.concat(F.array_join(pieces, ""), tail)
+
+            return _let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _CHUNK), F.lit(0)), chunked)
+
+        return _let(_running(F.transform(ordered, lambda s: s["end"]), F.greatest), cut)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(F.array_sort(spans), over))
+
+
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with every span of ``find`` replaced by its kind in brackets.
 
     Spans that overlap are replaced once, by the kind that begins first. ``n_chars``,
-    where there is such a column, is set to the new length. A null text stays null.
+    where there is such a column, is set to the new length. A null text stays null; all
+    other columns, whatever their names, stay as they are.
     """
     spans = find(docs, **settings)
+
     def labelled(kind: str) -> Column:
         return F.transform(
             F.col(kind),
@@ -328,35 +483,25 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
             ),
         )
 
-    every = F.array_sort(F.concat(*map(labelled, (*KINDS, FOUND))))
     touched = (
-        spans.select("key_a", "key_b", every.alias("_spans"))
-        .where(F.size("_spans") > 0)
+        spans.select("key_a", "key_b", F.concat(*map(labelled, (*KINDS, FOUND))).alias("spans"))
+        .where(F.size("spans") > 0)
         .dropDuplicates(["key_a", "key_b"])
     )
-    text = F.col("text")
-
-    def step(done, s):
-        kept = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        masked = F.struct(
-            s["end"].alias("at"), F.concat(done["out"], kept, mark).alias("out")
-        )
-        return F.when(s["end"] <= done["at"], done).otherwise(masked)
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(
-        F.col("_spans"),
-        begin,
-        step,
-        lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))),
-    )
+    # The whole row is one column meanwhile, so no name of it can clash.
+    names = [f"`{c}`" for c in docs.columns]
+    key_a, key_b = _keys()
+    keyed = docs.select(F.struct(*names).alias("row"), key_a.alias("key_a"), key_b.alias("key_b"))
     # What is touched grows with the corpus, so it is never broadcast.
-    keyed = docs.withColumns({"_key_a": _keys()[0], "_key_b": _keys()[1]})
-    renamed = touched.withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b"})
-    joined = keyed.join(renamed.hint("merge"), ["_key_a", "_key_b"], "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
+    joined = keyed.join(touched.hint("merge"), ["key_a", "key_b"], "left").select(
+        "row",
+        F.when(F.col("spans").isNotNull(), masked(F.col("row.text"), F.col("spans")))
+        .otherwise(F.col("row.text"))
+        .alias("clean"),
+        F.col("spans").isNotNull().alias("changed"),
+    )
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), length).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        length = F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("changed"), length).otherwise(F.col("row.n_chars"))
+    return joined.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

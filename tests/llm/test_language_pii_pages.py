@@ -99,24 +99,127 @@ def test_contexts_find_unseen_identifiers(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_parts_of_dropped_forms(spark):
+def card(i):
+    body = f"4{i:014d}"
+    return body + next(c for c in "0123456789" if luhn(body + c))
+
+
+def test_parts_of_dropped_forms_are_scored(spark):
     text = "at a.b@c.de +1 (578) 555-6437 4111111111111111 and 4111111111111111 4111111111111111 end"
-    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    (r,) = pii.digest(pii.find(df)).collect()
-    assert (r.n_card, r.n_phone) == (0, 0)
-    assert r.spans == "email:3:11,id:12:29,id:30:46,id:51:67,id:68:84"
-    (clean,) = pii.redact(df).collect()
-    assert clean.text == "at [EMAIL] [ID] [ID] and [ID] [ID] end"
+    rows = [(1, text), (2, "so 4111111111111112 4111111111111113 fail"), (3, "x 2024-11-05-10-11 y")]
+    rows += [(10 + i, f"w{i} +1 (222) 555-{1000 + i} z{i}") for i in range(9)]
+    rows += [(30 + i, f"w{i} {card(i)} z{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    assert (got[1].n_card, got[1].n_phone) == (0, 0)
+    # Nothing but the score decides: their form is that of many seeds.
+    assert got[1].spans == "email:3:11,id:12:29,id:30:46,id:51:67,id:68:84"
+    assert got[2].spans == got[3].spans == ""
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[1] == "at [EMAIL] [ID] [ID] and [ID] [ID] end" and clean[3] == rows[2][1]
+
+
+def scores_by_hand(rows, texts, smoothing=pii.SMOOTHING, tolerance=pii.TOLERANCE):
+    """body -> score of all strings, from extracted rows and their texts."""
+    count, seeds = {}, set()
+    for r in rows:
+        own = set()
+        for name in (*pii.KINDS, "candidates"):
+            for m in r[name]:
+                if name != "candidates":
+                    seeds.add(m.body.lower())
+                own |= {(side, m[side], m.body.lower(), name != "candidates") for side in ("left", "right", "form") if m[side] is not None}
+        for edge in own:
+            count[edge] = count.get(edge, 0) + 1
+    edges = {}
+    for (side, word, body, _), n in count.items():
+        edges[side, word, body] = edges.get((side, word, body), 0) + n
+    used = {}
+    for t in texts:
+        for w in {w for w in re.split(r"[\W\d_]+", (t or "").lower()) if w}:
+            used[w] = used.get(w, 0) + 1
+    docs = {}
+    for (side, word, _), n in edges.items():
+        docs[side, word] = docs.get((side, word), 0) + n if side == "form" else used[word]
+    score = {body: float(body in seeds) for _, _, body in edges}
+    while True:
+        weight = {}
+        for (side, word, body), n in edges.items():
+            weight[side, word] = weight.get((side, word), 0) + n * score[body]
+        weight = {k: min(1.0, v / (docs[k] + smoothing)) for k, v in weight.items()}
+        new, against = {}, {}
+        for side, word, body in edges:
+            against[body] = against.get(body, 1.0) * max(1e-9, 1 - weight[side, word])
+        for body in score:
+            new[body] = 1.0 if body in seeds else 1 - against[body]
+        moved = max(abs(new[b] - score[b]) for b in score)
+        score = new
+        if moved <= tolerance:
+            return {b: s for b, s in score.items() if b not in seeds}
+
+
+def test_discovery_equals_brute_force(spark):
+    draw = random.Random(8)
+    words = ["mail", "call", "ref", "case", "über", "ñandú", "the", "a", "of"]
+    things = lambda: draw.choice(
+        [f"u{draw.randint(0, 30)}@h.io", f"10.0.0.{draw.randint(1, 40)}", f"AB{draw.randint(1, 25):04d}-77", f"+1 (222) 555-{draw.randint(1000, 1040)}", card(draw.randint(1, 30)), f"{card(1)} {card(2)}", "20240101", "v1.2.3"]
+    )
+    texts = [" ".join(x for _ in range(draw.randint(1, 6)) for x in (draw.choice(words), things())) for _ in range(250)]
+    texts += [None, "", texts[0], "AB0001-77 " * 3000, "9" * 40_000, *[" ".join(words)] * 1000]
+    df = spark.createDataFrame([(i % 240, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = pii.extract(df).collect()
+    want = scores_by_hand(rows, texts)
+    edges, frequency = pii.graph(pii.extract(df)), pii.word_frequency(df)
+    got = {r.body: r.score for r in pii.discover(edges, frequency, accept=0.0).collect()}
+    reached = {b: s for b, s in want.items() if s > 0}
+    assert len(reached) > 20 and set(got) == set(reached)
+    assert all(abs(got[b] - reached[b]) < pii.TOLERANCE / 10 for b in got)
+    accepted = {r.body for r in pii.discover(edges, frequency).collect()}
+    assert accepted == {b for b, s in want.items() if s >= pii.ACCEPT} and 0 < len(accepted) < len(want)
+
+
+def test_many_matches_in_one_text(spark):
+    texts = ["1 " * 200_000, "a.b@c.de " * 15_000, "x1234567 a@b.cd " * 8_000, "w" * 100_000 + " 1.2.3.4", "b " * 50_000 + "+1 222 333 4444"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    assert got[0].spans == "" and got[1].n_email == 15_000 and got[2].n_email == 8_000
+    for i, t in enumerate(texts):
+        listed = ",".join(f"{k}:{a}:{b}" for k, v in plain_spans(t).items() for a, b in v)
+        assert got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == texts[0] and clean[1] == "[EMAIL] " * 15_000 and clean[4] == "b " * 50_000 + "[PHONE]"
+    assert clean[2] in ("x1234567 [EMAIL] " * 8_000, "[ID] [EMAIL] " * 8_000) and clean[3] == "w" * 100_000 + " [IP]"
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    text = "é😀 abcdefghij" * 300
+    draw = random.Random(4)
+    spans = []
+    for _ in range(200):
+        a = draw.randrange(len(text) - 30)
+        spans.append((a, a + draw.randint(1, 30), draw.choice(["email", "ip"])))
+    df = spark.createDataFrame([(text, spans), (text, []), ("", []), (None, [])], "t string, s array<struct<start:int,end:int,kind:string>>")
+    got = [r.m for r in df.select(pii.masked(F.col("t"), F.col("s")).alias("m")).collect()]
+    want, at = "", 0
+    for a, b, k in sorted(spans):
+        if b > at:
+            want, at = want + text[at : max(a, at)] + f"[{k.upper()}]", b
+    assert got == [want + text[at:], text, "", None]
 
 
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "to a@b.cd or 10.0.0.1", 21, "x"), (1, "to a@b.cd or 10.0.0.1", 21, "x"), (2, None, None, "y"), (None, "call +1 222 333 4444.", 20, None)]
+    names = ["spans", "_spans", "key_a", "row", "email", "a.b", "clean"]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _spans string")
+    df = df.withColumns({n: F.col("_spans") for n in names if n != "_spans"})
     with pytest.raises(Exception):
         pii.redact(df.drop("text")).count()
-    got = sorted((tuple(r) for r in pii.redact(df.drop("_spans")).collect()), key=repr)
-    want = [(1, "to [EMAIL] or [IP]", 18), (1, "to [EMAIL] or [IP]", 18), (2, None, None), (None, "call [PHONE].", 13)]
-    assert got == sorted(want, key=repr)
+    out = pii.redact(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    want = [(1, "to [EMAIL] or [IP]", 18, "x"), (1, "to [EMAIL] or [IP]", 18, "x"), (2, None, None, "y"), (None, "call [PHONE].", 13, None)]
+    assert got == sorted(((*w, *[w[3]] * 6) for w in want), key=repr)
+    assert pii.redact(df.limit(0)).count() == 0
 
 
 def test_url_rules(spark):
