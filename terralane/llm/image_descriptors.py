@@ -1,18 +1,25 @@
 """Copies of images by local descriptors: cropped, rotated, scaled or re-toned.
 
-Each image gives all its corners on scales down to the size of a patch, each with an orientation and 256 binary
-brightness tests in a patch turned upright. Twenty chosen bits of a descriptor are a
-key in each of several Hamming tables. In a bucket each feature is held against all others,
-and those pairs stay whose descriptors are near enough to match; a large bucket is dealt
-out as block pairs, so no task holds more than two blocks of it. A few tables at a time are
-dealt out, so that the disk never holds all tables, and candidates are confirmed in
-portions. A candidate is a copy if enough of its best descriptor matches agree on one
-similarity transform.
+Each image gives all its corners on scales down to the size of a patch, each with an
+orientation and 256 binary brightness tests in a patch turned upright. Some chosen bits of
+a descriptor are a key in each of several Hamming tables, which are dealt out one by one,
+so the disk never holds two. A candidate is a copy if enough of its best descriptor matches
+agree on one similarity transform; copies are joined to classes.
+
+1. Stars: in the first tables each feature names only the first one of its bucket that is
+   near enough to match. What these candidates confirm joins large groups of copies.
+2. All tables: in a bucket each feature is held against all others, and those pairs stay
+   whose descriptors are near enough and whose images are of different classes so far. So
+   no pair that could join two classes is left out, and none is made within a class.
+
+A large bucket is dealt out as block pairs, so no task holds more than two blocks of it.
 """
 
 from __future__ import annotations
 
+import math
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -21,23 +28,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_shuffles
+from .common import materialize, release_shuffles, shared_dir
 from .components import connected_components
 
 #: Each scale is so much smaller than the one before, down to the size of a patch.
 STEP = 0.75
 RADIUS = 15
 TESTS = 256
+#: Tables and bits of their keys up to 16 million features; see ``table_plan``.
 TABLES = 10
-#: Tables that are on disk together.
-TABLES_AT_ONCE = 2
+KEY_BITS = 20
+#: Features that a bucket holds on average, at most, if descriptors were random.
+BUCKET_ROWS = 16
+#: Bits of a match that may differ, as a share; more bits a key need so many more tables.
+FLIPPED = 0.1
+#: Tables in which stars are sought first.
+STAR_TABLES = 2
 #: Rows of one block of a bucket; larger buckets are dealt out as block pairs.
 BLOCK_ROWS = 1024
 #: Row pairs of buckets that are compared in one step.
 _PORTION = 1 << 18
 #: Candidates that are confirmed together, for each image: a bound of the disk in use.
-PAIRS_AT_ONCE = 2
-KEY_BITS = 20
+PAIRS_AT_ONCE = 1
 MAX_DISTANCE = 48
 MIN_INLIERS = 12
 #: Where the smaller image has few corners, a quarter of them is enough, but never fewer than these.
@@ -161,7 +173,7 @@ def _resized(stack: np.ndarray, scale: float) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _patterns():
-    """Test positions, disc positions for the orientation, bits of each table's key."""
+    """Test positions and disc positions for the orientation."""
     draw = np.random.Generator(np.random.PCG64(7))
     tests = draw.normal(0, RADIUS / 2, (2, TESTS, 2))
     # An upright patch grows brighter to the right, so tests along that way all agree;
@@ -171,8 +183,22 @@ def _patterns():
     span = np.arange(-RADIUS, RADIUS + 1)
     disc = np.stack(np.meshgrid(span, span), -1).reshape(-1, 2)
     disc = disc[(disc**2).sum(1) <= RADIUS**2]
-    keys = np.stack([draw.choice(TESTS, KEY_BITS, replace=False) for _ in range(TABLES)])
-    return tests.astype(np.float32), disc, keys
+    return tests.astype(np.float32), disc
+
+
+def table_plan(n_features: int) -> tuple[int, int]:
+    """(bits of a key, tables) for so many features.
+
+    Buckets keep their size as the corpus grows, so keys get longer; a match then meets
+    less often in one table, which more tables make up for.
+    """
+    bits = min(60, max(KEY_BITS, math.ceil(math.log2(max(1, n_features) / BUCKET_ROWS))))
+    return bits, math.ceil(TABLES / (1 - FLIPPED) ** (bits - KEY_BITS))
+
+
+@lru_cache(maxsize=256)
+def _chosen_bits(table: int, bits: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([7, table])).choice(TESTS, bits, replace=False)
 
 
 def _at_scale(stack: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +228,7 @@ def _at_scale(stack: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
 def _features(stack, wide, scale: float, image, y, x) -> np.ndarray:
     """Orientation and tests of given corners."""
     _, height, width = stack.shape
-    tests, disc, _ = _patterns()
+    tests, disc = _patterns()
     values = stack[image[:, None], y[:, None] + disc[:, 1], x[:, None] + disc[:, 0]]
     values = values - values.mean(1, keepdims=True)
     angle = np.arctan2(values @ disc[:, 1].astype(np.float32), values @ disc[:, 0].astype(np.float32))
@@ -239,19 +265,11 @@ def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros(0, FEATURE) for f in out]
 
 
-def table_keys(features: np.ndarray, first: int = 0, count: int = TABLES) -> np.ndarray:
-    """A key for every feature and table: the table's number and its chosen bits."""
-    _, _, chosen = _patterns()
+def table_keys(features: np.ndarray, table: int = 0, bits: int = KEY_BITS) -> np.ndarray:
+    """The key of every feature in a table: its chosen bits."""
     packed = features["bits"].copy().view(np.uint8).reshape(len(features), TESTS // 8)
-    bits = np.unpackbits(packed, axis=1, bitorder="little")
-    weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
-    return np.stack(
-        [
-            (t << KEY_BITS) | bits[:, chosen[t]].astype(np.int64) @ weights
-            for t in range(first, first + count)
-        ],
-        1,
-    )
+    every = np.unpackbits(packed, axis=1, bitorder="little")
+    return every[:, _chosen_bits(table, bits)].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
@@ -333,8 +351,11 @@ def features(images: DataFrame) -> DataFrame:
     )
 
 
-def table_rows(heads: DataFrame, first: int = 0, count: int = TABLES) -> DataFrame:
-    """image_id, key, corner, bits_0 to bits_3: a row for each feature and chosen table."""
+def table_rows(heads: DataFrame, table: int = 0, bits: int = KEY_BITS) -> DataFrame:
+    """image_id, class, key, corner, bits_0 to bits_3: a row for each feature.
+
+    ``heads`` has image_id, features and class (of the image so far).
+    """
     id_type = heads.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -343,31 +364,34 @@ def table_rows(heads: DataFrame, first: int = 0, count: int = TABLES) -> DataFra
         for whole in batches:
             for low in range(0, whole.num_rows, 64):
                 batch = whole.slice(low, 64)
-                found = [np.frombuffer(f, FEATURE) for f in batch.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(found)), [len(f) * count for f in found])
+                found = [np.frombuffer(f, FEATURE) for f in batch.column(2).to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 every = np.concatenate(found)
                 number = np.concatenate([np.arange(len(f), dtype=np.int32) for f in found])
-                bits = np.repeat(every["bits"].view(np.int64), count, axis=0)
+                tests = every["bits"].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(owner)),
-                        pa.array(table_keys(every, first, count).reshape(-1).astype(np.int32)),
-                        pa.array(np.repeat(number, count)),
-                        *(pa.array(bits[:, i]) for i in range(4)),
+                        batch.column(0).take(owner),
+                        batch.column(1).take(owner),
+                        pa.array(table_keys(every, table, bits)),
+                        pa.array(number),
+                        *(pa.array(tests[:, i]) for i in range(4)),
                     ],
-                    ["image_id", "key", "corner", *BITS],
+                    ["image_id", "class", "key", "corner", *BITS],
                 )
 
-    return heads.select("image_id", "features").mapInArrow(
-        run, f"image_id {id_type}, key int, corner int, " + ", ".join(f"{c} bigint" for c in BITS)
+    return heads.select("image_id", "class", "features").mapInArrow(
+        run,
+        f"image_id {id_type}, class {id_type}, key bigint, corner int, " + ", ".join(f"{c} bigint" for c in BITS),
     )
 
 
-def bucket_pairs(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """a, b, corner (of a) for every two features in one bucket that are near enough to match.
+def bucket_pairs(rows: DataFrame, block: int = BLOCK_ROWS, stars: bool = False) -> DataFrame:
+    """a, b, corner (of a) for features in one bucket that are near enough to match.
 
-    A bucket of more than ``block`` rows is cut into blocks by a hash and dealt out as
-    block pairs, each feature of one block against each of the other.
+    All pairs of images of different classes or, as ``stars``, for each feature the first
+    of these. A bucket of more than ``block`` rows is cut into blocks by a hash and dealt
+    out as block pairs, each feature of one block against each of the other.
     """
     id_type = rows.schema["image_id"].dataType.simpleString()
     # Written first: its size is known then, and the rows needn't be dealt out for this join.
@@ -388,11 +412,12 @@ def bucket_pairs(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
             F.greatest("own", "other").alias("high"),
             "own",
             "image_id",
+            "class",
             "corner",
             *BITS,
         )
         .repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high", "own")
+        .sortWithinPartitions("key", "low", "high", "own", "image_id", "corner")
     )
 
     def compare(table) -> Iterator:
@@ -401,8 +426,9 @@ def bucket_pairs(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
         import pyarrow.compute as pc
 
         key, low, high, own = (table.column(i).to_numpy() for i in range(4))
-        ids, corner = table.column(4), table.column(5).to_numpy()
-        bits = np.stack([table.column(6 + i).to_numpy() for i in range(4)], 1)
+        ids, corner = table.column(4), table.column(6).to_numpy()
+        classes = pc.dictionary_encode(table.column(5).combine_chunks()).indices.to_numpy()
+        bits = np.stack([table.column(7 + i).to_numpy() for i in range(4)], 1)
         place = np.arange(len(key))
         opens = np.ones(len(key), bool)
         opens[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
@@ -418,8 +444,13 @@ def bucket_pairs(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
             n = partners[at:to]
             i = np.repeat(place[at:to], n)
             j = np.arange(len(i)) + np.repeat(start[at:to] - (ends[at:to] - ends[at]), n)
+            apart = classes[i] != classes[j]
+            i, j = i[apart], j[apart]
             near = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= MAX_DISTANCE
             i, j = i[near], j[near]
+            if stars:
+                i, first = np.unique(i, return_index=True)
+                j = j[first]
             a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
             less = pc.less(a, b)
             chosen = np.where(less.to_numpy(), corner[i], corner[j])
@@ -477,74 +508,114 @@ def confirm(pairs: DataFrame, min_inliers: int = MIN_INLIERS) -> DataFrame:
     )
 
 
-def candidate_pairs(heads: DataFrame, min_votes: int) -> DataFrame:
-    """a, b that meet with ``min_votes`` different corners of a, over all tables."""
-    spark, rounds = heads.sparkSession, []
-    for first in range(0, TABLES, TABLES_AT_ONCE):
-        met = bucket_pairs(table_rows(heads, first, min(TABLES_AT_ONCE, TABLES - first)))
-        rounds.append(materialize(met.where("a <> b").distinct(), "image-met"))
-        release_shuffles(spark)
-    every = reduce(DataFrame.unionByName, rounds).distinct()
-    votes = every.groupBy("a", "b").agg(F.count("*").alias("votes"))
-    pairs = materialize(votes.where(F.col("votes") >= min_votes), "image-pairs")
-    release_shuffles(spark)
-    return pairs
-
-
-def confirmed_links(heads: DataFrame, pairs: DataFrame, min_inliers: int) -> DataFrame:
+def _stored(described: DataFrame) -> DataFrame:
+    """``described`` as files in buckets of image_id, so joins on it never deal out features again."""
+    spark = described.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"image_features_{uuid.uuid4().hex}"
+    described.repartition(buckets, "image_id").write.bucketBy(buckets, "image_id").sortBy("image_id").option(
+        "path", f"{shared_dir(spark)}/{name}"
+    ).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def _heads(stored: DataFrame, own: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """image_id, class (so far), features of the first image of each class of equal bytes."""
+    if groups is None:
+        labelled = own.withColumn("class", F.col("image_id"))
+    else:
+        labelled = own.join(groups.hint("merge"), "image_id", "left").withColumn(
+            "class", F.coalesce("component", "image_id")
+        )
+    kept = labelled.select("image_id", "class", F.col("digest").alias("kept"))
+    return stored.join(kept.hint("merge"), "image_id").where("digest = kept").select("image_id", "class", "features")
+
+
+def _voted(met: list[DataFrame], min_votes: int, groups: DataFrame | None, tested: DataFrame | None) -> DataFrame:
+    """a, b that met with ``min_votes`` different corners of a, of different classes, not confirmed before."""
+    every = reduce(DataFrame.unionByName, met).distinct()
+    pairs = every.groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes).select("a", "b")
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    if groups is not None:
+        for side in "ab":
+            of = groups.select(F.col("image_id").alias(side), F.col("component").alias(f"class_{side}"))
+            pairs = pairs.join(of.hint("merge"), side, "left")
+        same = F.coalesce("class_a", "a") == F.coalesce("class_b", "b")
+        pairs = pairs.where(~same).select("a", "b")
+    return materialize(pairs, "image-pairs")
+
+
+def _confirmed(heads: DataFrame, pairs: DataFrame, n_heads: int, min_inliers: int) -> DataFrame:
     """a, b, inliers of all ``pairs`` that agree, in portions: each pair brings two feature lists."""
     spark = heads.sparkSession
     side = lambda name: heads.select(
         F.col("image_id").alias(name), F.col("features").alias(f"features_{name}")
     )
-    portions = max(1, -(-pairs.count() // max(1, PAIRS_AT_ONCE * heads.count())))
+    portions = max(1, -(-pairs.count() // max(1, PAIRS_AT_ONCE * n_heads)))
     links = []
     for k in range(portions):
         part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(portions)) == k)
-        with_features = part.join(side("a"), "a").join(side("b"), "b")
+        with_features = part.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
         links.append(materialize(confirm(with_features, min_inliers), "image-links"))
         release_shuffles(spark)
     return reduce(DataFrame.unionByName, links)
 
 
+def image_groups(stored: DataFrame, own: DataFrame, min_votes: int, min_inliers: int) -> DataFrame:
+    """image_id, component of the images in ``own`` (image_id, digest, n_features) that have a copy."""
+    spark = stored.sparkSession
+    size = own.agg(F.count("*").alias("n"), F.sum("n_features").alias("features")).first()
+    bits, tables = table_plan(size.features or 0)
+    rounds = [(t, True) for t in range(STAR_TABLES)] + [(t, False) for t in range(tables)]
+    groups = tested = links = None
+    met: list[DataFrame] = []
+    for i, (table, stars) in enumerate(rounds):
+        rows = table_rows(_heads(stored, own, groups), table, bits)
+        met.append(materialize(bucket_pairs(rows, stars=stars).distinct(), "image-met"))
+        release_shuffles(spark)
+        if not stars and i < len(rounds) - 1:
+            continue
+        pairs = _voted(met, min_votes, groups, tested)
+        more = _confirmed(_heads(stored, own), pairs, size.n, min_inliers)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = more if links is None else links.unionByName(more)
+        groups = materialize(
+            connected_components(links.select("a", "b")).withColumnRenamed("node", "image_id"), "image-groups"
+        )
+        release_shuffles(spark)
+    return groups
+
+
 def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_INLIERS) -> DataFrame:
-    """image_id, n_features, class_id, n_links for every row of ``images``.
-
-    ``images`` has image_id and media (bytes). Equal bytes form a class at once. Classes
-    are linked where their first images meet with ``min_votes`` different corners and agree in place on
-    ``min_inliers`` corners (see ``needed_inliers``); ``class_id`` is the least id that links reach and
-    ``n_links`` counts the confirmed links of the image's bytes. Null, empty and
-    unreadable media have no features and only equal bytes in their class; a null id
-    has a null class. Repeated rows share a class; other columns are ignored.
+    """image_id, n_features, class_id for every row of ``images``.
+
+    ``images`` has image_id and media (bytes). Equal bytes form a class at once. Classes are
+    joined where their first images meet with ``min_votes`` different corners and agree in
+    place on ``min_inliers`` corners (see ``needed_inliers``); ``class_id`` is the least id
+    that links reach. Null, empty and unreadable media have no features and only equal bytes
+    in their class; a null id has a null class. Rows that repeat an id share a class if their
+    bytes are equal; other columns are ignored; no rows give no rows.
     """
-    described = materialize(features(images), "image-features")
-    narrow = described.select("image_id", "digest", "n_features")
+    stored = _stored(features(images))
+    narrow = stored.select("image_id", "digest", "n_features")
     classes = narrow.where("image_id is not null").groupBy("digest").agg(F.min("image_id").alias("head"))
-    placed = narrow.join(classes, "digest", "left")
-    folded = narrow.join(classes.withColumnRenamed("head", "image_id"), ["image_id", "digest"], "left_anti")
-    again = narrow.groupBy("image_id").count().where("count > 1").select("image_id")
-    gone = folded.select("image_id").union(again).distinct()
-    kept_once = described.join(again, "image_id", "left_semi").dropDuplicates(["image_id"])
-    heads = (
-        described.join(gone, "image_id", "left_anti")
-        .unionByName(kept_once.join(folded, "image_id", "left_anti"))
-        .where("image_id is not null")
-        .select("image_id", "features")
-    )
-    links = confirmed_links(heads, candidate_pairs(heads, min_votes), min_inliers)
-    groups = connected_components(links).select(F.col("node").alias("head"), "component")
-    degree = (
-        links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n"))
+    placed = materialize(narrow.join(classes.hint("merge"), "digest", "left"), "image-classes")
+    own = materialize(
+        placed.where("image_id = head and n_features > 0")
+        .groupBy("image_id")
+        .agg(F.min(F.struct("digest", "n_features")).alias("m"))
+        .select("image_id", "m.*"),
+        "image-heads",
     )
+    groups = image_groups(stored, own, min_votes, min_inliers).select(F.col("image_id").alias("head"), "component")
     return (
         placed.select("image_id", "n_features", "head")
-        .join(groups, "head", "left")
-        .join(degree, "head", "left")
+        .join(groups.hint("merge"), "head", "left")
         .select(
             "image_id",
             "n_features",
             F.when(F.col("image_id").isNotNull(), F.coalesce("component", "head")).alias("class_id"),
-            F.coalesce("n", F.lit(0)).alias("n_links"),
         )
     )
 

@@ -15,18 +15,32 @@ def test_bucket_pairs_equal_brute_force(spark, block):
         flips = [sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 9), replace=False)) for _ in range(4)]
         bits = [int(c) ^ f for c, f in zip(centres[i % 5], flips, strict=True)]
         rows.append((i // 2, 0 if i < 120 else i % 4, i, *bits))
-    df = spark.createDataFrame(rows, "image_id bigint, key int, corner int, " + ", ".join(f"{c} bigint" for c in images.BITS))
-    got = sorted(tuple(r) for r in images.bucket_pairs(df, block).where("a <> b").collect())
+    of = {i: i if i % 7 else 0 for i in range(75)}
+    df = spark.createDataFrame([(r[0], of[r[0]], *r[1:]) for r in rows], "image_id bigint, class bigint, key bigint, corner int, " + ", ".join(f"{c} bigint" for c in images.BITS))
+    got = sorted(tuple(r) for r in images.bucket_pairs(df, block).collect())
     want = sorted(
         (a[0], b[0], a[2])
         for a in rows
         for b in rows
-        if a[0] < b[0] and a[1] == b[1] and sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + 2**64).bit_count() for x, y in zip(a[3:], b[3:], strict=True)) <= images.MAX_DISTANCE
+        if a[0] < b[0] and of[a[0]] != of[b[0]] and a[1] == b[1] and sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + 2**64).bit_count() for x, y in zip(a[3:], b[3:], strict=True)) <= images.MAX_DISTANCE
     )
     assert want and got == want
+    stars = [tuple(r) for r in images.bucket_pairs(df, block, stars=True).collect()]
+    # One partner for each feature and block pair.
+    assert stars and set(stars) <= set(want) and len(stars) < len(want) / (2 if block > 150 else 1)
 
 
-def test_links_of_many_edited_copies_equal_brute_force(spark):
+def test_tables_grow_with_the_corpus():
+    assert images.table_plan(0) == images.table_plan(1 << 24) == (images.KEY_BITS, images.TABLES)
+    for n in (1 << 26, 1 << 34, 1 << 40):
+        bits, tables = images.table_plan(n)
+        assert n / 2**bits <= images.BUCKET_ROWS < n / 2 ** (bits - 1)
+        # A match meets as often as in the tables of a small corpus.
+        assert tables * 0.9**bits >= images.TABLES * 0.9**images.KEY_BITS
+        assert len({tuple(images._chosen_bits(t, bits)) for t in range(tables)}) == tables
+
+
+def test_classes_of_many_edited_copies_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = []
     for base in range(3):
@@ -35,11 +49,11 @@ def test_links_of_many_edited_copies_equal_brute_force(spark):
             edited = (0.7 + 0.02 * k) * picture[k % 3 : 96 - k % 4, k % 2 : 96 - k % 5] + 2 * k
             rows.append((base * 100 + k, bytearray(images.encode_pgm(edited))))
     df = spark.createDataFrame(rows, "image_id bigint, media binary")
-    got = {r.image_id: (r.class_id, r.n_links) for r in images.image_copies(df).collect()}
+    got = {r.image_id: r.class_id for r in images.image_copies(df).collect()}
     found = dict(zip([r[0] for r in rows], images.describe([images.decode(bytes(r[1])) for r in rows]), strict=True))
     links = {i: {j for j in found if i != j and images.consensus(found[min(i, j)], found[max(i, j)]) >= images.MIN_INLIERS} for i in found}
     assert all(links[i] == {j for j in found if j // 100 == i // 100} - {i} for i in found)
-    assert got == {i: (i // 100 * 100, len(links[i])) for i in found}
+    assert got == {i: i // 100 * 100 for i in found}
 
 
 def test_strong_crops_and_small_scales_are_copies(spark):
