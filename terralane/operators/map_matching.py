@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terralane.functions import geodesy
 
-from .networks import ALL_PAIRS_NODES
+from .networks import SHARED_ARCS, within
 from .spatial_joins import METRES_PER_DEGREE, _around, box_index
 
 MIN_STEP = 100.0
@@ -64,13 +64,11 @@ def match(points: DataFrame, arcs: DataFrame, reach: float, k: int = 4, min_step
 
     A step is as likely as its network way is near the track's own way (1 up to one unit
     of difference, then one over it). Steps shorter than ``min_step`` are skipped but for
-    the last. The network goes to the tasks, so its node count must be within the stated
-    bound; one track is one group.
+    the last. The network goes to the tasks; with more than ``SHARED_ARCS`` arcs it raises.
+    One track is one group.
     """
     found = candidates(points, arcs, reach, k, geographic)
-    rows = arcs.select("id", "src", "dst", "x1", "y1", "x2", "y2").limit(ALL_PAIRS_NODES * 200 + 1).collect()
-    if len(rows) > ALL_PAIRS_NODES * 200:
-        raise ValueError("the network is larger than this operator's stated bound")
+    rows = within(arcs.select("id", "src", "dst", "x1", "y1", "x2", "y2"), SHARED_ARCS, "arcs").collect()
     from .folds import _metres
 
     place, near, ends = {}, defaultdict(list), {}

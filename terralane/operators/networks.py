@@ -2,8 +2,8 @@
 
 An undirected network lists each arc once; ``both_ways`` gives its half-arcs. Iterations
 are joins and sums whose state is a checkpointed frame; a loop ends when nothing
-changes. Functions that keep all pairs say so: they are for networks whose node count
-is a stated bound, not for data that grows.
+changes. Functions that take a whole network into one task say so: they raise at once
+where it is larger than their stated bound, or go on with joins.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,21 @@ from terralane.functions import geodesy
 
 from .checkpoints import cut
 
-#: Nodes that the all-pairs functions take; they raise above it.
-ALL_PAIRS_NODES = 5000
+#: Nodes that the one-task functions take; they raise above it.
+ONE_TASK_NODES = 200_000
+#: Nodes of a network that is sent to all tasks, and its half-arcs: 40 MB at most.
+SHARED_NODES, SHARED_ARCS = 500_000, 1_500_000
+#: Nodes of a network that is searched from every node for every arc taken out.
+GIRVAN_NEWMAN_NODES = 2_000
+#: Points of one triangulation; each new one is held against all triangles.
+DELAUNAY_POINTS = 10_000
+
+
+def within(df: DataFrame, bound: int, what: str) -> DataFrame:
+    """``df``, or an error if it has more than ``bound`` rows; no more than those are counted."""
+    if df.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} {what}: beyond this operator's stated bound")
+    return df
 
 
 def both_ways(arcs: DataFrame) -> DataFrame:
@@ -306,86 +320,206 @@ def weisfeiler_lehman(labels_a: DataFrame, arcs_a: DataFrame, labels_b: DataFram
     return both.agg(F.coalesce(F.sum("same") / F.sum("all"), F.lit(-1.0)).alias("similarity"))
 
 
-def _adjacency(half: pd.DataFrame) -> dict:
-    near: dict = defaultdict(list)
-    for s, d, w in half[["src", "dst", "weight"]].sort_values(["src", "dst", "weight"]).itertuples(index=False):
-        near[s].append((d, w))
-    return near
-
-
-def _whole(half: DataFrame) -> pd.DataFrame:
-    """A network of bounded size on the driver; larger ones raise."""
-    rows = half.select("src", "dst", "weight").limit(ALL_PAIRS_NODES * 200 + 1).toPandas()
-    if len(rows) > ALL_PAIRS_NODES * 200:
-        raise ValueError("the network is larger than this operator's stated bound")
-    return rows
-
-
-def astar(nodes: DataFrame, half: DataFrame, pairs: DataFrame, greedy: int | None = None, exact: bool = False) -> DataFrame:
-    """source, target, exists, distance, path for (source, target) pairs, by A*.
-
-    The straight line is the heuristic. Unless ``exact``, a search stops when the target
-    is first seen and leaves out nodes over ten times the straight way, so a way can be
-    longer than the shortest. ``greedy`` keeps only as many open nodes. The network is
-    sent to the tasks and must be of the stated bound; pairs are spread.
-    """
-    near = _adjacency(_whole(half))
-    place = {r.id: (r.x, r.y) for r in nodes.select("id", "x", "y").limit(ALL_PAIRS_NODES + 1).collect()}
-
-    def search(source, target):
-        if source not in place or target not in place:
+class Packed:
+    """A network as flat arrays: ids in order, places, and each node's arcs in one run."""
+
+    def __init__(self, nodes: pd.DataFrame, half: pd.DataFrame):
+        nodes = nodes.drop_duplicates("id").sort_values("id")
+        self.ids = nodes["id"].to_numpy(np.int64)
+        self.x, self.y = nodes["x"].to_numpy(float), nodes["y"].to_numpy(float)
+        known = half["src"].isin(self.ids) & half["dst"].isin(self.ids)
+        half = half[known].sort_values(["src", "dst", "weight"])
+        self.start = np.searchsorted(half["src"].to_numpy(np.int64), self.ids)
+        self.end = np.searchsorted(half["src"].to_numpy(np.int64), self.ids, "right")
+        self.to = np.searchsorted(self.ids, half["dst"].to_numpy(np.int64))
+        self.weight = half["weight"].to_numpy(float)
+
+    def place(self, node) -> int | None:
+        i = int(np.searchsorted(self.ids, node))
+        return i if i < len(self.ids) and self.ids[i] == node else None
+
+    def search(self, source, target, greedy: int | None, exact: bool) -> tuple:
+        """(exists, distance, path) by A* from ``source`` to ``target``."""
+        s, t = self.place(source), self.place(target)
+        if s is None or t is None:
             return False, None, []
-        tx, ty = place[target]
-        straight = lambda n: ((place[n][0] - tx) ** 2 + (place[n][1] - ty) ** 2) ** 0.5
-        limit = float("inf") if exact else 10 * max(straight(source), 1e-12)
-        cost, came, queue, closed = {source: 0.0}, {}, [(straight(source), source)], set()
+        straight = lambda n: float(np.hypot(self.x[n] - self.x[t], self.y[n] - self.y[t]))
+        limit = float("inf") if exact else 10 * max(straight(s), 1e-12)
+        cost, came, queue, closed = {s: 0.0}, {}, [(straight(s), s)], set()
         while queue:
             _, n = heapq.heappop(queue)
-            if n == target:
+            if n == t:
                 break
             if n in closed:
                 continue
             closed.add(n)
-            for m, w in near.get(n, ()):
+            arcs = slice(self.start[n], self.end[n])
+            for m, w in zip(self.to[arcs].tolist(), self.weight[arcs].tolist(), strict=True):
                 g = cost[n] + w
                 if m not in closed and g < cost.get(m, limit):
                     cost[m], came[m] = g, n
                     heapq.heappush(queue, (g + (0 if exact else straight(m)), m))
-                    if m == target and not exact:
+                    if m == t and not exact:
                         queue.clear()
                         break
             if greedy and len(queue) > greedy:
                 queue = heapq.nsmallest(greedy, queue)
-        if target not in cost:
+        if t not in cost:
             return False, None, []
-        path = [target]
+        path = [t]
         while path[-1] in came:
             path.append(came[path[-1]])
-        return True, cost[target], path[::-1]
+        return True, cost[t], self.ids[path[::-1]].tolist()
+
+
+ROUTES = "source bigint, target bigint, exists boolean, distance double, path array<bigint>"
+
+
+def astar(nodes: DataFrame, half: DataFrame, pairs: DataFrame, greedy: int | None = None, exact: bool = False) -> DataFrame:
+    """source, target, exists, distance, path for (source, target) pairs, by A*.
+
+    The straight line is the heuristic. Unless ``exact``, a search stops when the target
+    is first seen and leaves out nodes over ten times the straight way, so a way can be
+    longer than the shortest. ``greedy`` keeps only as many open nodes. A network of
+    ``SHARED_NODES`` and ``SHARED_ARCS`` at most is broadcast and pairs are spread over
+    tasks. A larger one is relaxed by joins if ``exact``; else it raises. Arcs at unknown
+    nodes don't count; an unknown source or target doesn't exist.
+    """
+    spark = nodes.sparkSession
+    small = (
+        nodes.limit(SHARED_NODES + 1).count() <= SHARED_NODES
+        and half.limit(SHARED_ARCS + 1).count() <= SHARED_ARCS
+    )
+    if not small:
+        if not exact:
+            raise ValueError("the network is larger than this operator's stated bound")
+        return _relaxed_routes(nodes, half, pairs)
+    packed = spark.sparkContext.broadcast(
+        Packed(nodes.select("id", "x", "y").toPandas(), half.select("src", "dst", "weight").toPandas())
+    )
 
     def run(frames):
+        network = packed.value
         for frame in frames:
-            found = [search(s, t) for s, t in zip(frame["source"], frame["target"], strict=True)]
+            found = [network.search(s, t, greedy, exact) for s, t in zip(frame["source"], frame["target"], strict=True)]
             yield frame[["source", "target"]].assign(
                 exists=[f[0] for f in found], distance=[f[1] for f in found], path=[f[2] for f in found]
             )
 
-    return pairs.select("source", "target").mapInPandas(
-        run, "source bigint, target bigint, exists boolean, distance double, path array<bigint>"
+    return pairs.select("source", "target").mapInPandas(run, ROUTES)
+
+
+def _relaxed_routes(nodes: DataFrame, half: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Routes by ``shortest_paths`` from all sources, then back along the previous nodes."""
+    known = nodes.select("id").distinct()
+    for end in ("src", "dst"):
+        half = half.join(known.withColumnRenamed("id", end), end, "left_semi")
+    ends = pairs.select("source", "target").distinct()
+    sources = ends.select(F.col("source").alias("id")).distinct().join(known, "id", "left_semi")
+    best = cut(shortest_paths(cut(half.select("src", "dst", "weight")), sources))
+    step = best.select("source", "node", "previous")
+    reached = ends.join(best.select("source", F.col("node").alias("target"), "distance"), ["source", "target"])
+    now = cut(reached.select("source", "target", "distance", F.col("target").alias("node"), F.array("target").alias("path")))
+    done = []
+    while not now.isEmpty():
+        on = now.join(step, ["source", "node"])
+        done.append(cut(on.where("previous is null").select("source", "target", "distance", "path")))
+        now = cut(
+            on.where("previous is not null").select(
+                "source", "target", "distance", F.col("previous").alias("node"), F.concat(F.array("previous"), "path").alias("path")
+            )
+        )
+    found = reached.limit(0).withColumn("path", F.array("target"))
+    for d in done:
+        found = found.unionByName(d)
+    none = F.array().cast("array<bigint>")
+    return pairs.select("source", "target").join(found, ["source", "target"], "left").select(
+        "source", "target", F.col("distance").isNotNull().alias("exists"), "distance", F.coalesce("path", none).alias("path")
     )
 
 
 def louvain(half: DataFrame, levels: int = 10) -> DataFrame:
     """id, community by greedy moves and merging; order by id makes it repeatable.
 
-    For networks of the stated bound: it runs as one task.
+    A network of up to ``ONE_TASK_NODES`` is one task. A larger one first moves its nodes
+    in rounds of joins and merges what came together, until it is small enough or no node
+    moves any more. Communities are named by their least id.
     """
     def run(frames):
         rows = pd.concat(list(frames), ignore_index=True)
         if len(rows):
             yield _louvain(rows, levels)
 
-    return half.select("src", "dst", "weight").coalesce(1).mapInPandas(run, "id bigint, community bigint")
+    arcs = half.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    member = None
+    while True:
+        size = arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().limit(ONE_TASK_NODES + 1).count()
+        if size <= ONE_TASK_NODES:
+            found = arcs.coalesce(1).mapInPandas(run, "id bigint, community bigint")
+            break
+        found = _moved(arcs)
+        if found.where("id != community").isEmpty():
+            break
+        member, arcs = _merged(arcs, found, member)
+    if member is None:
+        return found
+    top = found.select(F.col("id").alias("community"), F.col("community").alias("top"))
+    joined = member.join(top, "community", "left").withColumn("top", F.coalesce("top", "community"))
+    least = joined.groupBy("top").agg(F.min("id").alias("community"))
+    return joined.drop("community").join(least, "top").select("id", "community")
+
+
+def _moved(arcs: DataFrame, rounds: int = 40) -> DataFrame:
+    """id, community after rounds in which every node weighs all communities beside it.
+
+    A hash lets about half the nodes move in a round, so neighbours don't swap for ever;
+    rounds end when neither half would move. Sums by (node, community) are made before
+    nodes compare, and a community is one row, whatever its size.
+    """
+    degree = cut(arcs.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
+    total = degree.agg(F.sum("k").alias("t")).first().t or 1.0
+    home = cut(degree.select("id", "k", F.col("id").alias("community")))
+    still = 0
+    for i in range(rounds):
+        weight = home.groupBy("community").agg(F.sum("k").alias("all"))
+        beside = (
+            arcs.where("src != dst")
+            .join(home.select(F.col("id").alias("dst"), "community"), "dst")
+            .groupBy(F.col("src").alias("id"), "community")
+            .agg(F.sum("weight").alias("links"))
+        )
+        own = home.select("id", "community", F.lit(0.0).alias("links"))
+        options = beside.unionByName(own).groupBy("id", "community").agg(F.sum("links").alias("links"))
+        mine = home.select("id", "k", F.col("community").alias("was"))
+        gain = F.col("links") - (F.col("all") - F.when(F.col("community") == F.col("was"), F.col("k")).otherwise(0.0)) * F.col("k") / total
+        rank = F.struct(F.round(gain, 12), (F.col("community") == F.col("was")).cast("int"), -F.col("community"))
+        best = (
+            options.join(weight, "community")
+            .join(mine, "id")
+            .groupBy("id", "k", "was")
+            .agg(F.max_by("community", rank).alias("best"))
+        )
+        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
+        new = cut(best.select("id", "k", F.when(turn, F.col("best")).otherwise(F.col("was")).alias("community"), "was"))
+        still = still + 1 if new.where("community != was").isEmpty() else 0
+        home = new.drop("was")
+        if still == 2:
+            break
+    least = home.groupBy("community").agg(F.min("id").alias("least"))
+    return cut(home.join(least, "community").select("id", F.col("least").alias("community")))
+
+
+def _merged(arcs: DataFrame, found: DataFrame, member: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Members under their new communities, and the arcs between these."""
+    if member is None:
+        member = found
+    else:
+        up = found.select(F.col("id").alias("community"), F.col("community").alias("up"))
+        member = member.join(up, "community").select("id", F.col("up").alias("community"))
+    for end in ("src", "dst"):
+        up = found.select(F.col("id").alias(end), F.col("community").alias("up"))
+        arcs = arcs.join(up, end).drop(end).withColumnRenamed("up", end)
+    return cut(member), cut(arcs.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
 
 
 def _louvain(rows: pd.DataFrame, levels: int) -> pd.DataFrame:
@@ -428,8 +562,11 @@ def _louvain(rows: pd.DataFrame, levels: int) -> pd.DataFrame:
 def girvan_newman(half: DataFrame, max_communities: int = 4) -> DataFrame:
     """id, community: the partition of most modularity while busiest arcs are taken out.
 
-    One task, for networks of the stated bound.
+    One task that searches from every node again and again: networks over
+    ``GIRVAN_NEWMAN_NODES`` raise.
     """
+    within(half.select("src").distinct(), GIRVAN_NEWMAN_NODES, "nodes")
+
     def run(frames):
         rows = pd.concat(list(frames), ignore_index=True)
         if len(rows):
@@ -530,7 +667,12 @@ def link_nearest(nodes: DataFrame, k: int, max_distance: float) -> DataFrame:
 
 
 def delaunay(points: DataFrame) -> DataFrame:
-    """a, b, c: ids of the triangles of a Delaunay triangulation (Bowyer-Watson), one task."""
+    """a, b, c: ids of the triangles of a Delaunay triangulation (Bowyer-Watson).
+
+    One task; over ``DELAUNAY_POINTS`` points it raises.
+    """
+    within(points, DELAUNAY_POINTS, "points")
+
     def run(frames):
         rows = pd.concat(list(frames), ignore_index=True)
         if len(rows) >= 3:
@@ -617,7 +759,8 @@ def route(nodes: DataFrame, arcs: DataFrame, trips: DataFrame, tolerance: float)
 
 def spatial_communities(nodes: DataFrame, arcs: DataFrame, radius: float) -> DataFrame:
     """id, community grown in id order: the strongest link first, within reach of the centre
-    and while modularity does not fall. One task, for networks of the stated bound."""
+    and while modularity does not fall. One task; over ``ONE_TASK_NODES`` nodes it raises."""
+    within(nodes, ONE_TASK_NODES, "nodes")
     rows = both_ways(arcs).join(nodes.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")), "src", "right")
 
     def run(frames):

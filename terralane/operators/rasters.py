@@ -5,6 +5,7 @@ Row 0 is the north edge. A cell without data has no row in a table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terralane.functions import geodesy
 
+from .checkpoints import cut
 from .trajectories import segments
 
 #: Result of a division by zero in map algebra.
@@ -147,33 +149,94 @@ def label_points(points: DataFrame, raster: DataFrame, grid: Grid, name: str = "
 
 
 def idw(
-    points: DataFrame, grid: Grid, k: int = 12, power: float = 2.0, reach: int = 1, block: int = 4
+    points: DataFrame,
+    grid: Grid,
+    k: int | None = None,
+    power: float = 2.0,
+    search: float | None = None,
+    block: int = 4,
 ) -> DataFrame:
-    """Inverse-distance means of the k nearest values (x, y, value), distances at least 1.
+    """Inverse-distance means of the k nearest of all points (x, y, value), distances at least 1.
 
-    Points and cells meet on a coarse grid of ``block`` cells a side: a cell sees the
-    points at most ``reach`` coarse cells away, which is also its search range. Each
-    pair is weighed once and the nearest are taken by a window over one cell.
+    ``k`` is a third of the points, two at least, unless given; ``search`` leaves out points
+    further away. Ties go by x, y, value. Without points the result is empty.
+
+    Cells go in blocks. Counts of points in squares of blocks, each level twice as wide,
+    tell on which level the nine squares around a block hold k points; the k nearest of
+    its cells lie no further than across these, so the block meets only points in reach
+    of that bound, by an equi-join on wider squares. A cell keeps its k nearest already
+    before rows are dealt out.
     """
     spark = points.sparkSession
-    cx, cy = grid.centre()
-    cells = grid.cells(spark).withColumns(
-        {"cx": cx, "cy": cy, "bx": F.floor(F.col("col") / block), "by": F.floor(F.col("row") / block)}
+    low = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level)).cast("bigint")
+    placed = points.select(
+        "x",
+        "y",
+        "value",
+        F.floor(grid.col(F.col("x")) / block).alias("sx"),
+        F.floor(grid.row(F.col("y")) / block).alias("sy"),
+    )
+    counts = cut(placed.groupBy("sx", "sy").agg(F.count("*").alias("n")))
+    known = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("sx", "sy") for f in (F.min, F.max))
+    ).first()
+    down, across = math.ceil(grid.rows / block), math.ceil(grid.cols / block)
+    if k is None:
+        k = max(known.n // 3, 2)
+    if search is not None and search < 1:
+        search = 1.0
+    wide = max(down, across, 1, *(abs(known[c] or 0) for c in ("min_sx", "max_sx", "min_sy", "max_sy"))) * 2
+    top = math.ceil(math.log2(wide))
+    blocks = spark.range(down * across).select(
+        (F.col("id") % across).alias("bx"), F.floor(F.col("id") / across).alias("by")
     )
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    near = (
-        points.withColumns(
-            {"_bx": F.floor(grid.col(F.col("x")) / block), "_by": F.floor(grid.row(F.col("y")) / block)}
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+
+    def around(frame: DataFrame) -> DataFrame:
+        """The nine squares around each block on its level."""
+        step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        return (
+            frame.withColumn("i", step)
+            .withColumn("j", step)
+            .withColumns(
+                {"qx": low(F.col("bx"), F.col("level")) + F.col("i"), "qy": low(F.col("by"), F.col("level")) + F.col("j")}
+            )
+            .drop("i", "j")
         )
-        .withColumn("_i", F.explode(span))
-        .withColumn("_j", F.explode(span))
-        .select("x", "y", "value", (F.col("_bx") + F.col("_i")).alias("bx"), (F.col("_by") + F.col("_j")).alias("by"))
+
+    squares = (
+        counts.select("*", levels)
+        .groupBy("level", low(F.col("sx"), F.col("level")).alias("qx"), low(F.col("sy"), F.col("level")).alias("qy"))
+        .agg(F.sum("n").alias("n"))
     )
-    d = geodesy.planar_distance(F.col("cx"), F.col("cy"), F.col("x"), F.col("y"))
-    pairs = cells.join(near, ["bx", "by"]).withColumn("d", F.greatest(d, F.lit(1.0)))
+    held = around(blocks.select("*", levels)).join(squares, ["level", "qx", "qy"]).groupBy("bx", "by", "level").agg(F.sum("n").alias("n"))
+    enough = held.where(F.col("n") >= min(k, known.n)).groupBy("bx", "by").agg(F.min("level").alias("level"))
+    # How far the k nearest can be, and how many levels up nine squares reach so far.
+    slant = math.hypot(grid.xstep, grid.ystep)
+    more = math.ceil(math.log2(2 * slant / min(grid.xstep, grid.ystep)))
+    targets = cut(
+        around(
+            enough.withColumn("bound", F.pow(F.lit(2.0), F.col("level") + 1) * block * slant).withColumn(
+                "level", F.col("level") + more
+            )
+        )
+    )
+    used = [r[0] for r in targets.select("level").distinct().collect()]
+    sources = placed.select(
+        "x", "y", "value", "sx", "sy", F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("level")
+    ).withColumns({"qx": low(F.col("sx"), F.col("level")), "qy": low(F.col("sy"), F.col("level"))})
+    span = F.sequence(F.lit(0), F.lit(block - 1))
+    cells = (
+        targets.join(sources, ["level", "qx", "qy"])
+        .withColumn("row", F.explode(F.transform(span, lambda i: F.col("by") * block + i)))
+        .withColumn("col", F.explode(F.transform(span, lambda i: F.col("bx") * block + i)))
+        .where(grid.holds(F.col("row"), F.col("col")))
+    )
+    cx, cy = grid.centre()
+    away = geodesy.planar_distance(cx, cy, F.col("x"), F.col("y"))
+    reach = F.col("bound") if search is None else F.least("bound", F.lit(float(search)))
+    pairs = cells.withColumn("away", away).where(F.col("away") <= reach).withColumn("d", F.greatest("away", F.lit(1.0)))
     order = Window.partitionBy("row", "col").orderBy("d", "x", "y", "value")
     nearest = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
     weight = F.pow("d", F.lit(-power))
-    return nearest.groupBy("row", "col").agg(
-        (F.sum(F.col("value") * weight) / F.sum(weight)).alias("value")
-    )
+    return nearest.groupBy("row", "col").agg((F.sum(F.col("value") * weight) / F.sum(weight)).alias("value"))

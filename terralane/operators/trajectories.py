@@ -229,19 +229,30 @@ def histogram(points: DataFrame, what: str = "seconds", geographic: bool = True)
 
 
 def statistics(points: DataFrame, geographic: bool = True) -> DataFrame:
-    """One row: averages of interval, length and speed, exact quantiles, first and last time."""
+    """One row: averages of interval, length and speed, exact quantiles, first and last time.
+
+    Everything is summed by whole second of the interval first; the last step sees one row
+    for each second that occurs, not one for each segment.
+    """
     s = segments(points, geographic)
     speed = F.when(F.col("seconds") > 0, F.round(F.col("length") / F.col("seconds"), 3)).otherwise(0.0)
-    exact = lambda c, q: F.percentile(F.floor(c), F.lit(q))
-    return s.agg(
-        F.count("*").alias("n_segments"),
-        F.avg("seconds").alias("avg_seconds"),
-        F.avg("length").alias("avg_length"),
-        F.avg(speed).alias("avg_speed"),
+    by_second = s.groupBy(F.floor("seconds").alias("second")).agg(
+        F.count("*").alias("n"),
+        F.sum("seconds").alias("seconds"),
+        F.sum("length").alias("length"),
+        F.sum(speed).alias("speed"),
+        F.min("ts").alias("ts"),
+        F.max("ts2").alias("ts2"),
+    )
+    one = by_second.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_segments"),
+        *((F.sum(c) / F.sum("n")).alias(f"avg_{c}") for c in ("seconds", "length", "speed")),
         F.min("ts").alias("first_ts"),
         F.max("ts2").alias("last_ts"),
-        *(exact(F.col("seconds"), q).alias(f"seconds_q{int(q * 1000)}") for q in QUANTILES),
+        F.percentile("second", F.array(*map(F.lit, QUANTILES)), F.col("n")).alias("q"),
     )
+    quantiles = [F.get("q", F.lit(i)).alias(f"seconds_q{int(q * 1000)}") for i, q in enumerate(QUANTILES)]
+    return one.select(*[c for c in one.columns if c != "q"], *quantiles)
 
 
 def length_quantiles(points: DataFrame, geographic: bool = True) -> DataFrame:

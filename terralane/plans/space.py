@@ -89,14 +89,10 @@ def r04_idw(spark, sf):
 
 
 _IDW = f"""WITH {PLANAR}, cells AS (
-  SELECT r AS row, c AS col, (c + 0.5) * 500 AS cx, 50000 - (r + 0.5) * 500 AS cy, c // 4 AS bx, r // 4 AS by
-  FROM range(0, 100) t(r), range(0, 20) u(c)
-), pts AS (
-  SELECT x, y, CAST(seq % 50 AS DOUBLE) AS value, CAST(floor(floor(x / 500) / 4) AS BIGINT) AS bx,
-         CAST(floor(floor((50000 - y) / 500) / 4) AS BIGINT) AS by FROM planar
+  SELECT r AS row, c AS col, (c + 0.5) * 500 AS cx, 50000 - (r + 0.5) * 500 AS cy FROM range(0, 100) t(r), range(0, 20) u(c)
 ), pairs AS (
-  SELECT row, col, x, y, value, greatest(1, sqrt(power(cx - x, 2) + power(cy - y, 2))) AS d
-  FROM cells c JOIN pts p ON abs(c.bx - p.bx) <= 1 AND abs(c.by - p.by) <= 1
+  SELECT row, col, x, y, CAST(seq % 50 AS DOUBLE) AS value, greatest(1, sqrt(power(cx - x, 2) + power(cy - y, 2))) AS d
+  FROM cells, planar
 ), n AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d, x, y, value) AS k FROM pairs)
 SELECT row, col, round(sum(value / (d * d)) / sum(1 / (d * d)), 5) AS value FROM n WHERE k <= 5 GROUP BY 1, 2"""
 

@@ -115,28 +115,33 @@ def read_track_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(run, TRACK_SET)
 
 
-def track_set_lines(points: DataFrame, crs: str = "Unknown", separator: str = ",", program: str = "Terralane") -> DataFrame:
-    """place, value: the lines of a track-set text in order of ``place``.
+def track_set_lines(
+    points: DataFrame, crs: str = "Unknown", separator: str = ",", program: str = "Terralane", files: int = 1
+) -> DataFrame:
+    """file, place, value: the lines of ``files`` track-set texts, each in order of ``place``.
 
-    Extra keys of all points become columns, blank where a point lacks one.
+    A track is whole in one file, which a hash of its id chooses. Extra keys of all points
+    become columns, blank where a point lacks one.
     """
     keys = [r[0] for r in points.select(F.explode(F.map_keys("extra")).alias("k")).distinct().orderBy("k").collect()]
+    file = F.pmod(F.xxhash64("traj_id"), F.lit(files)).cast("int").alias("file")
+    place = lambda t, a, b: F.struct(t.alias("track"), F.lit(a).alias("kind"), b.cast("double").alias("at"), F.lit(0).alias("seq")).alias("place")
     tracks = points.groupBy("traj_id").agg(F.count("*").alias("n"))
-    count = tracks.count()
-    head = [
-        f"Stardard {program} TrajectorySet File",
-        f"{count}\t{separator}",
-        "\t".join([*BASE_FIELDS, *keys]),
-    ]
-    spark = points.sparkSession
-    place = lambda t, a, b: F.struct(t.alias("track"), F.lit(a).alias("kind"), b.cast("double").alias("at"), F.lit(0).alias("seq"))
-    first = spark.createDataFrame([(float(i), line) for i, line in enumerate(head)], "i double, value string").select(
-        place(F.lit(""), 0, F.col("i")).alias("place"), "value"
+    counts = tracks.groupBy(file).agg(F.count("*").alias("n"))
+    every = points.sparkSession.range(files).select(F.col("id").cast("int").alias("file")).join(counts, "file", "left")
+    head = F.array(
+        F.lit(f"Stardard {program} TrajectorySet File"),
+        F.concat_ws("\t", F.coalesce("n", F.lit(0)), F.lit(separator)),
+        F.lit("\t".join([*BASE_FIELDS, *keys])),
     )
-    names = tracks.select(place(F.col("traj_id"), 1, F.lit(0)).alias("place"), F.concat_ws("\t", "traj_id", "n").alias("value"))
-    systems = tracks.select(place(F.col("traj_id"), 2, F.lit(0)).alias("place"), F.lit(crs).alias("value"))
+    first = every.select("file", F.posexplode(head).alias("i", "value")).select(
+        "file", place(F.lit(""), 0, F.col("i")), "value"
+    )
+    names = tracks.select(file, place(F.col("traj_id"), 1, F.lit(0)), F.concat_ws("\t", "traj_id", "n").alias("value"))
+    systems = tracks.select(file, place(F.col("traj_id"), 2, F.lit(0)), F.lit(crs).alias("value"))
     values = [F.coalesce(F.col("extra")[k], F.lit("")) for k in keys]
     rows = points.select(
+        file,
         F.struct(F.col("traj_id").alias("track"), F.lit(3).alias("kind"), F.col("ts").alias("at"), F.col("seq").alias("seq")).alias("place"),
         F.concat_ws(
             separator,
@@ -148,10 +153,18 @@ def track_set_lines(points: DataFrame, crs: str = "Unknown", separator: str = ",
     return first.unionByName(names).unionByName(systems).unionByName(rows)
 
 
-def write_track_set(points: DataFrame, path: str, **settings) -> None:
-    """One text file, as the format is one ordered stream; sorted by range before."""
-    lines = track_set_lines(points, **settings)
-    lines.orderBy("place").select("value").coalesce(1).write.mode("overwrite").text(path)
+def write_track_set(points: DataFrame, path: str, files: int = 1, **settings) -> None:
+    """One text or, with more ``files``, folders file=0, file=1, ... with a whole track set each.
+
+    The format is one ordered stream, so a text is written by one task; more files spread
+    the tracks over as many tasks.
+    """
+    lines = track_set_lines(points, files=files, **settings)
+    ordered = lines.repartition(files, "file").sortWithinPartitions("file", "place")
+    if files == 1:
+        ordered.select("value").write.mode("overwrite").text(path)
+    else:
+        ordered.select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def hash_split(df: DataFrame, path: str, key: str, buckets: int, how: str = "chars") -> None:
