@@ -6,10 +6,11 @@ The fixed forms (email, ip, card, phone) are the seeds. Patterns are lexical: th
 the left of an instance, the word to its right and, for well-formed card and phone numbers,
 the form in which it is written. Other identifier-like strings are candidates; so are the
 well-formed numbers inside a form that was dropped because it ran on into the next one.
-Patterns and strings are a graph which is scored in rounds until nothing moves: a pattern's
-confidence is the score of what it extracts over the number of documents that use it at
-all, and a string's score is the noisy-or of its patterns. Strings that end above a
-threshold are identifiers not seen before; their places become ``id`` spans.
+Patterns and strings are a graph which is scored in rounds: a pattern's confidence is what
+it has beside it of known instances over the number of documents that use it at all, and a
+string's score is the noisy-or of its patterns. Strings above a threshold are identifiers
+not seen before; they are instances of the next round, until one accepts nothing more, and
+their places become ``id`` spans.
 
 Work is linear in a text, but for sorting its spans: positions are running sums in blocks,
 and spans of several kinds meet in one sorted list.
@@ -18,6 +19,7 @@ and spans of several kinds meet in one sorted list.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +52,10 @@ WORD = (
 CANDIDATE = f"{PART}|{WORD}"
 CANDIDATE_LENGTH = 6
 CANDIDATE_DIGITS = 4
-#: Scores only grow from round to round; they are final once none moves by more than this.
-TOLERANCE = 0.01
 SMOOTHING = 2.0
 ACCEPT = 0.5
+#: Tasks that share the strings beside one word.
+SALTS = 8
 
 _SPAN = "struct<start:int,end:int,body:string,left:string,right:string,form:string>"
 _BLOCK = 128
@@ -325,53 +327,45 @@ def graph(extracted: DataFrame) -> DataFrame:
 def discover(
     edges: DataFrame,
     frequency: DataFrame,
-    tolerance: float = TOLERANCE,
     smoothing: float = SMOOTHING,
     accept: float = ACCEPT,
 ) -> DataFrame:
-    """body, score of strings that are no seeds and score at least ``accept``.
-
-    A pattern weighs sum(n * score) / (docs + smoothing), at most 1; ``docs`` of a word are
-    all rows that use it, of a form all that write a number so. Scores start from the seeds
-    and never fall, so rounds end: when no score moved by more than ``tolerance``. Sums are
-    made before rows are dealt out; each round is one join on the pattern and one on the
-    string, with no row for a pair of strings.
+    """body, score of strings that are no seeds and came to score at least ``accept``.
+
+    A pattern weighs n of the instances known so far over (docs + smoothing), at most 1;
+    ``docs`` of a word are all rows that use it, of a form all that write a number so. A
+    string scores the noisy-or of its patterns. What is accepted counts as known in the
+    next round; weights never fall, and rounds end when one accepts nothing more.
+    Patterns are one row each and the strings beside them are dealt out by word and salt,
+    so a frequent word is many tasks' work; there is no row for a pair of strings.
     """
     words, forms = edges.where("side <> 'form'"), edges.where("side = 'form'")
     written = forms.groupBy("word").agg(F.sum("n").alias("docs"))
-    known = materialize(
-        words.join(frequency, "word").unionByName(forms.join(written, "word")), "pii-graph"
-    )
-    scored = known.withColumn("score", F.col("is_seed").cast("double"))
-    before, moved = known.groupBy("body").agg(F.max("is_seed").cast("double").alias("score")), 1.0
-    while moved > tolerance:
-        patterns = scored.groupBy("side", "word").agg(
-            F.least(
-                F.lit(1.0), F.sum(F.col("n") * F.col("score")) / (F.max("docs") + smoothing)
-            ).alias("weight")
+    salt = F.pmod(F.xxhash64("body"), F.lit(SALTS)).cast("int").alias("salt")
+    graph = words.join(frequency, "word").unionByName(forms.join(written, "word"))
+    edges = materialize(graph.select("side", "word", salt, "body", "is_seed", "n", "docs"), "pii-graph")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    known = edges.where("is_seed = 1").select("body").distinct().withColumn("score", F.lit(1.0))
+    known = materialize(known, "pii-known")
+    seeds, found = known, []
+    while True:
+        patterns = (
+            edges.join(known.select("body"), "body")
+            .groupBy("side", "word")
+            .agg(F.least(F.lit(1.0), F.sum("n") / (F.max("docs") + smoothing)).alias("weight"))
         )
-        strings = (
-            known.join(patterns.where("weight > 0"), ["side", "word"])
+        scored = (
+            edges.join(known.select("body"), "body", "left_anti")
+            .join(patterns.select("side", "word", "weight", every), ["side", "word", "salt"])
             .groupBy("body")
-            .agg(
-                F.max("is_seed").alias("seed"),
-                F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))).alias("against"),
-            )
-            .select(
-                "body",
-                F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("against")).alias("score"),
-            )
-        )
-        strings = materialize(strings, "pii-scores")
-        steps = strings.join(before.withColumnRenamed("score", "was"), "body", "left")
-        change = F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))
-        moved = steps.agg(change.alias("moved")).first().moved or 0.0
-        before = strings
-        scored = known.join(strings, "body", "left").withColumn(
-            "score", F.coalesce("score", F.col("is_seed").cast("double"))
+            .agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))))).alias("score"))
         )
-    seeds = known.where("is_seed = 1").select("body").distinct()
-    return before.where(F.col("score") >= accept).join(seeds, "body", "left_anti").select("body", "score")
+        new = materialize(scored.where(F.col("score") >= accept), "pii-accepted")
+        if new.isEmpty():
+            break
+        found.append(new)
+        known = known.unionByName(new)
+    return reduce(DataFrame.unionByName, found, seeds.limit(0))
 
 
 def find(docs: DataFrame, **settings) -> DataFrame:
