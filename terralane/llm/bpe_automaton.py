@@ -2,18 +2,20 @@
 
 The automaton accepts exactly the token sequences which BPE yields. It starts as one
 state with a loop for every byte. Each merge ``u v -> uv``, taken in rank order,
-inserts one gadget: the arcs labelled ``u`` are led to a new state, a copy of their
-old target without the arc ``v``; and every state that has an arc ``u`` gets an arc
-``uv`` to where ``v`` led. So there is one new state and one new label per merge and
-the whole is deterministic: all arcs with one label end in one state.
-
-The arcs are kept as tables, not spelled out (50,000 states times as many labels).
-A state knows the state it was copied from, the label taken away and its time; a
-label knows its left part and time. Whether state ``s`` has an arc ``t`` follows by
-walking back: where ``s`` is younger than ``t``, the answer is that of the older
-state (or no, if ``t`` is what was taken away); where ``t`` is younger, it is that of
-its left part. Answers are memoised, which fills the transition table with the arcs
-that texts use.
+inserts one gadget: the arcs labelled ``u`` are led to a copy of their old target without
+the arc ``v``; and every state that has an arc ``u`` gets an arc ``uv`` to where ``v`` led.
+So the whole is deterministic: all arcs with one label end in one state, and a state is
+known by the token that led there.
+
+The gadgets are kept as flat tables, not spelled out (50,000 states times as many
+labels): the parts of each label, the time of each gadget and the arcs taken away. A state
+lacks the arc ``t`` if a gadget took it, or a left part of it before the label was made,
+from the state or from that of a right part before that was made.
+
+For words the automaton is composed with the spelling of its labels: the state after some
+bytes is that of the one accepted path that spells them. These transitions are a table by
+state and byte, which is filled where texts first go; a word is one look-up a byte, and
+its tokens are read off backwards. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 
 from .bpe_tables import default_pattern, default_vocabulary, load_vocabulary
 
+#: Transitions and arcs, and whole words, that a worker remembers; beyond it starts anew.
 MEMO_ENTRIES = 1_000_000
-WORD_ENTRIES = 300_000
+WORD_ENTRIES, WORD_BYTES = 300_000, 64 << 20
+#: Longer words are run without remembering their transitions.
+LONG_WORD = 256
+_TOKEN_BITS = 24
 
 
 class TokenAutomaton:
@@ -36,86 +42,101 @@ class TokenAutomaton:
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[int, int, int]]):
         size = max(max(vocab.values(), default=0), max((m[2] for m in merges), default=0)) + 1
-        self.vocab = vocab
         self.label = [b""] * size
         for token, i in vocab.items():
             self.label[i] = token
-        self.longest = max(map(len, vocab), default=1)
-        self.target = [0] * size
-        self.left = [-1] * size
-        self.label_time = [0] * size
-        self.origin, self.removed, self.state_time = [-1], [-1], [0]
+        self.left, self.right, self.made = [-1] * size, [-1] * size, [0] * size
+        self.taken: dict[int, int] = {}
         for time, (u, v, uv) in enumerate(merges, 1):
             self._gadget(time, u, v, uv)
-        self._arcs: dict[int, bool] = {}
-        self.usable = {b for b, i in vocab.items() if len(b) == 1 or self.left[i] >= 0}
+        self._spell(vocab)
+        self._forget()
 
     def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
-        old, beyond = self.target[u], self.target[v]
-        self.origin.append(old)
-        self.removed.append(v)
-        self.state_time.append(time)
-        self.target[u] = len(self.origin) - 1
-        self.target[uv] = beyond if u != v else old
-        self.left[uv] = u
-        self.label_time[uv] = time
+        # Without an arc from u to v the merge never happens.
+        if self.has_arc(u, v):
+            self.taken[u << _TOKEN_BITS | v] = time
+            self.left[uv], self.right[uv], self.made[uv] = u, v, time
+
+    def _spell(self, vocab: dict[bytes, int]) -> None:
+        """Labels that can occur, read from their ends: next node by node and byte, label of a node."""
+        self.back: dict[int, int] = {}
+        self.ends = [-1]
+        for token, i in vocab.items():
+            if len(token) == 1 or self.left[i] >= 0:
+                node = 0
+                for byte in reversed(token):
+                    node = self.back.setdefault(node << 8 | byte, len(self.ends))
+                    if node == len(self.ends):
+                        self.ends.append(-1)
+                self.ends[node] = i
+
+    def _forget(self) -> None:
+        self.next: dict[int, int] = {}
+        self.token = [-1]
+        self.arcs: dict[int, bool] = {}
 
     def has_arc(self, state: int, token: int) -> bool:
-        key = (state << 24) | token
-        known = self._arcs.get(key)
-        if known is not None:
-            return known
-        s, t = state, token
-        answer = True
-        while True:
-            if self.state_time[s] > self.label_time[t]:
-                if self.removed[s] == t:
-                    answer = False
-                    break
-                s = self.origin[s]
-            elif self.left[t] >= 0:
-                t = self.left[t]
-            else:
+        """Whether ``token`` may follow the token ``state``."""
+        taken, left, right, made = self.taken, self.left, self.right, self.made
+        before = len(taken) + len(made) + 1 << 32
+        r, r_made = state, before
+        while r >= 0:
+            t, t_made = token, before
+            while t >= 0:
+                time = taken.get(r << _TOKEN_BITS | t)
+                if time is not None and time < r_made and time <= t_made:
+                    return False
+                t, t_made = left[t], made[t]
+            r, r_made = right[r], made[r]
+        return True
+
+    def _step(self, word: bytes, last: list[int], end: int) -> int:
+        """The last token of the path that spells ``word[:end]``; ``last`` has those before."""
+        back, ends, arcs, node = self.back, self.ends, self.arcs, 0
+        for at in range(end - 1, -1, -1):
+            node = back.get(node << 8 | word[at])
+            if node is None:
                 break
-        if len(self._arcs) >= MEMO_ENTRIES:
-            self._arcs.clear()
-        self._arcs[key] = answer
-        return answer
+            token = ends[node]
+            if token >= 0:
+                if not at:
+                    return token
+                arc = last[at] << _TOKEN_BITS | token
+                known = arcs.get(arc)
+                if known is None:
+                    known = arcs[arc] = self.has_arc(last[at], token)
+                if known:
+                    return token
+        raise ValueError("a byte of the word is not in the vocabulary")
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The one accepted path that spells ``word``.
+        """The one accepted path that spells ``word``: a look-up for each byte.
 
-        Every prefix of an accepted path is accepted, and a byte string has one
-        accepted path, so a position has one possible state: a position that proved
-        dead never needs a second visit, and the search is linear.
+        Every prefix of an accepted path is accepted and a byte string has one accepted
+        path, so each byte leads to one state and nothing is taken back.
         """
-        end, longest, vocab = len(word), self.longest, self.vocab
-        target, has_arc, usable = self.target, self.has_arc, self.usable
-        path: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        at, state, stop = 0, 0, min(end, longest)
-        while at < end:
-            while stop > at:
-                piece = word[at:stop]
-                if piece in usable and stop not in dead and has_arc(state, vocab[piece]):
-                    break
-                stop -= 1
-            if stop > at:
-                token = vocab[piece]
-                path.append(token)
-                starts.append(at)
-                at, state = stop, target[token]
-                stop = min(end, at + longest)
-            else:
-                if not path:
-                    raise ValueError("a byte of the word is not in the vocabulary")
-                dead.add(at)
-                stop = at - 1
-                path.pop()
-                at = starts.pop()
-                state = target[path[-1]] if path else 0
-        return path
+        last = [-1]
+        if len(self.next) + len(self.arcs) >= MEMO_ENTRIES:
+            self._forget()
+        if len(word) > LONG_WORD:
+            for end in range(1, len(word) + 1):
+                last.append(self._step(word, last, end))
+        else:
+            following, token, state = self.next, self.token, 0
+            for end, byte in enumerate(word, 1):
+                key = state << 8 | byte
+                state = following.get(key, -1)
+                if state < 0:
+                    found = self._step(word, last, end)
+                    state = following[key] = len(token)
+                    token.append(found)
+                last.append(token[state])
+        path, at = [], len(word)
+        while at:
+            path.append(last[at])
+            at -= len(self.label[last[at]])
+        return path[::-1]
 
     def decode(self, ids) -> bytes:
         """Emit the labels of the arcs, in order."""
@@ -142,12 +163,15 @@ class TextCodec:
             else None
         )
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _new_word(self, word: str) -> bytes:
         ids = self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self.words) >= WORD_ENTRIES:
+        self.held += len(word) + len(packed)
+        if len(self.words) >= WORD_ENTRIES or self.held >= WORD_BYTES:
             self.words.clear()
+            self.held = len(word) + len(packed)
         self.words[word] = packed
         return packed
 
