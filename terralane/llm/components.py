@@ -37,28 +37,40 @@ class UnionFind:
         return True
 
 
+#: Nodes that one union-find holds; a partition with more is contracted in portions.
+HELD_NODES = 500_000
+
+
 def contract(edges: DataFrame) -> DataFrame:
-    """Replace each partition's edges by the stars of its own components."""
+    """Replace edges by the stars of their components, by portions of a partition."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sets = UnionFind()
+        def stars(sets, schema):
+            nodes = [x for x in sets.up if sets.find(x) != x]
+            for i in range(0, len(nodes), 100_000):
+                piece = nodes[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(piece, schema.field(0).type),
+                        pa.array([sets.find(x) for x in piece], schema.field(1).type),
+                    ],
+                    ["a", "b"],
+                )
+
+        sets, schema = UnionFind(), None
         for batch in batches:
+            schema = batch.schema
             for a, b in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
             ):
                 sets.union(a, b)
-        nodes = [x for x in sets.up if sets.find(x) != x]
-        for i in range(0, len(nodes), 100_000):
-            piece = nodes[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(piece, batch.schema.field(0).type),
-                    pa.array([sets.find(x) for x in piece], batch.schema.field(1).type),
-                ],
-                ["a", "b"],
-            )
+            if len(sets.up) >= HELD_NODES:
+                yield from stars(sets, schema)
+                sets = UnionFind()
+        if sets.up:
+            yield from stars(sets, schema)
 
     return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
 
@@ -76,8 +88,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has columns a and b. Each partition is first contracted by union-find;
     the rest alternates large-star and small-star rounds, whose number grows with the
-    logarithm of the graph's size. Every round is a written table. A node with very
-    many edges is summed by partial aggregates, and its join partition can be split.
+    logarithm of the graph's size. Every round is a written table, and so are the least
+    neighbours in it: a node with very many edges is summed by partial aggregates, and as
+    the sum doesn't share the join's exchange, its join partition can be split.
     Self-loops and repeated edges are allowed; nulls are ignored; no edges give no rows.
     """
     clean = edges.where(F.col("a") != F.col("b")).select("a", "b")
@@ -87,16 +100,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.select("a", "b").unionByName(
             now.select(F.col("b").alias("a"), F.col("a").alias("b"))
         )
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (
-            both.join(least, "a")
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")), "components-least")
+        large = materialize(
+            both.join(least.hint("merge"), "a")
             .where(F.col("b") > F.col("a"))
             .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-            .distinct()
+            .distinct(),
+            "components-large",
         )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "components-least")
         small = (
-            large.join(least, "a")
+            large.join(least.hint("merge"), "a")
             .select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
             .select(F.col("e.a").alias("a"), F.col("e.m").alias("b"))
             .where(F.col("a") != F.col("b"))

@@ -6,7 +6,10 @@
 2. Representatives that share a band are drawn into one neighbourhood (stars to the
    least member of each bucket, then components). Nothing is confirmed yet: this only
    bounds where links can be. A pair of similarity 0.8 shares no band with a
-   probability of (1 - 0.8**6)**48, which is 5e-7.
+   probability of (1 - 0.8**6)**48, which is 5e-7. Chains of half-alike texts can make a
+   neighbourhood large: one of more than a block is drawn anew, from pairs of a bucket
+   whose signatures agree in ``NEAR`` of their values. At 0.8 a signature does so but for
+   five standard deviations, 3e-7.
 3. Inside a neighbourhood full sets are intersected, block against block; a large
    neighbourhood is dealt out as many block pairs, so no task gets more than two
    blocks. A block pair returns the forest of its links, never all pairs.
@@ -30,6 +33,10 @@ PERCENT = 80
 BANDS = 48
 ROWS = 6
 BLOCK_DOCS = 256
+#: Least estimate (percent) of two signatures in one neighbourhood that is drawn anew.
+NEAR = 68
+#: Rows of one block of a bucket there; larger buckets are dealt out as block pairs.
+BUCKET_ROWS = 512
 _PORTION = 32_768
 
 
@@ -83,7 +90,10 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a digest of the set), bands (empty for no set)."""
+    """doc_id, n_shingles, set_a, set_b (a digest of the set), bands, signature (a byte a value).
+
+    Bands are empty where there is no set.
+    """
     source = docs.select("doc_id", "text")
     id_type = source.schema["doc_id"].dataType.simpleString()
 
@@ -95,7 +105,9 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 h, bounds = shingle_hashes(texts, k)
                 sizes = np.diff(bounds)
                 sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(c)))]) for c in (1, 2)]
-                keys = band_keys(superminhash(h, bounds, bands * rows), bands, rows)
+                signatures = superminhash(h, bounds, bands * rows)
+                keys = band_keys(signatures, bands, rows)
+                low = (mix(signatures) & U(255)).astype(np.uint8)
                 filled = sizes > 0
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(filled * bands)]), pa.int32()),
@@ -107,12 +119,14 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                         pa.array(sizes, pa.int64()),
                         *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums),
                         lists,
+                        pa.array([v.tobytes() for v in low], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature"],
                 )
 
     return source.mapInArrow(
-        run, f"doc_id {id_type}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
+        run,
+        f"doc_id {id_type}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, signature binary",
     )
 
 
@@ -156,6 +170,66 @@ def link_forest(ids: list, sets: list[np.ndarray], side: list[int], percent: int
     return forest
 
 
+def near_pairs(rows: DataFrame, near: int = NEAR, block: int = BUCKET_ROWS) -> DataFrame:
+    """A forest (a, b) of the rows (bucket, doc_id, signature) that are alike in a bucket.
+
+    A bucket of more than ``block`` rows is dealt out as block pairs. Two rows of a bucket
+    whose signatures are ``near`` percent alike, by bias-corrected share of equal bytes, are
+    in one tree, or their trees are joined by other block pairs.
+    """
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    large = materialize(
+        rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks")).where("n_blocks > 1"),
+        "near-large-buckets",
+    )
+    n_blocks = F.coalesce("n_blocks", F.lit(1))
+    dealt = (
+        rows.join(large, "bucket", "left")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), n_blocks.cast("bigint")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", "signature")
+        .repartition("bucket", "low", "high")
+        .sortWithinPartitions("bucket", "low", "high")
+    )
+
+    def forest(ids: list, signatures: list[bytes]) -> list[tuple]:
+        if len(ids) < 2:
+            return []
+        values = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(ids), -1)
+        chance = 1 / 256
+        least = values.shape[1] * (near / 100 * (1 - chance) + chance)
+        left, found = np.arange(len(ids)), []
+        # What is reached is never compared again, so a group of copies takes one pass.
+        while len(left):
+            reached, left = [left[0]], left[1:]
+            while reached and len(left):
+                i = reached.pop()
+                alike = (values[left] == values[i]).sum(1) >= least
+                found += [(ids[i], ids[j]) for j in left[alike]]
+                reached += list(left[alike])
+                left = left[~alike]
+        return found
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        key, ids, signatures, kind = None, [], [], None
+        for batch in batches:
+            kind, found = batch.schema.field(3).type, []
+            for *place, doc, signature in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if place != key:
+                    found += forest(ids, signatures)
+                    key, ids, signatures = place, [], []
+                ids.append(doc)
+                signatures.append(signature)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i in (0, 1)], ["a", "b"])
+        if ids:
+            found = forest(ids, signatures)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}")
+
+
 def _confirm(members: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Links (a, b) out of doc_id, component, n_blocks, text."""
     id_type = members.schema["doc_id"].dataType.simpleString()
@@ -223,6 +297,12 @@ def _confirm(members: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     return dealt.mapInArrow(link, f"a {id_type}, b {id_type}")
 
 
+def _blocks(groups: DataFrame, block: int) -> DataFrame:
+    """node, component, n_blocks: in how many blocks the members of a component are dealt out."""
+    counts = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
+    return groups.join(counts, "component").select("node", "component", "n_blocks")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle_words: int = SHINGLE_WORDS,
@@ -253,7 +333,7 @@ def near_duplicates(
             "doc_id",
             "n_shingles",
             "head",
-            F.when(F.col("doc_id") == F.col("head"), F.col("bands")).alias("bands"),
+            *(F.when(F.col("doc_id") == F.col("head"), F.col(c)).alias(c) for c in ("bands", "signature")),
         ),
         "near-members",
     )
@@ -268,12 +348,15 @@ def near_duplicates(
     )
     stars = buckets.join(heads, "bucket").select(F.col("doc_id").alias("a"), "b")
     around = materialize(connected_components(stars), "near-neighbourhoods")
-    blocks = around.groupBy("component").agg(
-        F.ceil(F.count("*") / F.lit(block_docs)).cast("int").alias("n_blocks")
-    )
-    placed = around.join(blocks, "component").select(
-        F.col("node").alias("doc_id"), "component", "n_blocks"
-    )
+    placed = _blocks(around, block_docs)
+    small = placed.where("n_blocks = 1").select("node", "component")
+    wide = placed.where("n_blocks > 1").select(F.col("node").alias("doc_id"))
+    # Only what is in a wide neighbourhood meets again, with its signature.
+    again = wide.join(members.select("doc_id", "bands", "signature").hint("merge"), "doc_id").where("bands is not null")
+    shared = again.select("doc_id", "signature", F.explode("bands").alias("bucket")).join(heads.select("bucket"), "bucket", "left_semi")
+    drawn = connected_components(near_pairs(shared))
+    placed = _blocks(small.unionByName(drawn), block_docs).withColumnRenamed("node", "doc_id")
+    placed = materialize(placed, "near-placed")
     # The neighbourhoods grow with the corpus, so they are never broadcast.
     texts = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id")
     links = _confirm(texts, shingle_words, percent, block_docs)

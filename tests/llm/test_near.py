@@ -56,7 +56,7 @@ def brute(texts, k, percent=80):
     return [find(i) for i in range(len(s))], [len(x) for x in s]
 
 
-@pytest.mark.parametrize(("k", "block"), [(4, 256), (5, 8)])
+@pytest.mark.parametrize(("k", "block"), [(4, 256), (5, 8), (5, 1)])
 def test_groups_equal_brute_force(spark, k, block):
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit("clash"))
@@ -66,6 +66,29 @@ def test_groups_equal_brute_force(spark, k, block):
     assert list(got.kept) == [g == i for i, g in enumerate(groups)]
 
 
+def test_a_template_family_makes_no_square_work(spark, monkeypatch):
+    draw = random.Random(9)
+    frame = words(draw, 60)
+    texts = [" ".join(frame + words(draw, 28)) for _ in range(5000)]
+    for i in range(0, 60, 3):
+        texts[i + 1] = texts[i] + " more"
+    texts += [texts[2]] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    seen, confirm = [], near_dedup._confirm
+
+    def counted(members, *settings):
+        seen.append(members.count())
+        return confirm(members, *settings)
+
+    monkeypatch.setattr(near_dedup, "_confirm", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    # All of the family half agree and chain in bands; only pairs stay to be confirmed.
+    s = sets(texts[:200], 5)
+    assert 0.4 < len(s[0] & s[2]) / len(s[0] | s[2]) < 0.6
+    want = {i: i for i in range(len(texts))} | {i + 1: i for i in range(0, 60, 3)} | {5000 + k: 2 for k in range(5)}
+    assert got == want and sum(seen) < 500
+
+
 def test_groups_with_null_ids_repeats_and_no_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
