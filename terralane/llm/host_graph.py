@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,12 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-DAMPING = 0.85
-ROUNDS = 12
-#: A host goes where its distrust exceeds its trust by half of what a host that is
-#: blocked throughout gets from its own restart.
-THRESHOLD = (1 - DAMPING) / 2
+#: Half of a host's score is that of its own pages, half comes along its links.
+DAMPING = 0.5
+#: Share of all mass that may be outstanding when the walks end.
+RESIDUAL = 1e-7
+#: A host goes where blocked pages are so much more of what reaches it than trusted ones.
+THRESHOLD = 0.15
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -53,10 +56,11 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, n: absolute links between different hosts, counted before any join.
+    """src, dst, n: links between different hosts, counted before any join.
 
-    A host also links to the nearest host above it that has pages, as its pages carry
-    that site's menus; so www, blog or m hosts share the fate of their site.
+    These are the absolute links of the pages, and one from and to the domain above for
+    every page of a host (m.site.example.org, site.example.org, example.org), as the hosts
+    of a site and of a domain link each other in menus. A domain needs no pages of its own.
     """
     own = host_of(F.col("url"))
     links = F.regexp_extract_all(
@@ -74,20 +78,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
     hosts = pages.select(own.alias("host")).groupBy("host").agg(F.count("*").alias("n"))
     parts = F.split("host", r"\.")
-    above = hosts.select(
-        F.col("host").alias("src"),
-        "n",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),
-                lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
-            )
-        ).alias("up", "dst"),
-    ).where("dst != ''")
-    known = above.join(hosts.select(F.col("host").alias("dst")), "dst")
-    nearest = known.groupBy("src", "n").agg(F.min_by("dst", "up").alias("dst"))
+    name = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 2),
+        lambda i: F.array(
+            F.struct(name(i).alias("src"), name(i + 1).alias("dst")),
+            F.struct(name(i + 1).alias("src"), name(i).alias("dst")),
+        ),
+    )
+    above = hosts.where(F.size(parts) > 2).select("n", F.explode(F.flatten(steps)).alias("e"))
     return (
-        linked.unionByName(nearest.select("src", "dst", "n"))
+        linked.unionByName(above.select("e.src", "e.dst", "n"))
         .where("src != '' and dst != '' and src != dst")
         .groupBy("src", "dst")
         .agg(F.sum("n").alias("n"))
@@ -95,18 +96,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(
-    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS
+    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, residual: float = RESIDUAL
 ) -> DataFrame:
-    """host, trust, distrust: personalised PageRank, forwards and on reversed edges.
+    """host, trust, distrust: shares of trusted and blocked pages in what reaches a host.
 
-    ``seeds`` has host, trusted, blocked: the shares of its rows under either rule.
-    Both walks run as one frame, so a round is one join and one sum.
+    ``seeds`` has host, pages, trusted, blocked: counts. Trust is personalised PageRank
+    from trusted pages over that from all pages, along links; distrust the same from blocked
+    pages, against them. Restarts of all pages sum to one. The walks run as one frame of
+    what is still moving, so a round is one join and one sum; they end when what could
+    still arrive is at most ``residual``.
     """
-    ways = edges.select("src", "dst", "n", F.lit("trust").alias("way")).unionByName(
-        edges.select(
-            F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit("distrust").alias("way")
-        )
+    ahead = edges.select("src", "dst", "n", F.explode(F.array(F.lit("trust"), F.lit("pages"))).alias("way"))
+    back = edges.select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.explode(F.array(F.lit("distrust"), F.lit("back"))).alias("way")
     )
+    ways = ahead.unionByName(back)
     out = ways.groupBy("src", "way").agg(F.sum("n").alias("all"))
     shares = materialize(
         ways.join(out, ["src", "way"]).select(
@@ -114,37 +118,43 @@ def spread(
         ),
         "host-shares",
     )
-    start = materialize(
-        seeds.select(
-            "host",
-            F.explode(
-                F.array(
-                    F.struct(F.lit("trust").alias("way"), F.col("trusted").alias("weight")),
-                    F.struct(F.lit("distrust").alias("way"), F.col("blocked").alias("weight")),
+    total = seeds.agg(F.sum("pages").alias("n")).first().n or 1
+    start = seeds.select(
+        "host",
+        F.explode(
+            F.array(
+                *(
+                    F.struct(F.lit(way).alias("way"), ((1 - damping) * F.col(c) / total).alias("score"))
+                    for way, c in (("trust", "trusted"), ("pages", "pages"), ("distrust", "blocked"), ("back", "pages"))
                 )
-            ).alias("s"),
-        )
-        .select("host", "s.way", ((1 - damping) * F.col("s.weight")).alias("restart"))
-        .where("restart > 0"),
-        "host-restarts",
-    )
-    scores = start.withColumnRenamed("restart", "score")
-    for i in range(rounds):
-        moved = shares.join(scores.withColumnRenamed("host", "src"), ["src", "way"]).select(
-            F.col("dst").alias("host"),
-            "way",
-            (damping * F.col("share") * F.col("score")).alias("score"),
-        )
-        scores = (
-            moved.unionByName(start.withColumnRenamed("restart", "score"))
-            .groupBy("host", "way")
-            .agg(F.sum("score").alias("score"))
-        )
-        if i % 4 == 3 or i == rounds - 1:
-            scores = materialize(scores, "host-scores")
-    return scores.groupBy("host").agg(
-        F.sum(F.when(F.col("way") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
-        F.sum(F.when(F.col("way") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
+            )
+        ).alias("s"),
+    ).select("host", "s.way", "s.score")
+    moving = materialize(start.where("score > 0"), "host-moving")
+    arrived, outstanding = [moving], 1.0
+    while outstanding > residual:
+        steps = []
+        # A few rounds a job; what is still moving shrinks by the damping at least.
+        for _ in range(4):
+            moving = (
+                shares.join(moving.withColumnRenamed("host", "src"), ["src", "way"])
+                .groupBy(F.col("dst").alias("host"), "way")
+                .agg((damping * F.sum(F.col("share") * F.col("score"))).alias("score"))
+            )
+            moving = moving.withColumn("step", F.lit(len(steps)))
+            steps.append(moving)
+            moving = moving.drop("step")
+        written = materialize(reduce(DataFrame.unionByName, steps), "host-moving")
+        arrived.append(written.drop("step"))
+        moving = written.where(F.col("step") == 3).drop("step")
+        mass = moving.groupBy("way").agg(F.sum("score").alias("m")).agg(F.max("m").alias("m")).first().m or 0.0
+        outstanding = mass * damping / (1 - damping)
+    score = lambda way: F.sum(F.when(F.col("way") == way, F.col("score")).otherwise(0.0))
+    part = lambda a, b: F.coalesce(score(a) / F.nullif(score(b), F.lit(0.0)), F.lit(0.0))
+    return (
+        reduce(DataFrame.unionByName, arrived)
+        .groupBy("host")
+        .agg(part("trust", "pages").alias("trust"), part("distrust", "back").alias("distrust"))
     )
 
 
@@ -154,8 +164,8 @@ def judge(
     """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages``.
 
     A rule decides where one fits. Elsewhere the host is blocked if its distrust exceeds
-    its trust by ``threshold`` or more, else allowed; a host that no seed reaches is
-    allowed, and so is an empty one. A null url or one without ``://`` has an empty host
+    its trust by ``threshold`` or more (both from 0 to 1), else allowed; a host that no seed
+    reaches is allowed, and so is an empty one. A null url or one without ``://`` has an empty host
     and path. Repeated rows count and come back as often as they occur; other columns
     are ignored.
     """
@@ -163,13 +173,15 @@ def judge(
     named = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = named.withColumns({"rule": rule, "ruled": verdict})
-    seeds = (
+    seeds = materialize(
         ruled.where("host != ''")
         .groupBy("host")
         .agg(
-            F.avg((F.coalesce("ruled", F.lit("")) == "allow").cast("double")).alias("trusted"),
-            F.avg((F.coalesce("ruled", F.lit("")) == "block").cast("double")).alias("blocked"),
-        )
+            F.count("*").alias("pages"),
+            F.count_if(F.col("ruled") == "allow").alias("trusted"),
+            F.count_if(F.col("ruled") == "block").alias("blocked"),
+        ),
+        "host-seeds",
     )
     scores = spread(seeds, host_edges(pages), **walk)
     return ruled.join(scores, "host", "left").select(

@@ -1,21 +1,30 @@
 """WARC fixity audit with Merkle trees over ordered record ranges.
 
-A record is its WARC bytes: a header with url and length, then the payload. Records
-are ordered by id. A leaf is the hash of a record; a node on level L covers the ids
-from k * fanout**L on, and hashes the nodes below it, in order, with their places. An
-audit compares the roots of two replicas and goes down only where nodes differ, so it
-reads few rows of the lower levels of equal parts.
+A record is its WARC bytes: a header with url and length, then the payload. Records are
+ordered by id. A leaf is the hash of a record; a node on level L covers the ids that share
+all but their last 4 L bits and hashes its parts in order, each with its place and its
+length in bytes, so the offsets of all parts are fixed by it as well. It has ``FANOUT``
+parts at most, however the ids lie; the root has those of the highest level. An audit
+compares the roots of two replicas and goes down only where nodes differ, adding up the
+lengths on the way, so it reads few rows of the lower levels of equal parts and knows the
+offset of every difference in either replica. As a node hashes lengths, not offsets from
+the start, a lost record changes only the nodes above it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-FANOUT = 16
-LEVELS = 6
+#: Parts of a node: a step of this many bits.
+BITS = 4
+FANOUT = 1 << BITS
+#: Levels below the root that 64-bit ids need at most.
+MOST_LEVELS = 64 // BITS - 1
 
 
 def record_bytes(url: Column, payload: Column) -> Column:
@@ -32,94 +41,120 @@ def record_bytes(url: Column, payload: Column) -> Column:
 
 
 def leaves(records: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """place (the id), hash, bytes. Rows of one id hash together, in hash order.
+    """named, place (the id), hash, bytes.
 
-    Rows with a null id have no place in the order and take place -1.
+    Rows of one id are one leaf, whose hash is that of their number and the sums of their
+    hashes' parts, in any order. Rows with a null id come after all others (``named`` is
+    false), placed by their hash. Other columns are ignored.
     """
     data = record_bytes(F.col("url"), F.col("html"))
     one = records.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("place"),
+        F.col(id_col).cast("bigint").alias("id"),
         F.sha2(data.cast("binary"), 256).alias("hash"),
         F.octet_length(data).cast("bigint").alias("bytes"),
     )
-    many = one.groupBy("place").agg(
+    by_hash = F.conv(F.substring("hash", 1, 15), 16, 10).cast("bigint")
+    placed = one.select(F.col("id").isNotNull().alias("named"), F.coalesce("id", by_hash).alias("place"), "hash", "bytes")
+    part = lambda i: F.conv(F.substring("hash", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")
+    many = placed.groupBy("named", "place").agg(
         F.count("*").alias("n"),
         F.min("hash").alias("first"),
-        F.array_sort(F.collect_list("hash")).alias("all"),
+        *(F.sum(part(i)).alias(f"part_{i}") for i in range(4)),
         F.sum("bytes").alias("bytes"),
     )
+    together = F.concat_ws(":", *(F.col(c).cast("string") for c in ("n", *(f"part_{i}" for i in range(4)))))
     return many.select(
+        "named",
         "place",
-        F.when(F.col("n") == 1, F.col("first"))
-        .otherwise(F.sha2(F.array_join("all", "").cast("binary"), 256))
-        .alias("hash"),
+        F.when(F.col("n") == 1, F.col("first")).otherwise(F.sha2(together.cast("binary"), 256)).alias("hash"),
         "bytes",
     )
 
 
-def tree(records: DataFrame, id_col: str = "page_id", fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """level, place, hash, bytes: all nodes; level 0 are the leaves.
+def levels_for(*replicas: DataFrame, id_col: str = "page_id") -> int:
+    """Levels below the root that hold all ids of the replicas; trees to be compared need the same."""
+    widest = 1
+    for records in replicas:
+        ids = F.col(id_col).cast("bigint")
+        found = records.agg(F.min(ids).alias("low"), F.max(ids).alias("high"), F.count_if(ids.isNull()).alias("nameless")).first()
+        for i in (found.low, found.high):
+            widest = max(widest, 0 if i is None else i.bit_length())
+        if found.nameless:
+            widest = max(widest, 60)
+    return min(MOST_LEVELS, -(-widest // BITS))
+
+
+def tree(records: DataFrame, levels: int, id_col: str = "page_id") -> DataFrame:
+    """level, named, place, up, hash, bytes: all nodes; level 0 are the leaves, the root is levels + 1.
 
-    A node gathers at most ``fanout`` children, but for the top level, which gathers
-    as many as the order is longer than fanout**levels.
+    ``up`` is the place of the node above. No records give no nodes. ``levels`` must hold
+    all ids (``levels_for``), else the root has more parts.
     """
-    now = materialize(leaves(records, id_col), "merkle-leaves")
-    out = now.select(F.lit(0).alias("level"), "*")
-    for level in range(1, levels + 1):
-        place = F.floor(F.col("place") / fanout) if level < levels else F.lit(0)
-        now = (
-            now.groupBy(place.cast("bigint").alias("up"))
-            .agg(
-                F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("children"),
-                F.sum("bytes").alias("bytes"),
-            )
+    def above(level: int) -> Column:
+        return F.shiftright("place", BITS) if level < levels else F.lit(0).cast("bigint")
+
+    with_up = lambda df, level: df.withColumn("up", above(level))
+    now = materialize(with_up(leaves(records, id_col), 0), "merkle-leaves")
+    out = [now.select(F.lit(0).alias("level"), "*")]
+    for level in range(1, levels + 2):
+        # The root holds named and nameless records alike.
+        named = F.col("named") if level <= levels else F.lit(True)
+        parts = F.array_sort(F.collect_list(F.struct((~F.col("named")).alias("late"), "place", "bytes", "hash")))
+        spelled = F.transform("parts", lambda c: F.concat_ws(":", c["late"].cast("int"), c["place"], c["bytes"], c["hash"]))
+        nodes = (
+            now.groupBy(named.alias("side"), F.col("up").alias("place"))
+            .agg(parts.alias("parts"), F.sum("bytes").alias("bytes"))
             .select(
-                F.col("up").alias("place"),
-                F.sha2(
-                    F.array_join(
-                        F.transform(
-                            "children", lambda c: F.concat_ws(":", c["place"], c["hash"])
-                        ),
-                        ",",
-                    ).cast("binary"),
-                    256,
-                ).alias("hash"),
+                F.col("side").alias("named"),
+                "place",
+                F.sha2(F.array_join(spelled, ",").cast("binary"), 256).alias("hash"),
                 "bytes",
             )
         )
-        out = out.unionByName(now.select(F.lit(level).alias("level"), "*"))
-    return materialize(out, "merkle-tree")
+        now = with_up(nodes, level)
+        if level % 3 == 0:
+            now = materialize(now, "merkle-level")
+        out.append(now.select(F.lit(level).alias("level"), "*"))
+    return materialize(reduce(DataFrame.unionByName, out), "merkle-tree")
 
 
-def audit(first: DataFrame, second: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """place, status, first_hash, second_hash of the leaves that differ.
+def audit(first: DataFrame, second: DataFrame, levels: int) -> DataFrame:
+    """place, status, first_hash, second_hash, first_offset, second_offset of the leaves that differ.
 
-    ``status`` is changed, missing (not in the second tree) or extra (only there). Equal
-    trees, or two empty ones, give no rows after one comparison of roots.
+    ``first`` and ``second`` are trees of ``levels``. ``status`` is changed, missing (not in
+    the second tree) or extra (only there); offsets count bytes before the leaf in the
+    replica's order and are null where it has none. A record with a null id has a null
+    place. Equal trees, or two empty ones, give no rows after one comparison of roots.
     """
     suspects = None
-    for level in range(levels, -1, -1):
-        a = first.where(F.col("level") == level).select("place", F.col("hash").alias("first_hash"))
-        b = second.where(F.col("level") == level).select("place", F.col("hash").alias("second_hash"))
-        if suspects is not None:
-            up = F.lit(0) if level == levels - 1 else F.floor(F.col("place") / fanout)
-            inside = lambda side: side.withColumn("up", up.cast("bigint")).join(  # noqa: E731, B023
-                suspects, "up", "left_semi"  # noqa: B023
-            ).drop("up")
-            a, b = inside(a), inside(b)
+    for level in range(levels + 1, -1, -1):
+        sides = []
+        for side, nodes in (("first", first), ("second", second)):
+            of = nodes.where(F.col("level") == level).drop("level")
+            offset = F.lit(0).cast("bigint")
+            if suspects is not None:
+                on = ["up"] if level == levels else ["named", "up"]
+                of = of.join(suspects.select(*on, F.col(f"{side}_offset").alias("base")), on)
+                before = Window.partitionBy(*on).orderBy(F.col("named").desc(), "place").rowsBetween(Window.unboundedPreceding, -1)
+                offset = F.col("base") + F.coalesce(F.sum("bytes").over(before), F.lit(0))
+            sides.append(of.select("named", "place", F.col("hash").alias(f"{side}_hash"), offset.alias(f"{side}_offset")))
         differ = materialize(
-            a.join(b, "place", "full").where(~F.col("first_hash").eqNullSafe(F.col("second_hash"))),
+            sides[0]
+            .join(sides[1], ["named", "place"], "full")
+            .where(~F.col("first_hash").eqNullSafe(F.col("second_hash"))),
             "merkle-differ",
         )
         if differ.isEmpty():
             break
-        suspects = differ.select(F.col("place").alias("up"))
+        suspects = differ.withColumnRenamed("place", "up")
     return differ.select(
-        "place",
+        F.when(F.col("named"), F.col("place")).alias("place"),
         F.when(F.col("second_hash").isNull(), "missing")
         .when(F.col("first_hash").isNull(), "extra")
         .otherwise("changed")
         .alias("status"),
         "first_hash",
         "second_hash",
+        "first_offset",
+        "second_offset",
     )

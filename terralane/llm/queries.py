@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,63 +29,58 @@ def op1_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+    return judged.withColumns({c: F.round(c, 4) for c in ("trust", "distrust")})
 
 
 def _op2_sql() -> str:
-    """Rules, host links and both walks, round by round."""
+    """Rules, host links and the walks, round by round."""
     host = "translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
     rules = sorted(host_graph.RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for _, h, p in rules]
     arms = lambda of: " ".join(f"WHEN {c} THEN '{of(r)}'" for c, r in zip(fits, rules, strict=True))
-    damping, rounds = host_graph.DAMPING, host_graph.ROUNDS
-    steps = [
-        f"""s{i} AS (
-  SELECT host, way, sum(score) AS score FROM (
-    SELECT s.dst AS host, s.way, {damping}::DOUBLE * share * score AS score
-    FROM shares s JOIN s{i - 1} w ON w.host = s.src AND w.way = s.way
-    UNION ALL SELECT host, way, score FROM s0
-  ) GROUP BY 1, 2
-)"""
-        for i in range(1, rounds + 1)
-    ]
+    damping = host_graph.DAMPING
+    rounds = math.ceil(math.log(host_graph.RESIDUAL) / math.log(damping)) + 4
     href = r"""(?i)\bhref\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)"""
     link = "CASE WHEN starts_with(l, '//') THEN 'http:' || l ELSE l END"
-    return f"""WITH named AS (
+    return f"""WITH RECURSIVE named AS (
   SELECT page_id, {host.format(u="url")} AS host, {path} AS path, html FROM pages
 ), ruled AS (
   SELECT page_id, host, path, html, CASE {arms(lambda r: r[1] + r[2])} END AS rule, CASE {arms(lambda r: r[0])} END AS ruled FROM named
 ), seeds AS (
-  SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS trust,
-         avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS distrust, count(*) AS n
+  SELECT host, count(*) AS pages, count(*) FILTER (ruled = 'allow') AS trusted, count(*) FILTER (ruled = 'block') AS blocked
   FROM ruled WHERE host <> '' GROUP BY 1
 ), hrefs AS (
   SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS l FROM named
 ), linked AS (
   SELECT src, dst, count(*) AS n FROM (SELECT src, {host.format(u=link)} AS dst FROM hrefs) GROUP BY 1, 2
 ), above AS (
-  SELECT host AS src, n, i, array_to_string(string_split(host, '.')[i:], '.') AS dst
-  FROM (SELECT host, n, unnest(range(2, len(string_split(host, '.')) + 1)) AS i FROM seeds)
-), nearest AS (
-  SELECT src, n, arg_min(dst, i) AS dst FROM above WHERE dst IN (SELECT host FROM seeds) GROUP BY 1, 2
+  SELECT n, array_to_string(parts[i:], '.') AS low, array_to_string(parts[i + 1:], '.') AS high
+  FROM (SELECT pages AS n, string_split(host, '.') AS parts, unnest(range(1, len(string_split(host, '.')) - 1)) AS i FROM seeds)
 ), edges AS (
-  SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, n FROM linked UNION ALL SELECT src, dst, n FROM nearest)
-  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2
+  SELECT src, dst, sum(n) AS n FROM (
+    SELECT src, dst, n FROM linked UNION ALL SELECT low, high, n FROM above UNION ALL SELECT high, low, n FROM above
+  ) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2
 ), ways AS (
-  SELECT src, dst, n, 'trust' AS way FROM edges UNION ALL SELECT dst, src, n, 'distrust' FROM edges
+  SELECT src, dst, n, way FROM edges, (VALUES ('trust'), ('pages')) t(way)
+  UNION ALL SELECT dst, src, n, way FROM edges, (VALUES ('distrust'), ('back')) t(way)
 ), shares AS (
   SELECT src, dst, way, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY src, way) AS share FROM ways
-), s0 AS (
-  SELECT host, 'trust' AS way, {1 - damping!r}::DOUBLE * trust AS score FROM seeds WHERE trust > 0
-  UNION ALL SELECT host, 'distrust', {1 - damping!r}::DOUBLE * distrust FROM seeds WHERE distrust > 0
-), {", ".join(steps)}, scores AS (
-  SELECT host, coalesce(sum(score) FILTER (way = 'trust'), 0) AS trust,
-         coalesce(sum(score) FILTER (way = 'distrust'), 0) AS distrust FROM s{rounds} GROUP BY 1
+), moving AS (
+  SELECT 0 AS i, host, way, {1 - damping!r}::DOUBLE * c / (SELECT sum(pages) FROM seeds) AS score
+  FROM (SELECT host, unnest(['trust', 'pages', 'distrust', 'back']) AS way, unnest([trusted, pages, blocked, pages]) AS c FROM seeds)
+  UNION ALL
+  SELECT w.i + 1, s.dst, s.way, sum({damping}::DOUBLE * share * score) FROM shares s JOIN moving w ON w.host = s.src AND w.way = s.way
+  WHERE w.i < {rounds} GROUP BY ALL
+), mass AS (
+  SELECT host, coalesce(sum(score) FILTER (way = 'trust'), 0) AS t, sum(score) FILTER (way = 'pages') AS p,
+         coalesce(sum(score) FILTER (way = 'distrust'), 0) AS d, sum(score) FILTER (way = 'back') AS b FROM moving GROUP BY 1
+), scores AS (
+  SELECT host, coalesce(t / nullif(p, 0), 0) AS trust, coalesce(d / nullif(b, 0), 0) AS distrust FROM mass
 )
 SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= {host_graph.THRESHOLD!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
-       round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+       round(coalesce(trust, 0), 4) AS trust, round(coalesce(distrust, 0), 4) AS distrust
 FROM ruled LEFT JOIN scores USING (host)"""
 
 
@@ -116,7 +112,8 @@ def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("html", F.when(at == 5, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
         .unionByName(pages.where(at == 99).withColumn("page_id", -1 - F.col("page_id")))
     )
-    found = merkle.audit(merkle.tree(pages), merkle.tree(replica))
+    levels = merkle.levels_for(pages, replica)
+    found = merkle.audit(merkle.tree(pages, levels), merkle.tree(replica, levels), levels)
     return found.withColumnRenamed("place", "page_id")
 
 
@@ -127,17 +124,22 @@ _RECORD = (
     "coalesce({html}, '') || chr(13) || chr(10) || chr(13) || chr(10)"
 )
 OP7_SQL = f"""
-WITH whole AS (
-  SELECT page_id, sha256({_RECORD.format(html="html")}) AS own,
-         sha256({_RECORD.format(html="(html || ' ')")}) AS longer
-  FROM pages
+WITH own AS (
+  SELECT page_id, {_RECORD.format(html="html")} AS record FROM pages
+), copy AS (
+  SELECT page_id, {_RECORD.format(html="CASE WHEN page_id % 211 = 5 THEN html || ' ' ELSE html END")} AS record
+  FROM pages WHERE page_id % 211 <> 17
+  UNION ALL SELECT -1 - page_id, record FROM own WHERE page_id % 211 = 99
+), a AS (
+  SELECT page_id, sha256(record) AS first_hash,
+         CAST(sum(strlen(record)) OVER (ORDER BY page_id) - strlen(record) AS BIGINT) AS first_offset FROM own
+), b AS (
+  SELECT page_id, sha256(record) AS second_hash,
+         CAST(sum(strlen(record)) OVER (ORDER BY page_id) - strlen(record) AS BIGINT) AS second_offset FROM copy
 )
-SELECT page_id, 'changed' AS status, own AS first_hash, longer AS second_hash
-FROM whole WHERE page_id % 211 = 5
-UNION ALL
-SELECT page_id, 'missing', own, NULL FROM whole WHERE page_id % 211 = 17
-UNION ALL
-SELECT -1 - page_id, 'extra', NULL, own FROM whole WHERE page_id % 211 = 99
+SELECT page_id, CASE WHEN second_hash IS NULL THEN 'missing' WHEN first_hash IS NULL THEN 'extra' ELSE 'changed' END AS status,
+       first_hash, second_hash, first_offset, second_offset
+FROM a FULL JOIN b USING (page_id) WHERE first_hash IS DISTINCT FROM second_hash
 """
 
 
