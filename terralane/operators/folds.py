@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .trajectories import MAX_SPEED
 
@@ -52,8 +53,15 @@ def drop_overspeed(points: DataFrame, max_speed: float = MAX_SPEED, geographic:
 def drop_same_place(points: DataFrame, geographic: bool = True, parity: bool = False) -> DataFrame:
     """Drop the middle of three points if it stands still on both sides.
 
-    ``parity`` drops it whenever both distances are equal.
+    ``parity`` drops it whenever both distances are equal. On a plane and without
+    ``parity`` the point before stands for the last kept one, so this is a window.
     """
+    if not geographic and not parity:
+        order = Window.partitionBy("traj_id").orderBy("ts", "seq")
+        same = [F.lag(c).over(order) == F.col(c) for c in "xy"] + [F.lead(c).over(order) == F.col(c) for c in "xy"]
+        still = F.coalesce(same[0] & same[1] & same[2] & same[3], F.lit(False))
+        return points.withColumn("_still", still).where(~F.col("_still")).drop("_still")
+
     def keep(t):
         x, y = t["x"].to_numpy(), t["y"].to_numpy()
         kept = list(range(min(1, len(x))))

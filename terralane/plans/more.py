@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from terralane.functions import crs, geodesy, geometries, overlay, projections, scalars
 from terralane.operators import folds, layers as L, meshes, networks, rasters, spatial_joins
 from terralane.operators import trajectories as T
+from terralane.operators.checkpoints import shared_folder
 from terralane.operators.rasters import Grid
 from terralane.sources import geotiff, layers as files, points as P, wkb
 
-from .fixtures import GNSS, NATIONS, PLANAR, REGIONS, SEGMENTS, gnss, nations, planar, region_edges_sql, regions, table, trade
-from .space import GRID, _arcs, _lines
-from .tracks import _inside
+from .fixtures import GNSS, NATIONS, PLANAR, REGIONS, SEGMENTS, TRADE, gnss, nations, planar, region_edges_sql, regions, table, trade
+from .space import CELL, GRID, HELD, _arcs, _lines
+from .tracks import AT, _inside
 
 R = F.round
 C = F.col
@@ -22,8 +23,7 @@ C = F.col
 
 def scratch(spark, name: str) -> str:
     """A new folder that all machines see, for texts that a query writes and reads back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/terralane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/terralane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def _written(spark, lines, name: str) -> str:
@@ -32,6 +32,18 @@ def _written(spark, lines, name: str) -> str:
     return path
 
 
+def _collected(spark, lines, head: str, joint: str, tail: str, name: str, files: int = 4) -> str:
+    """A folder of ``files`` whole texts, each with its share of the lines (value) between head and tail."""
+    def run(batches):
+        import pandas as pd
+
+        own = [v for b in batches for v in b["value"]]
+        if own:
+            yield pd.DataFrame({"value": [head + joint.join(own) + tail]})
+
+    return _written(spark, lines.select("value").repartition(files).mapInPandas(run, "value string"), name)
+
+
 def s04_csv_points(spark, sf):
     e = gnss(spark, sf)
     line = F.concat_ws(",", "traj_id", "x", "y", scalars.from_epoch(F.floor("ts")))
@@ -68,11 +80,8 @@ def s11_geojson(spark, sf):
         F.struct(F.lit("POINT").alias("type"), F.array(F.array(F.struct("x", "y"))).alias("parts")).alias("geom"),
         F.create_map(F.lit("id"), C("id").cast("string")).alias("properties"),
     )
-    path = _written(spark, files.to_geojson(n), "geojson")
-    # Features a line each are read as texts of their own.
-    each = spark.read.text(path)
-    whole = each.agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    back = files.read_geojson(spark, _written(spark, whole, "collection"))
+    each = spark.read.text(_written(spark, files.to_geojson(n), "geojson"))
+    back = files.read_geojson(spark, _collected(spark, each, '{"features":[', ",", "]}", "collection"))
     p = F.get(F.get("geom.parts", F.lit(0)), F.lit(0))
     return back.select(C("properties")["id"].cast("bigint").alias("id"), p["x"].alias("x"), p["y"].alias("y"))
 
@@ -80,8 +89,7 @@ def s11_geojson(spark, sf):
 def s12_kml(spark, sf):
     n = nations(spark, sf)
     mark = F.format_string('<Placemark id="%d"><name>n%d</name><Point><coordinates>%s,%s,0</coordinates></Point></Placemark>', "id", "id", C("x").cast("string"), C("y").cast("string"))
-    path = _written(spark, n.agg(F.concat(F.lit("<kml>"), F.array_join(F.collect_list(mark), ""), F.lit("</kml>")).alias("value")), "kml")
-    k = files.read_kml(spark, path)
+    k = files.read_kml(spark, _collected(spark, n.select(mark.alias("value")), "<kml>", "", "</kml>", "kml"))
     p = F.get(F.get("geom.parts", F.lit(0)), F.lit(0))
     return k.select(C("id").cast("bigint").alias("id"), "name", p["x"].alias("x"), p["y"].alias("y"))
 
@@ -91,8 +99,8 @@ def s13_osm(spark, sf):
     ways = trade(spark, sf).select(
         F.format_string('<way id="%d"><nd ref="%d"/><nd ref="%d"/><tag k="highway" v="%s"/></way>', C("src") * 100 + C("dst"), "src", "dst", F.when((C("src") + C("dst")) % 2 == 0, "primary").otherwise("service")).alias("t")
     )
-    text = nodes.union(ways).agg(F.concat(F.lit("<osm>"), F.array_join(F.sort_array(F.collect_list("t")), "\n"), F.lit("</osm>")).alias("value"))
-    roads = files.read_osm_roads(spark, _written(spark, text, "osm"))
+    lines = nodes.union(ways).withColumnRenamed("t", "value")
+    roads = files.read_osm_roads(spark, _collected(spark, lines, "<osm>", "\n", "</osm>", "osm"))
     line = F.get("geom.parts", F.lit(0))
     return roads.select("osm_id", "subtype", R(geometries.line_length(line), 6).alias("length"))
 
@@ -323,8 +331,6 @@ def j06_ordered_index(spark, sf):
 
 
 def j12_snapshot_label(spark, sf):
-    from .tracks import AT
-
     s = T.snapshot(gnss(spark, sf), AT)
     return rasters.label_points(s, rasters.density(gnss(spark, sf), GRID), GRID).select("traj_id", "label")
 
@@ -455,7 +461,11 @@ QUERIES = {
     "s10_dbf": (s10_dbf, "SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS s, round(p_retailprice, 2) AS p, p_brand AS b FROM part"),
     "s11_geojson": (s11_geojson, f"WITH {NATIONS} SELECT id, x, y FROM nodes"),
     "s12_kml": (s12_kml, f"WITH {NATIONS} SELECT id, 'n' || id AS name, x, y FROM nodes"),
-    "s13_osm": (s13_osm, None),
+    "s13_osm": (
+        s13_osm,
+        f"WITH {NATIONS}, {TRADE} SELECT src * 100 + dst AS osm_id, CASE WHEN (src + dst) % 2 = 0 THEN 'primary' ELSE 'service' END AS subtype, "
+        "round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 6) AS length FROM arcs JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst",
+    ),
     "s14_geotiff": (s14_geotiff, f"WITH {GNSS}, c AS (SELECT CAST(floor((39.5::DOUBLE - y) / 0.0125::DOUBLE) AS BIGINT) AS row, CAST(floor((x - 116.0::DOUBLE) / 0.0025::DOUBLE) AS BIGINT) AS col FROM gnss) SELECT row, col, CAST(count(*) AS DOUBLE) AS value FROM c WHERE row BETWEEN 0 AND 39 AND col BETWEEN 0 AND 39 GROUP BY 1, 2"),
     "s16_obj": (s16_obj, "SELECT CAST(56 AS BIGINT) AS n_vertices, CAST(139 AS BIGINT) AS n_edges, CAST(84 AS BIGINT) AS n_faces, 42.0::DOUBLE AS area"),
     "s17_empty_layer": (s17_empty_layer, "SELECT CAST(1 AS BIGINT) AS fid, 'x' AS name WHERE FALSE"),
@@ -463,7 +473,11 @@ QUERIES = {
     "s20_wkb": (s20_wkb, f"{_LINE_SQL}, r AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY fid, p ORDER BY seq)) SELECT fid, 'MULTILINESTRING' AS type, count(DISTINCT p) AS parts, round(coalesce(sum(sqrt(power(x2 - x, 2) + power(y2 - y, 2))), 0), 2) AS length FROM r GROUP BY 1"),
     "k06_trips": (k06_trips, f"WITH {SEGMENTS} SELECT traj_id, round(sum(length), 1) AS length FROM segments GROUP BY 1"),
     "k07_report": (k07_report, _report_sql()),
-    "k08_nodes_arcs": (k08_nodes_arcs, None),
+    "k08_nodes_arcs": (
+        k08_nodes_arcs,
+        f"WITH {NATIONS}, {TRADE} SELECT src AS SNodeID, dst AS ENodeID, 'LINESTRING (' || CAST(a.x AS INT) || ' ' || CAST(a.y AS INT) || ', ' || "
+        "CAST(b.x AS INT) || ' ' || CAST(b.y AS INT) || ')' AS wkt, n FROM arcs JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst",
+    ),
     "k12_hash_split": (k12_hash_split, "SELECT CAST(list_sum([ascii(c) FOR c IN string_split(c_name, '')]) % 7 AS BIGINT) AS bucket, count(*) AS n FROM customer GROUP BY 1"),
     "k13_wkt": (k13_wkt, f"WITH {NATIONS} SELECT id, 'POINT (' || CAST(x AS BIGINT) || ' ' || CAST(y AS BIGINT) || ')' AS wkt FROM nodes"),
     "p01_columns": (p01_columns, "SELECT p_partkey AS fid, p_brand AS brand, 7 AS grade FROM part"),
@@ -482,7 +496,12 @@ QUERIES = {
     "q15_cross": (q15_cross, None),
     "j02_polygon_index": (j02_polygon_index, _polygon_cells_sql()),
     "j06_ordered_index": (j06_ordered_index, "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey BETWEEN 100 AND 400"),
-    "j12_snapshot_label": (j12_snapshot_label, None),
+    "j12_snapshot_label": (
+        j12_snapshot_label,
+        f"WITH {SEGMENTS}, d AS (SELECT row, col, CAST(count(*) AS DOUBLE) AS label FROM (SELECT {CELL} FROM gnss) WHERE {HELD} GROUP BY 1, 2), "
+        f"p AS (SELECT traj_id, x + ({AT} - ts) / seconds * (x2 - x) AS x, y + ({AT} - ts) / seconds * (y2 - y) AS y FROM segments "
+        f"WHERE ts <= {AT} AND ts2 > {AT} AND length > 0) SELECT traj_id, label FROM (SELECT traj_id, {CELL} FROM p) LEFT JOIN d USING (row, col)",
+    ),
     "j15_weld": (j15_weld, "SELECT CAST(486 AS BIGINT) AS corners, CAST(100 AS BIGINT) AS vertices"),
     "a09_complex": (a09_complex, f"WITH {PLANAR}, led AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(ts) OVER w AS t2 FROM planar WINDOW w AS (PARTITION BY traj_id ORDER BY ts, seq)), c AS (SELECT CAST(floor((50000 - y) / 2500) AS BIGINT) AS row, CAST(floor(x / 500) AS BIGINT) AS col, sqrt(power(x2 - x, 2) + power(y2 - y, 2)) / nullif(t2 - ts, 0) * 2 + seq % 10 AS v FROM led WHERE x2 IS NOT NULL) SELECT row, col, round(avg(v), 5) AS value FROM c WHERE row BETWEEN 0 AND 19 AND col BETWEEN 0 AND 19 GROUP BY 1, 2"),
     "a17_fields": (a17_fields, "SELECT DISTINCT event_type AS key FROM events"),

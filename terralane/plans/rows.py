@@ -13,7 +13,7 @@ from terralane.sources import layers as files, points as P
 
 from .fixtures import GNSS, NATIONS, PLANAR, SEGMENTS, TRADE, gnss, nations, planar, table, trade
 from .more import _parts_layer, scratch
-from .space import GRID, _vectors
+from .space import CLUSTERS, GRID, _vectors
 
 R = F.round
 C = F.col
@@ -35,14 +35,27 @@ def s02_folder_scan(spark, sf):
 
 
 def s07_header(spark, sf):
-    rows = spark.createDataFrame([("ID,X,Y,T",), ("a,1,2,2024-01-01 00:00:00",), ("b,3,4,2024-01-01 00:00:01",)], "value string")
+    """Nations as a text whose first line names the columns."""
+    n = nations(spark, sf).select(F.concat_ws(",", "id", "x", "y", F.lit("2024-01-01 00:00:00")).alias("value"))
     path = scratch(spark, "header")
-    rows.coalesce(1).write.text(path)
-    return P.read_points(spark, path, header=True).select("traj_id", "x", "y")
+    n.repartitionByRange(1, "value").mapInPandas(_with_header, "value string").write.text(path)
+    return P.read_points(spark, path, header=True).select(C("traj_id").cast("bigint").alias("traj_id"), "x", "y")
+
+
+def _with_header(frames):
+    import pandas as pd
+
+    yield pd.DataFrame({"value": ["ID,X,Y,T"]})
+    yield from frames
 
 
 def s21_settings(spark, sf):
-    return spark.createDataFrame(sorted(config.DEFAULTS.items()), "key string, value string").where("key like 'split%'")
+    """Settings put for each region, read back beside the defaults."""
+    names = {r.r_name: str(r.r_regionkey) for r in table(spark, sf, "region").collect()}
+    for name, value in names.items():
+        config.put(spark, f"region.{name}", value)
+    keys = [*(f"region.{n}" for n in sorted(names)), "split.metres", "split.seconds", "region.none"]
+    return spark.createDataFrame([(k, config.get(spark, k)) for k in keys], "key string, value string")
 
 
 def k04_track_set(spark, sf):
@@ -56,8 +69,13 @@ def k04_track_set(spark, sf):
     return back.groupBy(C("traj_id").cast("bigint").alias("traj_id"), C("extra")["kind"].alias("kind")).agg(F.count("*").alias("n"), R(F.sum("x"), 4).alias("x"))
 
 
+def _counts(spark, sf) -> tuple[int, int]:
+    """Regions and nations: the sizes of generated meshes."""
+    return table(spark, sf, "region").count(), table(spark, sf, "nation").count()
+
+
 def k10_obj(spark, sf):
-    return files.obj_lines(*meshes.grid_mesh(spark, 3, 4)).groupBy("kind").agg(F.count("*").alias("n"))
+    return files.obj_lines(*meshes.grid_mesh(spark, *_counts(spark, sf))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def k11_geojson(spark, sf):
@@ -88,7 +106,7 @@ def a11_degrees(spark, sf):
 
 
 def a15_mesh(spark, sf):
-    return meshes.summary(*meshes.cone(spark, 24)).select("n_vertices", "n_edges", "n_faces", "euler")
+    return meshes.summary(*meshes.cone(spark, _counts(spark, sf)[1])).select("n_vertices", "n_edges", "n_faces", "euler")
 
 
 def o02_time_order(spark, sf):
@@ -116,7 +134,16 @@ def f10_foot(spark, sf):
 
 
 def f36_registry(spark, sf):
-    return spark.createDataFrame([(n,) for n in sorted(projections.REGISTRY)], "name string")
+    """Each registered projection by its name, with its defaults, there and back on all nations."""
+    p = nations(spark, sf).select((C("x") / 10).alias("x"), (C("y") + 20).alias("y"), (C("x") / 10).alias("x0"), (C("y") + 20).alias("y0"))
+    out = None
+    for name in sorted(projections.REGISTRY):
+        made = projections.projection(name)
+        back = projections.map_points(projections.map_points(p, made.forward), made.inverse)
+        near = F.count_if((F.abs(C("x") - C("x0")) < 1e-6) & (F.abs(C("y") - C("y0")) < 1e-6))
+        one = back.agg(near.alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def f38_project_tracks(spark, sf):
@@ -128,7 +155,9 @@ def f40_offset_round_trip(spark, sf):
     g = projections.map_points(gnss(spark, sf), projections.OFFSETS["gcj02", "forward"])
     b = projections.map_points(projections.map_points(g, projections.OFFSETS["bd09", "forward"]), projections.OFFSETS["bd09", "inverse"])
     back = projections.map_points(b, projections.OFFSETS["gcj02", "inverse"])
-    return back.select("seq", R("x", 3).alias("x"), R("y", 3).alias("y"))
+    was = gnss(spark, sf).select("seq", C("x").alias("x0"), C("y").alias("y0"))
+    near = lambda a, b: F.abs(C(a) - C(b)) < 5e-5
+    return back.join(was, "seq").select("seq", (near("x", "x0") & near("y", "y0")).alias("back"))
 
 
 def r01_grid(spark, sf):
@@ -169,18 +198,27 @@ def c05_items(spark, sf):
 
 
 def m01_half_edges(spark, sf):
-    h = meshes.half_edges(meshes.grid_mesh(spark, 4, 5)[1])
+    h = meshes.half_edges(meshes.grid_mesh(spark, *_counts(spark, sf))[1])
     return h.agg(F.count("*").alias("half_edges"), F.sum(C("opposite").isNull().cast("bigint")).alias("open"))
 
 
 def m11_collapse(spark, sf):
-    v, f = meshes.simplify(*meshes.sphere(spark, 8, 12), keep_faces=60, cost="length")
-    return meshes.summary(v, f).select("euler", C("border_edges").cast("bigint").alias("border_edges"))
+    """A sphere for each region, collapsed to fewer faces: it stays closed."""
+    out = None
+    for key in sorted(r[0] for r in table(spark, sf, "region").select("r_regionkey").collect()):
+        keep = 40 + 4 * key
+        m = meshes.summary(*meshes.simplify(*meshes.sphere(spark, 6, 10 + key), keep_faces=keep, cost="length"))
+        one = m.select(
+            F.lit(key).cast("bigint").alias("region"), "euler", C("border_edges").cast("bigint").alias("border_edges"), (C("n_faces") <= keep).alias("fits")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def m15_primitives(spark, sf):
-    out = None
-    for name, (v, f) in {"cone": meshes.cone(spark), "sphere": meshes.sphere(spark), "grid": meshes.grid_mesh(spark, 5, 6)}.items():
+    out, (few, many) = None, _counts(spark, sf)
+    made = {"cone": meshes.cone(spark, many), "sphere": meshes.sphere(spark, few, many), "grid": meshes.grid_mesh(spark, few, many)}
+    for name, (v, f) in made.items():
         one = v.agg(F.count("*").alias("vertices")).join(f.agg(F.count("*").alias("faces"))).select(F.lit(name).alias("name"), "*")
         out = one if out is None else out.unionByName(one)
     return out
@@ -197,27 +235,28 @@ def x02_custom_filter(spark, sf):
 
 _CELL = "CAST(floor((39.5::DOUBLE - y) / 0.0125::DOUBLE) AS BIGINT) AS row, CAST(floor((x - 116.0::DOUBLE) / 0.0025::DOUBLE) AS BIGINT) AS col"
 _BASE = f"WITH {NATIONS}, {TRADE}"
+_COUNTS = "WITH k AS (SELECT (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS n)"
 
 QUERIES = {
     "s02_folder_scan": (s02_folder_scan, "SELECT user_id AS traj_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 2"),
-    "s07_header": (s07_header, "SELECT * FROM (VALUES ('a', 1.0::DOUBLE, 2.0::DOUBLE), ('b', 3.0, 4.0)) t(traj_id, x, y)"),
-    "s21_settings": (s21_settings, "SELECT * FROM (VALUES ('split.metres', '5000'), ('split.seconds', '300')) t(key, value)"),
+    "s07_header": (s07_header, f"WITH {NATIONS} SELECT id AS traj_id, x, y FROM nodes"),
+    "s21_settings": (s21_settings, "SELECT 'region.' || r_name AS key, CAST(r_regionkey AS VARCHAR) AS value FROM region UNION ALL VALUES ('split.metres', '5000'), ('split.seconds', '300'), ('region.none', '')"),
     "k04_track_set": (k04_track_set, f"WITH {GNSS} SELECT traj_id, kind, count(*) AS n, round(sum(x), 4) AS x FROM gnss GROUP BY 1, 2"),
-    "k10_obj": (k10_obj, "SELECT * FROM (VALUES ('v', CAST(20 AS BIGINT)), ('f', 24)) t(kind, n)"),
+    "k10_obj": (k10_obj, f"{_COUNTS} SELECT 'v' AS kind, (r + 1) * (n + 1) AS n FROM k UNION ALL SELECT 'f', 2 * r * n FROM k"),
     "k11_geojson": (k11_geojson, None),
     "p11_collections": (p11_collections, "WITH e AS (SELECT user_id AS traj_id FROM events) SELECT traj_id, count(*) AS n FROM (SELECT traj_id FROM e WHERE traj_id <> 3 UNION ALL SELECT 9999 FROM e WHERE traj_id = 5) GROUP BY 1"),
     "q16_side": (q16_side, f"WITH {GNSS} SELECT seq, CAST(sign({_DX} * (y - 39.1::DOUBLE) - {_DY} * (x - 116.02::DOUBLE)) AS INTEGER) AS side FROM gnss"),
     "q17_nearly_equal": (q17_nearly_equal, f"WITH {SEGMENTS} SELECT seq, abs(x - x2) <= 0.05::DOUBLE AND abs(y - y2) <= 0.05::DOUBLE AS near FROM segments"),
     "a11_degrees": (a11_degrees, f"{_BASE}, d AS (SELECT id, (SELECT count(*) FROM arcs WHERE src = id OR dst = id) AS degree FROM nodes) SELECT degree, count(*) AS n FROM d GROUP BY 1"),
-    "a15_mesh": (a15_mesh, "SELECT CAST(26 AS BIGINT) AS n_vertices, CAST(72 AS BIGINT) AS n_edges, CAST(48 AS BIGINT) AS n_faces, CAST(2 AS BIGINT) AS euler"),
+    "a15_mesh": (a15_mesh, f"{_COUNTS} SELECT n + 2 AS n_vertices, 3 * n AS n_edges, 2 * n AS n_faces, CAST(2 AS BIGINT) AS euler FROM k"),
     "o02_time_order": (o02_time_order, f"WITH {GNSS} SELECT traj_id, seq, row_number() OVER (PARTITION BY traj_id ORDER BY ts, seq) AS place FROM gnss"),
     "f07_nearest": (f07_nearest, f"WITH {GNSS} SELECT seq, round(116.02::DOUBLE + greatest(0, least(1, {_T})) * {_DX}, 7) AS nx, round(39.1::DOUBLE + greatest(0, least(1, {_T})) * {_DY}, 7) AS ny FROM gnss"),
     "f08_foot_or_null": (f08_foot_or_null, f"WITH {GNSS} SELECT seq, round(116.02::DOUBLE + {_T} * {_DX}, 7) AS fx FROM gnss WHERE {_T} BETWEEN 0 AND 1"),
     "f09_foot_class": (f09_foot_class, f"WITH {GNSS} SELECT seq, CASE WHEN {_T} < 0 THEN -1 WHEN {_T} > 1 THEN 1 ELSE 0 END AS place FROM gnss"),
     "f10_foot": (f10_foot, f"WITH {GNSS} SELECT seq, round(116.02::DOUBLE + {_T} * {_DX}, 7) AS fx, round(39.1::DOUBLE + {_T} * {_DY}, 7) AS fy FROM gnss"),
-    "f36_registry": (f36_registry, "SELECT * FROM (VALUES ('Gauss_Kruger'), ('Lambert_Conformal_Conic'), ('Mercator'), ('Transverse_Mercator')) t(name)"),
+    "f36_registry": (f36_registry, "SELECT name, count(*) AS n FROM nation, (VALUES ('Gauss_Kruger'), ('Lambert_Conformal_Conic'), ('Mercator'), ('Transverse_Mercator')) t(name) GROUP BY 1"),
     "f38_project_tracks": (f38_project_tracks, f"WITH {GNSS} SELECT traj_id, seq, round(6378137.0::DOUBLE * radians(x), 2) AS x FROM gnss"),
-    "f40_offset_round_trip": (f40_offset_round_trip, None),
+    "f40_offset_round_trip": (f40_offset_round_trip, "SELECT event_id AS seq, true AS back FROM events"),
     "r01_grid": (r01_grid, "SELECT r AS row, c AS col, round(116.0::DOUBLE + (c + 0.5) * 0.0025::DOUBLE, 6) AS x, round(39.5::DOUBLE - (r + 0.5) * 0.0125::DOUBLE, 6) AS y FROM range(0, 40) t(r), range(0, 40) u(c)"),
     "n02_access": (n02_access, f"{_BASE} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT max(id) FROM nodes) AS last, (SELECT count(*) FROM arcs) AS arcs"),
     "n03_properties": (n03_properties, f"{_BASE} SELECT src, dst, n FROM arcs"),
@@ -235,10 +274,10 @@ QUERIES = {
 SELECT id AS node, hops IS NOT NULL AS exists, hops, coalesce(path, '') AS path FROM nodes LEFT JOIN best ON node = id""",
     ),
     "n22_heights": (n22_heights, f"{_BASE} SELECT src, dst, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.id % 7 - b.id % 7, 2)), 6) AS length FROM arcs JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst"),
-    "c05_items": (c05_items, None),
-    "m01_half_edges": (m01_half_edges, "SELECT CAST(120 AS BIGINT) AS half_edges, CAST(18 AS BIGINT) AS open"),
-    "m11_collapse": (m11_collapse, "SELECT CAST(2 AS BIGINT) AS euler, CAST(0 AS BIGINT) AS border_edges"),
-    "m15_primitives": (m15_primitives, "SELECT * FROM (VALUES ('cone', CAST(34 AS BIGINT), CAST(64 AS BIGINT)), ('sphere', 482, 960), ('grid', 42, 60)) t(name, vertices, faces)"),
+    "c05_items": (c05_items, f"SELECT cluster, count(*) AS n FROM ({CLUSTERS}) GROUP BY 1"),
+    "m01_half_edges": (m01_half_edges, f"{_COUNTS} SELECT 6 * r * n AS half_edges, 2 * (r + n) AS open FROM k"),
+    "m11_collapse": (m11_collapse, "SELECT CAST(r_regionkey AS BIGINT) AS region, CAST(2 AS BIGINT) AS euler, CAST(0 AS BIGINT) AS border_edges, true AS fits FROM region"),
+    "m15_primitives": (m15_primitives, f"{_COUNTS} SELECT 'cone' AS name, n + 2 AS vertices, 2 * n AS faces FROM k UNION ALL SELECT 'sphere', (r - 1) * n + 2, 2 * n * (r - 1) FROM k UNION ALL SELECT 'grid', (r + 1) * (n + 1), 2 * r * n FROM k"),
     "x02_custom_filter": (x02_custom_filter, f"WITH {PLANAR}, s AS (SELECT traj_id, seq, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS d FROM planar WINDOW w AS (PARTITION BY traj_id ORDER BY ts, seq)) SELECT traj_id, seq FROM s WHERE d IS NULL OR d > 0.0001"),
     "x03_cell_expression": (x03_cell_expression, f"WITH {GNSS}, c AS (SELECT kind, {_CELL} FROM gnss) SELECT row, col, round(avg(CASE WHEN kind = 'click' THEN 1.0 ELSE 0.0 END), 6) AS value FROM c WHERE row BETWEEN 0 AND 39 AND col BETWEEN 0 AND 39 GROUP BY 1, 2"),
 }

@@ -8,7 +8,7 @@ from terralane.functions import geometries as M
 from terralane.operators import clustering, rasters, spatial_joins
 from terralane.operators.rasters import Grid
 
-from .fixtures import GNSS, PLANAR, REGIONS, SEGMENTS, gnss, planar, region_edges_sql, regions, table
+from .fixtures import GNSS, PLANAR, REGIONS, SEGMENTS, gnss, planar, plane, region_edges_sql, regions, table
 from .tracks import _inside
 
 R = F.round
@@ -68,6 +68,27 @@ _LINE_CELLS = f"""WITH {SEGMENTS}, ends AS (
 )"""
 
 
+_PLANAR_SEGMENTS = f"""WITH {PLANAR}, led AS (
+  SELECT *, lead(ts) OVER w AS ts2, lead(x) OVER w AS x2, lead(y) OVER w AS y2
+  FROM planar WINDOW w AS (PARTITION BY traj_id ORDER BY ts, seq)
+), segments AS (SELECT *, {plane("x", "y", "x2", "y2")} AS length, ts2 - ts AS seconds FROM led WHERE ts2 IS NOT NULL)"""
+_PLANAR_HELD = "row BETWEEN 0 AND 19 AND col BETWEEN 0 AND 19"
+_HEADING = f"""{_PLANAR_SEGMENTS}, a AS (
+  SELECT CAST(floor((50000 - y) / 2500) AS BIGINT) AS row, CAST(floor(x / 500) AS BIGINT) AS col,
+         CASE WHEN x = x2 AND y2 > y THEN 360 ELSE (degrees(atan2(x2 - x, y2 - y)) + 360) % 360 END AS a
+  FROM segments WHERE NOT (x = x2 AND y = y2)
+) SELECT row, col, round(avg(CASE WHEN a > 337.5 THEN a - 360 ELSE a END), 3) AS value FROM a WHERE {_PLANAR_HELD} GROUP BY 1, 2"""
+_SPEED = f"""{_PLANAR_SEGMENTS}, ends AS (
+  SELECT length, seconds, floor((50000 - y) / 2500) AS r1, floor(x / 500) AS c1, floor((50000 - y2) / 2500) AS r2, floor(x2 / 500) AS c2
+  FROM segments WHERE seconds > 0
+), steps AS (
+  SELECT *, greatest(abs(r2 - r1), abs(c2 - c1)) AS n, unnest(range(0, CAST(greatest(abs(r2 - r1), abs(c2 - c1)) AS BIGINT) + 1)) AS i FROM ends
+), cells AS (
+  SELECT length / seconds AS v, CAST(floor(r1 + i / greatest(n, 1) * (r2 - r1) + 0.5) AS BIGINT) AS row,
+         CAST(floor(c1 + i / greatest(n, 1) * (c2 - c1) + 0.5) AS BIGINT) AS col FROM steps
+) SELECT row, col, round(avg(v), 4) AS value FROM cells WHERE {_PLANAR_HELD} GROUP BY 1, 2"""
+
+
 def r03_map_algebra(spark, sf):
     g = gnss(spark, sf)
     a, b = rasters.density(g, GRID), rasters.ends_density(g, GRID)
@@ -305,6 +326,9 @@ def _cluster_sql(condition: str) -> str:
 SELECT id, cluster FROM c WHERE cluster IN (SELECT cluster FROM c GROUP BY 1 HAVING count(*) >= 3)"""
 
 
+CLUSTERS = _cluster_sql("sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 120")
+
+
 def c03_k_means(spark, sf):
     k = clustering.k_means(_vectors(spark, sf), 6, rounds=25)
     return k.select("id", "cluster")
@@ -319,8 +343,8 @@ QUERIES = {
         a05_density_line,
         f"{_LINE_CELLS} SELECT row, col, CAST(count(DISTINCT traj_id) AS DOUBLE) AS value FROM cells WHERE {HELD} GROUP BY 1, 2",
     ),
-    "a06_heading": (a06_heading, None),
-    "a07_speed": (a07_speed, None),
+    "a06_heading": (a06_heading, _HEADING),
+    "a07_speed": (a07_speed, _SPEED),
     "a08_property": (
         a08_property,
         f"WITH {GNSS}, c AS (SELECT seq, {CELL} FROM gnss) SELECT row, col, round(avg(seq % 100), 5) AS value FROM c WHERE {HELD} GROUP BY 1, 2",
@@ -401,7 +425,7 @@ SELECT id, CAST(floor(r1 + i / greatest(n, 1) * (r2 - r1) + 0.5) AS BIGINT) AS r
     ),
     "c01_density_clusters": (
         c01_density_clusters,
-        _cluster_sql("sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 120"),
+        CLUSTERS,
     ),
     "c02_density_clusters_cost": (
         c02_density_clusters_cost,

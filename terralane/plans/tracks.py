@@ -286,7 +286,13 @@ SELECT traj_id, seq, part FROM sized WHERE n >= 2""",
         f"(SELECT traj_id FROM gnss g WHERE {_inside('g.x', 'g.y', 'square')})",
     ),
     "q07_overspeed": (q07_overspeed, _OVERSPEED),
-    "q08_same_place": (q08_same_place, None),
+    "q08_same_place": (
+        q08_same_place,
+        f"""WITH {PLANAR}, p AS (SELECT traj_id, seq, ts, floor(x / 20000) AS x, floor(y / 20000) AS y FROM planar),
+w AS (SELECT traj_id, seq, lag(x) OVER w = x AND lag(y) OVER w = y AND lead(x) OVER w = x AND lead(y) OVER w = y AS still
+  FROM p WINDOW w AS (PARTITION BY traj_id ORDER BY ts, seq))
+SELECT traj_id, seq FROM w WHERE NOT coalesce(still, false)""",
+    ),
     "q10_ping_pong": (q10_ping_pong, None),
     "q11_turns": (q11_turns, None),
     "q13_box_filter": (
