@@ -94,7 +94,10 @@ def pack(
     )
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     ends = [0, *accumulate(r.n for r in totals)]
-    offsets = {r.part: before for r, before in zip(totals, ends, strict=False)}
+    # One number for each task that wrote ids: sent to each executor once, not with each task.
+    offsets_of = stored.sparkSession.sparkContext.broadcast(
+        {r.part: before for r, before in zip(totals, ends, strict=False)}
+    )
     id_type = stored.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, "
@@ -105,6 +108,7 @@ def pack(
         import numpy as np
         import pyarrow as pa
 
+        offsets = offsets_of.value
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             pieces, owner = [], []

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terralane.llm import image_descriptors as images
 
@@ -56,6 +57,16 @@ def test_classes_of_many_edited_copies_equal_brute_force(spark):
     assert got == {i: i // 100 * 100 for i in found}
 
 
+def test_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(1)
+    a, b = (images.encode_pgm(images._picture(list(rng.normal(size=16)))) for _ in range(2))
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, b""), (4, None), (4, None), (None, a), (5, b"junk")]
+    df = spark.createDataFrame([(i, bytearray(m) if m is not None else None) for i, m in rows], "image_id bigint, media binary")
+    df = df.withColumns({c: F.lit("clash") for c in ("digest", "features", "class_id", "class", "key", "corner")})
+    got = sorted(((r.image_id, r.class_id) for r in images.image_copies(df).select("image_id", "class_id").collect()), key=repr)
+    assert got == sorted([(1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (4, 3), (None, None), (5, 5)], key=repr)
+
+
 def test_strong_crops_and_small_scales_are_copies(spark):
     def shrunk(picture, k):
         side = len(picture) // k * k

@@ -38,6 +38,38 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark):
+    import zstandard
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
+    docs += [(9001, "der hund " * 30_000), (9002, "x"), (9003, None), (9004, docs[0][1]), (9005, "12 34")]
+    models = language_id.learn(spark.read.parquet(f"{SF}/documents.parquet"), sample_docs=8)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("margin", F.lit("clash")).repartition(4)
+    got = {r.doc_id: r for r in language_id.identify(df, models).collect()}
+    settings = zstandard.ZstdCompressionParameters(
+        window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0
+    )
+    for i, text in docs:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        data = language_id.reduced(text).encode()
+        data = data if len(data) >= language_id.SHORT_BYTES else b" ".join([data] * 4)
+        taken = {}
+        for lang, content in models.items():
+            # A compressor of its own for every block: none can learn from another text.
+            size = 0
+            for at in range(0, len(data), language_id.BLOCK_BYTES):
+                known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                known.precompute_compress(compression_params=settings)
+                size += len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(data[at : at + language_id.BLOCK_BYTES]))
+            taken[lang] = size
+        first, second = sorted(taken.values())[:2]
+        assert got[i].lang_pred == min(sorted(taken), key=taken.get)
+        assert got[i].rejected == ((second - first) / second < language_id.MARGIN)
+        assert 0 < got[i].score <= 1
+
+
 FORMS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),

@@ -159,6 +159,9 @@ def test_fingerprint_edges(spark):
     one = spark.createDataFrame([(7, "only one here")], "doc_id long, text string")
     (r,) = fingerprint.edited_neighbours(one).collect()
     assert r.near_next == 1.0
+    clash = one.withColumns({c: F.lit("clash") for c in ("fingerprint", "n_chars", "edited_fingerprint", "near_next")})
+    (again,) = fingerprint.edited_neighbours(clash).select("fingerprint", "n_chars").collect()
+    assert (again.fingerprint, again.n_chars) == (r.fingerprint, 13)
     odd = spark.createDataFrame([(None, "p q"), (1, None), (1, None), (2, "a b c d e f g")], "doc_id long, text string")
     assert fingerprint.edited_neighbours(odd).count() == 4
     assert fingerprint.edited_neighbours(odd.limit(0)).count() == 0
