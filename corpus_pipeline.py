@@ -38,10 +38,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_duplicates(docs)
     kept = groups.where("kept").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    number = "n" + "_" * max(map(len, docs.columns))
     # What is kept grows with the corpus, so it is never broadcast.
-    found = docs.join(kept.hint("merge"), "doc_id").withColumn("_n", F.row_number().over(once))
+    found = docs.join(kept.hint("merge"), "doc_id").withColumn(number, F.row_number().over(once))
     nameless = docs.where(F.col("doc_id").isNull())
-    return found.where("_n = 1").select(*docs.columns).unionByName(nameless)
+    return found.where(F.col(number) == 1).drop(number).select(nameless.columns).unionByName(nameless)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
