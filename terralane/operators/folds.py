@@ -7,6 +7,8 @@ split off first with ``trajectories.gap_split``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -100,18 +102,24 @@ def drop_ping_pong(points: DataFrame) -> DataFrame:
 def drop_frequent_turns(
     points: DataFrame, min_angle: float = 120.0, window: float = 60.0, times: int = 3
 ) -> DataFrame:
-    """Drop a point that turns sharply where as many sharp turns follow within the window."""
-    def keep(t):
-        x, y, ts = (t[c].to_numpy(dtype=float) for c in ("x", "y", "ts"))
-        heading = np.arctan2(np.diff(y), np.diff(x))
-        turn = np.degrees(np.abs((np.diff(heading) + np.pi) % (2 * np.pi) - np.pi))
-        sharp = np.flatnonzero(turn > min_angle) + 1
-        when = ts[sharp]
-        count = np.searchsorted(when, when + window, "right") - np.arange(len(when))
-        gone = set(sharp[count >= times])
-        return [i for i in range(len(x)) if i not in gone]
+    """Drop a point that turns sharply where as many sharp turns follow within the window.
 
-    return _by_track(points, keep)
+    A turn compares the headings of the segments before and after a point; the point's own
+    turn counts, and so do all later ones up to ``window`` seconds after it.
+    """
+    order = Window.partitionBy("traj_id").orderBy("ts", "seq")
+    heading = F.atan2(F.lead("y").over(order) - F.col("y"), F.lead("x").over(order) - F.col("x"))
+    turned = points.withColumn("_heading", heading)
+    change = F.col("_heading") - F.lag("_heading").over(order)
+    turn = F.degrees(F.abs(F.pmod(change + math.pi, F.lit(2 * math.pi)) - math.pi))
+    sharp = turned.withColumn("_sharp", F.coalesce((turn > min_angle).cast("int"), F.lit(0)))
+    before = F.coalesce(F.sum("_sharp").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    until = F.expr(
+        "sum(_sharp) over (partition by traj_id order by ts range between unbounded preceding "
+        f"and {float(window)!r}D following)"
+    )
+    followed = sharp.withColumn("_n", until - before)
+    return followed.where(~((F.col("_sharp") == 1) & (F.col("_n") >= times))).drop("_heading", "_sharp", "_n")
 
 
 STAY_SCHEMA = (

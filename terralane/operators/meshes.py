@@ -11,7 +11,11 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .networks import within
+
 _CORNERS = ("v0", "v1", "v2")
+#: Faces of a mesh that one task simplifies.
+ONE_MESH_FACES = 500_000
 
 
 def _sub(a, b) -> list[Column]:
@@ -244,8 +248,10 @@ def simplify(vertices: DataFrame, faces: DataFrame, keep_faces: int, cost: str =
     """Collapse the cheapest edges (``quadric`` or ``length``) until few enough faces stay.
 
     An edge is left alone if its ends share more neighbours than its two wings, or if
-    both are on the border and it is not. One mesh is one task.
+    both are on the border and it is not. One mesh is one task; over ``ONE_MESH_FACES`` it
+    raises.
     """
+    within(faces, ONE_MESH_FACES, "faces")
     table = vertices.select(F.lit(0).alias("k"), "id", "x", "y", "z", F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
     rows = table.unionByName(
         faces.select(F.lit(1).alias("k"), "id", F.col("v0").cast("double").alias("x"), F.col("v1").cast("double").alias("y"), F.col("v2").cast("double").alias("z"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))

@@ -653,11 +653,19 @@ def random_walks(half: DataFrame, starts: DataFrame, steps: int = 10, seed: int
     return all_steps
 
 
-def link_nearest(nodes: DataFrame, k: int, max_distance: float) -> DataFrame:
-    """src, dst, weight: each node to its k nearest others within the distance."""
+def link_nearest(nodes: DataFrame, k: int, max_distance: float, judge: Column | None = None) -> DataFrame:
+    """src, dst, weight: each node to its k nearest others within the distance.
+
+    ``judge`` is an expression over the columns of both nodes (suffix ``_b`` for the far
+    one); only pairs that it holds for are linked.
+    """
     from .spatial_joins import within_distance
 
     pairs = within_distance(nodes, nodes, max_distance).where("query_id != id")
+    if judge is not None:
+        near = nodes.withColumnRenamed("id", "query_id")
+        far = nodes.select(*(F.col(c).alias("id" if c == "id" else f"{c}_b") for c in nodes.columns))
+        pairs = pairs.select("query_id", "id", "distance").join(near, "query_id").join(far, "id").where(judge)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return (
         pairs.withColumn("_n", F.row_number().over(order))

@@ -20,6 +20,12 @@ def point_index(points: DataFrame, size: float, id_col: str = "id") -> DataFrame
     return points.select(cx.alias("cell_x"), cy.alias("cell_y"), F.col(id_col).alias("id"))
 
 
+def remove_item(index: DataFrame, gone: int) -> DataFrame:
+    """An index without one item; the ids after it move down, as places in a list do."""
+    left = index.where(F.col("id") != gone)
+    return left.withColumn("id", F.col("id") - (F.col("id") > gone).cast("int"))
+
+
 def box_index(boxes: DataFrame, size: float, id_col: str = "id") -> DataFrame:
     """cell_x, cell_y, id for every cell that a box (xmin, ymin, xmax, ymax) overlaps."""
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import files, graphs, more, rows, scalars, space, tracks
+from . import files, graphs, interfaces, more, rows, scalars, space, tracks
 
-_PARTS = (tracks, scalars, space, graphs, files, more, rows)
+_PARTS = (tracks, scalars, space, graphs, files, more, rows, interfaces)
 
 
 def queries() -> dict:

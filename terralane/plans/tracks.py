@@ -294,7 +294,16 @@ w AS (SELECT traj_id, seq, lag(x) OVER w = x AND lag(y) OVER w = y AND lead(x) O
 SELECT traj_id, seq FROM w WHERE NOT coalesce(still, false)""",
     ),
     "q10_ping_pong": (q10_ping_pong, None),
-    "q11_turns": (q11_turns, None),
+    "q11_turns": (
+        q11_turns,
+        f"""WITH {PLANAR}, h AS (
+  SELECT *, atan2(lead(y) OVER w - y, lead(x) OVER w - x) AS h FROM planar WINDOW w AS (PARTITION BY traj_id ORDER BY ts, seq)
+), c AS (SELECT *, h - lag(h) OVER (PARTITION BY traj_id ORDER BY ts, seq) + pi() AS c FROM h),
+t AS (SELECT *, CASE WHEN degrees(abs(c - 2 * pi() * floor(c / (2 * pi())) - pi())) > 100 THEN 1 ELSE 0 END AS sharp FROM c),
+n AS (SELECT *, sum(sharp) OVER (PARTITION BY traj_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 86400.0 FOLLOWING)
+  - coalesce(sum(sharp) OVER (PARTITION BY traj_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM t)
+SELECT traj_id, seq FROM n WHERE NOT (sharp = 1 AND n >= 3)""",
+    ),
     "q13_box_filter": (
         q13_box_filter,
         f"WITH {GNSS} SELECT traj_id, seq FROM gnss WHERE x BETWEEN 116.02 AND 116.05 AND y BETWEEN 39.05 AND 39.2",

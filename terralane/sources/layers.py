@@ -76,12 +76,18 @@ LAYER = f"path string, fid bigint, shape string, geom {GEOMETRY}, z array<double
 _BASE = {"Point": "POINT", "PointZ": "POINT", "PolyLine": "MULTILINESTRING", "PolyLineZ": "MULTILINESTRING", "Polygon": "MULTIPOLYGON", "PolygonZ": "MULTIPOLYGON"}
 
 
-def read_shapefile(spark: SparkSession, path: str, encoding: str = "gbk") -> DataFrame:
+#: How a shapefile is opened: with attributes, for reading (the same here), or shapes only.
+MODES = ("common", "read_only", "shp_only")
+
+
+def read_shapefile(spark: SparkSession, path: str, encoding: str = "gbk", mode: str = "common") -> DataFrame:
     """path, fid, shape, geom, z, attributes (map of strings) of .shp files with their .dbf.
 
     ``path`` is a folder or glob; attributes are joined by file and place. Without a
-    .dbf they are null.
+    .dbf they are null, and so they are in the mode ``shp_only``, which reads no .dbf.
     """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}: one of {MODES}")
     files = spark.read.format("binaryFile").load(path).select(
         F.regexp_replace("path", r"\.[^.]*$", "").alias("path"), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("kind"), "content"
     )
@@ -118,6 +124,8 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "gbk") -> Dat
 
     one = lambda k: files.where(F.col("kind") == k).select("path", "content")
     shp = one("shp").mapInArrow(shapes, LAYER)
+    if mode == "shp_only":
+        return shp.withColumn("attributes", F.lit(None).cast("map<string,string>"))
     dbf = one("dbf").mapInPandas(tables, "path string, fid bigint, attributes map<string,string>")
     return shp.join(dbf, ["path", "fid"], "left")
 
