@@ -154,46 +154,44 @@ def idw(
     k: int | None = None,
     power: float = 2.0,
     search: float | None = None,
-    block: int = 4,
 ) -> DataFrame:
     """Inverse-distance means of the k nearest of all points (x, y, value), distances at least 1.
 
     ``k`` is a third of the points, two at least, unless given; ``search`` leaves out points
     further away. Ties go by x, y, value. Without points the result is empty.
 
-    Cells go in blocks. Counts of points in squares of blocks, each level twice as wide,
-    tell on which level the nine squares around a block hold k points; the k nearest of
-    its cells lie no further than across these, so the block meets only points in reach
-    of that bound, by an equi-join on wider squares. A cell keeps its k nearest already
-    before rows are dealt out.
+    Points are counted in squares that would hold about one each if they lay evenly, and on
+    levels of squares twice as wide. On the first level where the nine squares around a
+    cell's centre hold k points, the k nearest lie no further than across these, so the cell
+    meets only points within that bound, by an equi-join on wider squares. A cell keeps its
+    k nearest already before rows are dealt out.
     """
     spark = points.sparkSession
     low = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level)).cast("bigint")
+    across = lambda x: (x - grid.xmin) / grid.xstep
+    down = lambda y: (grid.ymax - y) / grid.ystep
+    ends = [f(c(F.col(n))).alias(f"{f.__name__}_{n}") for n, c in (("x", across), ("y", down)) for f in (F.min, F.max)]
+    known = points.agg(F.count("*").alias("n"), *ends).first()
+    if k is None:
+        k = max(known.n // 3, 2)
+    if search is not None and search < 1:
+        search = 1.0
+    parts = 1 << max(0, min(20, math.ceil(math.log2(max(1, known.n) / (grid.rows * grid.cols)) / 2)))
     placed = points.select(
         "x",
         "y",
         "value",
-        F.floor(grid.col(F.col("x")) / block).alias("sx"),
-        F.floor(grid.row(F.col("y")) / block).alias("sy"),
+        F.floor(across(F.col("x")) * parts).cast("bigint").alias("sx"),
+        F.floor(down(F.col("y")) * parts).cast("bigint").alias("sy"),
     )
     counts = cut(placed.groupBy("sx", "sy").agg(F.count("*").alias("n")))
-    known = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("sx", "sy") for f in (F.min, F.max))
-    ).first()
-    down, across = math.ceil(grid.rows / block), math.ceil(grid.cols / block)
-    if k is None:
-        k = max(known.n // 3, 2)
-    if search is not None and search < 1:
-        search = 1.0
-    wide = max(down, across, 1, *(abs(known[c] or 0) for c in ("min_sx", "max_sx", "min_sy", "max_sy"))) * 2
-    top = math.ceil(math.log2(wide))
-    blocks = spark.range(down * across).select(
-        (F.col("id") % across).alias("bx"), F.floor(F.col("id") / across).alias("by")
-    )
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+    far = [abs(known[e] or 0) for e in ("min_x", "max_x", "min_y", "max_y")]
+    top = math.ceil(math.log2(2 * parts * (max(grid.rows, grid.cols, 1, *far) + 1)))
+    centre = lambda c: F.floor((F.col(c) + 0.5) * parts).cast("bigint")
+    cells = grid.cells(spark).withColumns({"bx": centre("col"), "by": centre("row")})
 
     def around(frame: DataFrame) -> DataFrame:
-        """The nine squares around each block on its level."""
+        """The nine squares around each cell's centre on its level."""
         step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         return (
             frame.withColumn("i", step)
@@ -204,38 +202,42 @@ def idw(
             .drop("i", "j")
         )
 
-    squares = (
-        counts.select("*", levels)
-        .groupBy("level", low(F.col("sx"), F.col("level")).alias("qx"), low(F.col("sy"), F.col("level")).alias("qy"))
-        .agg(F.sum("n").alias("n"))
-    )
-    held = around(blocks.select("*", levels)).join(squares, ["level", "qx", "qy"]).groupBy("bx", "by", "level").agg(F.sum("n").alias("n"))
-    enough = held.where(F.col("n") >= min(k, known.n)).groupBy("bx", "by").agg(F.min("level").alias("level"))
+    def enough(cells: DataFrame, first: int, last: int) -> DataFrame:
+        """Cells with their first level of these that holds k points around them."""
+        levels = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("level")
+        squares = (
+            counts.select("*", levels)
+            .groupBy("level", low(F.col("sx"), F.col("level")).alias("qx"), low(F.col("sy"), F.col("level")).alias("qy"))
+            .agg(F.sum("n").alias("n"))
+        )
+        held = around(cells.select("*", levels)).join(squares, ["level", "qx", "qy"])
+        held = held.groupBy("row", "col", "bx", "by", "level").agg(F.sum("n").alias("n"))
+        return held.where(F.col("n") >= min(k, known.n)).groupBy("row", "col", "bx", "by").agg(F.min("level").alias("level"))
+
+    # Most cells have k points near; only the others look at all levels.
+    near = min(3, top)
+    found = cut(enough(cells, 0, near))
+    if near < top:
+        rest = cells.join(found.select("row", "col"), ["row", "col"], "left_anti")
+        found = found.unionByName(enough(rest, near + 1, top))
     # How far the k nearest can be, and how many levels up nine squares reach so far.
     slant = math.hypot(grid.xstep, grid.ystep)
     more = math.ceil(math.log2(2 * slant / min(grid.xstep, grid.ystep)))
-    targets = cut(
-        around(
-            enough.withColumn("bound", F.pow(F.lit(2.0), F.col("level") + 1) * block * slant).withColumn(
-                "level", F.col("level") + more
-            )
-        )
-    )
+    bound = F.pow(F.lit(2.0), F.col("level") + 1) * (slant / parts)
+    targets = cut(around(found.withColumn("bound", bound).withColumn("level", F.col("level") + more)))
     used = [r[0] for r in targets.select("level").distinct().collect()]
     sources = placed.select(
         "x", "y", "value", "sx", "sy", F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("level")
     ).withColumns({"qx": low(F.col("sx"), F.col("level")), "qy": low(F.col("sy"), F.col("level"))})
-    span = F.sequence(F.lit(0), F.lit(block - 1))
-    cells = (
-        targets.join(sources, ["level", "qx", "qy"])
-        .withColumn("row", F.explode(F.transform(span, lambda i: F.col("by") * block + i)))
-        .withColumn("col", F.explode(F.transform(span, lambda i: F.col("bx") * block + i)))
-        .where(grid.holds(F.col("row"), F.col("col")))
-    )
     cx, cy = grid.centre()
     away = geodesy.planar_distance(cx, cy, F.col("x"), F.col("y"))
     reach = F.col("bound") if search is None else F.least("bound", F.lit(float(search)))
-    pairs = cells.withColumn("away", away).where(F.col("away") <= reach).withColumn("d", F.greatest("away", F.lit(1.0)))
+    pairs = (
+        targets.join(sources, ["level", "qx", "qy"])
+        .select("row", "col", "x", "y", "value", away.alias("away"), reach.alias("reach"))
+        .where("away <= reach")
+        .withColumn("d", F.greatest("away", F.lit(1.0)))
+    )
     order = Window.partitionBy("row", "col").orderBy("d", "x", "y", "value")
     nearest = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
     weight = F.pow("d", F.lit(-power))
