@@ -4,24 +4,24 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralane.operators.checkpoints import shared_folder
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    It comes from ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a folder under the warehouse takes its place.
+    It comes from ``spark.checkpoint.dir``; where that is unset (tests, one machine) a
+    folder under the warehouse takes its place, and on a cluster it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{base.rstrip('/')}/terralane-{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/terralane-{spark.sparkContext.applicationId}"
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -57,10 +57,13 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished jobs now.
 
     It does so once the driver's garbage is collected, which may not happen for half an
-    hour; operators that work in rounds ask for it between them.
+    hour; operators that work in rounds ask for it between them. Plans are let go in turns:
+    first Python's handles, then what they held in the JVM.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 #: Rows of one Arrow batch, where the session doesn't say: a few MB of usual texts.

@@ -516,6 +516,7 @@ def _stored(described: DataFrame) -> DataFrame:
     described.repartition(buckets, "image_id").write.bucketBy(buckets, "image_id").sortBy("image_id").option(
         "path", f"{shared_dir(spark)}/{name}"
     ).option("compression", "zstd").saveAsTable(name)
+    release_shuffles(spark)
     return spark.table(name)
 
 
@@ -528,7 +529,10 @@ def _heads(stored: DataFrame, own: DataFrame, groups: DataFrame | None = None) -
             "class", F.coalesce("component", "image_id")
         )
     kept = labelled.select("image_id", "class", F.col("digest").alias("kept"))
-    return stored.join(kept.hint("merge"), "image_id").where("digest = kept").select("image_id", "class", "features")
+    # Digests are of one length. As an equality this would become a second key of the join,
+    # and the buckets, which are by image_id alone, would no longer do.
+    same = F.startswith(F.col("digest"), F.col("kept"))
+    return stored.join(kept.hint("merge"), "image_id").where(same).select("image_id", "class", "features")
 
 
 def _voted(met: list[DataFrame], min_votes: int, groups: DataFrame | None, tested: DataFrame | None) -> DataFrame:
