@@ -300,7 +300,11 @@ def _confirm(members: DataFrame, k: int, percent: int, block: int) -> DataFrame:
 def _blocks(groups: DataFrame, block: int) -> DataFrame:
     """node, component, n_blocks: in how many blocks the members of a component are dealt out."""
     counts = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
-    return groups.join(counts, "component").select("node", "component", "n_blocks")
+    # Written first: only the large ones, and a component of many rows can be split in the join.
+    large = materialize(counts.where("n_blocks > 1"), "near-blocks")
+    return groups.join(large, "component", "left").select(
+        "node", "component", F.coalesce("n_blocks", F.lit(1)).alias("n_blocks")
+    )
 
 
 def near_duplicates(
@@ -333,7 +337,7 @@ def near_duplicates(
             "doc_id",
             "n_shingles",
             "head",
-            *(F.when(F.col("doc_id") == F.col("head"), F.col(c)).alias(c) for c in ("bands", "signature")),
+            F.when(F.col("doc_id") == F.col("head"), F.col("bands")).alias("bands"),
         ),
         "near-members",
     )
@@ -352,7 +356,7 @@ def near_duplicates(
     small = placed.where("n_blocks = 1").select("node", "component")
     wide = placed.where("n_blocks > 1").select(F.col("node").alias("doc_id"))
     # Only what is in a wide neighbourhood meets again, with its signature.
-    again = wide.join(members.select("doc_id", "bands", "signature").hint("merge"), "doc_id").where("bands is not null")
+    again = sketches.select("doc_id", "bands", "signature").join(wide, "doc_id", "left_semi")
     shared = again.select("doc_id", "signature", F.explode("bands").alias("bucket")).join(heads.select("bucket"), "bucket", "left_semi")
     drawn = connected_components(near_pairs(shared))
     placed = _blocks(small.unionByName(drawn), block_docs).withColumnRenamed("node", "doc_id")
