@@ -2,9 +2,9 @@
 
 Each image gives all its corners on scales down to the size of a patch, each with an
 orientation and 256 binary brightness tests in a patch turned upright. Some chosen bits of
-a descriptor are a key in each of several Hamming tables, which are dealt out one by one,
-so the disk never holds two. A candidate is a copy if enough of its best descriptor matches
-agree on one similarity transform; copies are joined to classes.
+a descriptor are a key in each of several Hamming tables. A candidate is a copy if enough
+of its best descriptor matches agree on one similarity transform; copies are joined to
+classes.
 
 1. Stars: in the first tables each feature names only the first one of its bucket that is
    near enough to match. What these candidates confirm joins large groups of copies.
@@ -12,7 +12,14 @@ agree on one similarity transform; copies are joined to classes.
    whose descriptors are near enough and whose images are of different classes so far. So
    no pair that could join two classes is left out, and none is made within a class.
 
-A large bucket is dealt out as block pairs, so no task holds more than two blocks of it.
+Matches by chance between unrelated images grow with the square of the corpus, and most
+meet once only, so they are not rows where that can be helped: images are dealt out as
+block pairs (``block_links``), and the task that holds all features of two blocks goes
+through all tables, counts the votes and confirms. Only the links that join classes leave
+it. Every block is read as often as there are blocks, so beyond ``MOST_BLOCKS`` of them
+(16 million features) features are dealt out by key, one table at a time
+(``keyed_groups``): less is moved then, but every match is a row. A large bucket is dealt
+out as block pairs there, so no task holds more than two blocks of it.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release_shuffles, shared_dir
-from .components import connected_components
+from .components import UnionFind, connected_components
 
 #: Each scale is so much smaller than the one before, down to the size of a patch.
 STEP = 0.75
@@ -46,8 +53,14 @@ FLIPPED = 0.1
 STAR_TABLES = 2
 #: Rows of one block of a bucket; larger buckets are dealt out as block pairs.
 BLOCK_ROWS = 1024
-#: Row pairs of buckets that are compared in one step.
-_PORTION = 1 << 18
+#: Features of one block of images, of which a task holds two, and the most blocks that are held against each other.
+BLOCK_FEATURES, MOST_BLOCKS = 1 << 19, 32
+#: Smaller corpora make up to so many blocks of fewer features, so there are enough tasks.
+SPREAD_BLOCKS, SPREAD_FEATURES = 8, 1 << 16
+#: Partners of each block that are dealt out together: a bound of the disk in use.
+TURNS_AT_ONCE = 2
+#: Row pairs of buckets that are compared in one step, and votes that are gathered before they are counted.
+_PORTION, _VOTES = 1 << 18, 1 << 22
 #: Candidates that are confirmed together, for each image: a bound of the disk in use.
 PAIRS_AT_ONCE = 1
 MAX_DISTANCE = 48
@@ -267,9 +280,35 @@ def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
 
 def table_keys(features: np.ndarray, table: int = 0, bits: int = KEY_BITS) -> np.ndarray:
     """The key of every feature in a table: its chosen bits."""
-    packed = features["bits"].copy().view(np.uint8).reshape(len(features), TESTS // 8)
-    every = np.unpackbits(packed, axis=1, bitorder="little")
-    return every[:, _chosen_bits(table, bits)].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+    words = [features["bits"][:, i].astype(np.uint64) for i in range(TESTS // 64)]
+    key = np.zeros(len(features), np.uint64)
+    for place, bit in enumerate(_chosen_bits(table, bits).tolist()):
+        key |= (words[bit // 64] >> np.uint64(bit % 64) & np.uint64(1)) << np.uint64(place)
+    return key.view(np.int64)
+
+
+def _near_partners(bits, classes, start, partners, stars: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i, j near enough to match and of different classes, by portions.
+
+    Row i has ``partners`` of them, from row ``start`` on; as ``stars`` the first that fits.
+    """
+    place = np.arange(len(partners))
+    ends = np.concatenate([[0], np.cumsum(partners)])
+    at = 0
+    while at < len(partners):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _PORTION, "right")) - 1)
+        n = partners[at:to]
+        i = np.repeat(place[at:to], n)
+        j = np.arange(len(i)) + np.repeat(start[at:to] - (ends[at:to] - ends[at]), n)
+        apart = classes[i] != classes[j]
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= MAX_DISTANCE
+        i, j = i[near], j[near]
+        if stars:
+            i, first = np.unique(i, return_index=True)
+            j = j[first]
+        yield i, j
+        at = to
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
@@ -437,26 +476,12 @@ def bucket_pairs(rows: DataFrame, block: int = BLOCK_ROWS, stars: bool = False)
         of_low = np.bincount(group, weights=own == low).astype(np.int64)[group]
         # Partners are the rows before in the same block, or all rows of the other block.
         partners = np.where(low == high, place - start, np.where(own == low, 0, of_low))
-        ends = np.concatenate([[0], np.cumsum(partners)])
-        at = 0
-        while at < len(key):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _PORTION, "right")) - 1)
-            n = partners[at:to]
-            i = np.repeat(place[at:to], n)
-            j = np.arange(len(i)) + np.repeat(start[at:to] - (ends[at:to] - ends[at]), n)
-            apart = classes[i] != classes[j]
-            i, j = i[apart], j[apart]
-            near = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= MAX_DISTANCE
-            i, j = i[near], j[near]
-            if stars:
-                i, first = np.unique(i, return_index=True)
-                j = j[first]
+        for i, j in _near_partners(bits, classes, start, partners, stars):
             a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
             less = pc.less(a, b)
             chosen = np.where(less.to_numpy(), corner[i], corner[j])
             out = [pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(chosen)]
             yield from pa.table(out, names=["a", "b", "corner"]).to_batches()
-            at = to
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -566,11 +591,129 @@ def _confirmed(heads: DataFrame, pairs: DataFrame, n_heads: int, min_inliers: in
     return reduce(DataFrame.unionByName, links)
 
 
-def image_groups(stored: DataFrame, own: DataFrame, min_votes: int, min_inliers: int) -> DataFrame:
-    """image_id, component of the images in ``own`` (image_id, digest, n_features) that have a copy."""
+def _links_within(
+    every: np.ndarray, sizes: list[int], high: np.ndarray, bits: int, tables: int, min_votes: int, min_inliers: int
+) -> list:
+    """(a, b, inliers) that join classes of images, which are told by their place.
+
+    Images come by ascending id: ``sizes`` are the numbers of their features in ``every``.
+    ``high`` tells the images of the second block, held against those of the first only;
+    if there are none, all are held against each other. Classes begin as single images.
+    """
+    n = len(sizes)
+    found = np.split(every, np.cumsum(sizes)[:-1])
+    owner = np.repeat(np.arange(n), sizes)
+    second, apart = high[owner], bool(high.any())
+    tests = np.ascontiguousarray(every["bits"])
+    sets, tested, links = UnionFind(), np.zeros(0, np.int64), []
+
+    def matches(table: int, stars: bool) -> Iterator[np.ndarray]:
+        """A vote each: the feature of a, times ``n``, plus b."""
+        key = table_keys(every, table, bits)
+        order = np.argsort(key << 1 | second)
+        key, after = key[order], second[order]
+        opens = np.ones(len(key), bool)
+        opens[1:] = key[1:] != key[:-1]
+        place = np.arange(len(key))
+        start = np.maximum.accumulate(np.where(opens, place, 0))
+        partners = place - start
+        if apart:
+            group = np.cumsum(opens) - 1
+            partners = np.where(after, np.bincount(group, weights=~after).astype(np.int64)[group], 0)
+        classes = np.array([sets.find(k) for k in range(n)])[owner[order]]
+        for i, j in _near_partners(tests[order], classes, start, partners, stars):
+            i, j = order[i], order[j]
+            yield np.minimum(i, j) * n + owner[np.maximum(i, j)]
+
+    def settle(votes: np.ndarray) -> np.ndarray:
+        """Confirm what has its votes; the others are still wanted."""
+        nonlocal tested
+        votes = np.unique(votes)
+        feature, b = np.divmod(votes, n)
+        pairs, of, count = np.unique(owner[feature] * n + b, return_inverse=True, return_counts=True)
+        full = (count >= min_votes) & ~np.isin(pairs, tested)
+        # Most votes first: these join classes, and pairs within one need no test.
+        for pair in pairs[full][np.argsort(-count[full], kind="stable")].tolist():
+            a, b = divmod(pair, n)
+            if sets.find(a) == sets.find(b):
+                continue
+            inliers = consensus(found[a], found[b])
+            if inliers >= needed_inliers(found[a], found[b], min_inliers):
+                sets.union(a, b)
+                links.append((a, b, inliers))
+        tested = np.union1d(tested, pairs[full])
+        return votes[(count < min_votes)[of]]
+
+    held = np.zeros(0, np.int64)
+    for table, stars in [(t, True) for t in range(STAR_TABLES)] + [(t, False) for t in range(tables)]:
+        more: list[np.ndarray] = []
+        for votes in matches(table, stars):
+            more.append(votes)
+            if sum(map(len, more)) > _VOTES:
+                held, more = settle(np.concatenate([held, *more])), []
+        held = settle(np.concatenate([held, *more]))
+    return links
+
+
+def block_links(heads: DataFrame, n_blocks: int, bits: int, tables: int, min_votes: int, min_inliers: int) -> DataFrame:
+    """a, b, inliers: links that join all images of ``heads`` that have some path of links.
+
+    Images lie in ``n_blocks`` blocks by a hash. In a turn each block meets one other (or
+    itself) and in as many turns as blocks every one, so an image is one row a turn. All
+    features of the pair are in one task: votes are counted and candidates confirmed there,
+    and only links between classes of the task leave it, fewer than it has images.
+    """
+    spark = heads.sparkSession
+    id_type = heads.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ids, high, media, schema = [], [], [], None
+        for batch in batches:
+            schema = batch.schema
+            ids += batch.column(1).to_pylist()
+            high += batch.column(2).to_pylist()
+            media += [np.frombuffer(f, FEATURE) for f in batch.column(3).to_pylist()]
+        if not ids:
+            return
+        # Rows that repeat an id are the same image.
+        at = {x: k for k, x in reversed(list(enumerate(ids)))}
+        order = [at[x] for x in sorted(at)]
+        names, of = [ids[k] for k in order], np.array([high[k] for k in order], bool)
+        every, sizes = np.concatenate([media[k] for k in order]), [len(media[k]) for k in order]
+        media.clear()
+        links = _links_within(every, sizes, of, bits, tables, min_votes, min_inliers)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([names[a] for a, _, _ in links], schema.field(1).type),
+                pa.array([names[b] for _, b, _ in links], schema.field(1).type),
+                pa.array([n for _, _, n in links], pa.int32()),
+            ],
+            ["a", "b", "inliers"],
+        )
+
+    block = F.pmod(F.xxhash64("image_id"), F.lit(n_blocks)).cast("int")
+    links = []
+    for first in range(0, n_blocks, TURNS_AT_ONCE):
+        turns = range(first, min(n_blocks, first + TURNS_AT_ONCE))
+        dealt = (
+            heads.withColumn("own", block)
+            .withColumn("turn", F.explode(F.array(*(F.lit(t) for t in turns))))
+            .withColumn("other", F.pmod(F.col("turn") - F.col("own"), F.lit(n_blocks)))
+            # A turn's pair is told by its lesser block. Each has a task of its own.
+            .withColumn("pair", (F.col("turn") - first) * n_blocks + F.least("own", "other"))
+            .select("pair", "image_id", (F.col("own") > F.col("other")).alias("high"), "features")
+            .repartitionById(len(turns) * n_blocks, "pair")
+        )
+        links.append(materialize(dealt.mapInArrow(run, f"a {id_type}, b {id_type}, inliers int"), "image-links"))
+        release_shuffles(spark)
+    return reduce(DataFrame.unionByName, links)
+
+
+def keyed_groups(stored: DataFrame, own: DataFrame, n: int, bits: int, tables: int, min_votes: int, min_inliers: int) -> DataFrame:
+    """image_id, component: features are dealt out by key, one table at a time."""
     spark = stored.sparkSession
-    size = own.agg(F.count("*").alias("n"), F.sum("n_features").alias("features")).first()
-    bits, tables = table_plan(size.features or 0)
     rounds = [(t, True) for t in range(STAR_TABLES)] + [(t, False) for t in range(tables)]
     groups = tested = links = None
     met: list[DataFrame] = []
@@ -581,16 +724,30 @@ def image_groups(stored: DataFrame, own: DataFrame, min_votes: int, min_inliers:
         if not stars and i < len(rounds) - 1:
             continue
         pairs = _voted(met, min_votes, groups, tested)
-        more = _confirmed(_heads(stored, own), pairs, size.n, min_inliers)
+        more = _confirmed(_heads(stored, own), pairs, n, min_inliers)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = more if links is None else links.unionByName(more)
-        groups = materialize(
-            connected_components(links.select("a", "b")).withColumnRenamed("node", "image_id"), "image-groups"
-        )
+        groups = _components(links)
         release_shuffles(spark)
     return groups
 
 
+def _components(links: DataFrame) -> DataFrame:
+    found = connected_components(links.select("a", "b")).withColumnRenamed("node", "image_id")
+    return materialize(found, "image-groups")
+
+
+def image_groups(stored: DataFrame, own: DataFrame, min_votes: int, min_inliers: int) -> DataFrame:
+    """image_id, component of the images in ``own`` (image_id, digest, n_features) that have a copy."""
+    size = own.agg(F.count("*").alias("n"), F.sum("n_features").alias("features")).first()
+    n_features = size.features or 0
+    bits, tables = table_plan(n_features)
+    n_blocks = max(-(-n_features // BLOCK_FEATURES), min(SPREAD_BLOCKS, -(-n_features // SPREAD_FEATURES)), 1)
+    if n_blocks > MOST_BLOCKS:
+        return keyed_groups(stored, own, size.n, bits, tables, min_votes, min_inliers)
+    return _components(block_links(_heads(stored, own), n_blocks, bits, tables, min_votes, min_inliers))
+
+
 def image_copies(images: DataFrame, min_votes: int = 2, min_inliers: int = MIN_INLIERS) -> DataFrame:
     """image_id, n_features, class_id for every row of ``images``.
 

@@ -41,6 +41,80 @@ def test_tables_grow_with_the_corpus():
         assert len({tuple(images._chosen_bits(t, bits)) for t in range(tables)}) == tables
 
 
+def _drawn(rng, n):
+    """Features of an image: one mark that all images share, the others at random."""
+    made = np.zeros(n, images.FEATURE)
+    made["x"], made["y"] = rng.uniform(0, 400, (2, n))
+    made["scale"], made["bits"] = 1, rng.integers(0, 2**64, (n, 4), dtype=np.uint64)
+    made["bits"][0] = 0x5A5A
+    return made
+
+
+def _copied(rng, of):
+    """A copy moved by some pixels, a few bits of each feature flipped."""
+    made = of.copy()
+    made["x"] += 7
+    for row in made["bits"]:
+        for bit in rng.choice(256, 12, replace=False).tolist():
+            row[bit // 64] ^= np.uint64(1 << bit % 64)
+    return made
+
+
+def _tables(spark, found):
+    rows = [(i, f"{i:04}", len(f), bytearray(f.tobytes())) for i, f in found.items()]
+    stored = spark.createDataFrame(rows, "image_id bigint, digest string, n_features int, features binary")
+    return stored, stored.select("image_id", "digest", "n_features")
+
+
+def test_table_keys_are_the_chosen_bits():
+    made = _drawn(np.random.default_rng(4), 300)
+    every = np.unpackbits(made["bits"].copy().view(np.uint8), axis=1, bitorder="little")
+    for table, bits in ((0, 20), (3, 27), (9, 60)):
+        want = every[:, images._chosen_bits(table, bits)].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+        assert np.array_equal(images.table_keys(made, table, bits), want)
+
+
+def test_matches_by_chance_are_no_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    found = {i: _drawn(rng, 60) for i in range(120)}
+    found |= {1000 + i: _copied(rng, found[i]) for i in range(0, 120, 10)}
+    written, write = [], images.materialize
+
+    def counted(df, name, *args):
+        out = write(df, name, *args)
+        written.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(images, "materialize", counted)
+    got = {r.image_id: r.component for r in images.image_groups(*_tables(spark, found), 2, images.MIN_INLIERS).collect()}
+    assert got == {i: i % 1000 for k in range(0, 120, 10) for i in (k, 1000 + k)}
+    # Every two of the 132 images meet once, by their mark: 8,646 pairs.
+    assert max(written)[0] <= len(found), max(written)
+
+
+@pytest.mark.parametrize("most", [0, 32])
+def test_groups_in_blocks_and_by_key_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(images, "MOST_BLOCKS", most)
+    monkeypatch.setattr(images, "BLOCK_FEATURES", 500)
+    # Votes are counted as they come, so some pairs have theirs from two counts.
+    monkeypatch.setattr(images, "_VOTES", 100)
+    rng = np.random.default_rng(7)
+    found = {}
+    for base in range(0, 500, 100):
+        found[base] = _drawn(rng, 40 + base // 10)
+        # A chain: each is the copy of the one before, the ends are too far apart for a link.
+        for k in range(1, 12):
+            found[base + k] = _copied(rng, found[base + k - 1 if base < 300 else base])
+    got = {r.image_id: r.component for r in images.image_groups(*_tables(spark, found), 2, images.MIN_INLIERS).collect()}
+    least = {i: i for i in found}
+    for a in found:
+        for b in found:
+            if a < b and images.consensus(found[a], found[b]) >= images.needed_inliers(found[a], found[b]):
+                least = {i: min(least[a], least[b]) if c in (least[a], least[b]) else c for i, c in least.items()}
+    assert got == least == {i: i // 100 * 100 for i in found}
+    assert images.consensus(found[0], found[11]) < images.MIN_INLIERS
+
+
 def test_classes_of_many_edited_copies_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = []
