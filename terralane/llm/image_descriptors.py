@@ -17,7 +17,7 @@ meet once only, so they are not rows where that can be helped: images are dealt
 block pairs (``block_links``), and the task that holds all features of two blocks goes
 through all tables, counts the votes and confirms. Only the links that join classes leave
 it. Every block is read as often as there are blocks, so beyond ``MOST_BLOCKS`` of them
-(16 million features) features are dealt out by key, one table at a time
+(about 16 million features) they are dealt out by key, one table at a time
 (``keyed_groups``): less is moved then, but every match is a row. A large bucket is dealt
 out as block pairs there, so no task holds more than two blocks of it.
 """
@@ -54,7 +54,7 @@ STAR_TABLES = 2
 #: Rows of one block of a bucket; larger buckets are dealt out as block pairs.
 BLOCK_ROWS = 1024
 #: Features of one block of images, of which a task holds two, and the most blocks that are held against each other.
-BLOCK_FEATURES, MOST_BLOCKS = 1 << 19, 32
+BLOCK_FEATURES, MOST_BLOCKS = 3 << 17, 40
 #: Smaller corpora make up to so many blocks of fewer features, so there are enough tasks.
 SPREAD_BLOCKS, SPREAD_FEATURES = 8, 1 << 16
 #: Partners of each block that are dealt out together: a bound of the disk in use.
@@ -292,13 +292,12 @@ def _near_partners(bits, classes, start, partners, stars: bool) -> Iterator[tupl
 
     Row i has ``partners`` of them, from row ``start`` on; as ``stars`` the first that fits.
     """
-    place = np.arange(len(partners))
-    ends = np.concatenate([[0], np.cumsum(partners)])
+    ends = np.concatenate([[0], np.cumsum(partners, dtype=np.int64)])
     at = 0
     while at < len(partners):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + _PORTION, "right")) - 1)
         n = partners[at:to]
-        i = np.repeat(place[at:to], n)
+        i = np.repeat(np.arange(at, to), n)
         j = np.arange(len(i)) + np.repeat(start[at:to] - (ends[at:to] - ends[at]), n)
         apart = classes[i] != classes[j]
         i, j = i[apart], j[apart]
@@ -604,7 +603,7 @@ def _links_within(
     found = np.split(every, np.cumsum(sizes)[:-1])
     owner = np.repeat(np.arange(n), sizes)
     second, apart = high[owner], bool(high.any())
-    tests = np.ascontiguousarray(every["bits"])
+    place = np.arange(len(every), dtype=np.int32)
     sets, tested, links = UnionFind(), np.zeros(0, np.int64), []
 
     def matches(table: int, stars: bool) -> Iterator[np.ndarray]:
@@ -614,14 +613,15 @@ def _links_within(
         key, after = key[order], second[order]
         opens = np.ones(len(key), bool)
         opens[1:] = key[1:] != key[:-1]
-        place = np.arange(len(key))
+        del key
         start = np.maximum.accumulate(np.where(opens, place, 0))
         partners = place - start
         if apart:
-            group = np.cumsum(opens) - 1
-            partners = np.where(after, np.bincount(group, weights=~after).astype(np.int64)[group], 0)
-        classes = np.array([sets.find(k) for k in range(n)])[owner[order]]
-        for i, j in _near_partners(tests[order], classes, start, partners, stars):
+            # Of a bucket, rows of the first block come first.
+            opens[1:] |= after[1:] != after[:-1]
+            partners = np.where(after, np.maximum.accumulate(np.where(opens, place, 0)) - start, 0)
+        classes = np.array([sets.find(k) for k in range(n)], np.int32)[owner[order]]
+        for i, j in _near_partners(every["bits"][order], classes, start, partners, stars):
             i, j = order[i], order[j]
             yield np.minimum(i, j) * n + owner[np.maximum(i, j)]
 
