@@ -7,6 +7,8 @@ track (``applyInPandas``).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -319,6 +321,20 @@ def smooth_heights(vertices: DataFrame, average: bool = False) -> DataFrame:
     return v.withColumn("z", F.coalesce(z, F.col("z"))).drop(*at)
 
 
+def _edge_distance(a, b) -> Column:
+    """From (x, y) to the edge of two literal corners.
+
+    The edge's direction is the difference of the decimals as written, not of their doubles,
+    so points that are equally far off a slanted edge don't differ by the corners' rounding.
+    """
+    x, y = F.col("x"), F.col("y")
+    dx, dy = (float(Decimal(repr(float(q))) - Decimal(repr(float(p)))) for p, q in zip(a, b, strict=True))
+    square = dx * dx + dy * dy
+    t = ((x - a[0]) * dx + (y - a[1]) * dy) / square if square else F.lit(0.0)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    return geodesy.planar_distance(a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]), x, y)
+
+
 def in_out_split(points: DataFrame, polygon, min_points: int = 2) -> DataFrame:
     """Add part and kind (``in``/``out``): a track cut where it comes into a region.
 
@@ -329,8 +345,8 @@ def in_out_split(points: DataFrame, polygon, min_points: int = 2) -> DataFrame:
     hit = inside(F.col("x"), F.col("y"), polygon)
     away = None
     for ring in polygon:
-        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
-            d = geodesy.point_segment_distance(*(F.lit(v) for v in (x1, y1, x2, y2)), F.col("x"), F.col("y"))
+        for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+            d = _edge_distance(a, b)
             away = d if away is None else F.least(away, d)
     w = track_order()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
