@@ -784,21 +784,23 @@ def route(nodes: DataFrame, arcs: DataFrame, trips: DataFrame, tolerance: float)
     """
     from .spatial_joins import snap_to_arcs
 
-    def ends(x: str, y: str, name: str):
-        p = trips.select("id", F.col(x).alias("x"), F.col(y).alias("y"))
-        s = snap_to_arcs(p, arcs, tolerance)
-        a = arcs.select(F.col("id").alias("arc_id"), "src", "dst", "x1", "y1", "x2", "y2")
-        d1 = geodesy.planar_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))
-        d2 = geodesy.planar_distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
-        near = F.least(F.struct(d1.alias("d"), F.col("src").alias("n")), F.struct(d2.alias("d"), F.col("dst").alias("n")))
-        return s.join(a, "arc_id").select(
-            F.col("point_id").alias("id"), near["n"].alias(name), (F.col("distance") + near["d"]).alias(f"{name}_step")
-        )
-
-    placed = trips.select("id").join(ends("x1", "y1", "source"), "id").join(ends("x2", "y2", "target"), "id")
+    arcs = cut(arcs)
+    place = lambda end, x, y: F.struct(F.lit(end).alias("end"), F.col(x).alias("x"), F.col(y).alias("y"))
+    both = trips.select("id", F.explode(F.array(place(0, "x1", "y1"), place(1, "x2", "y2"))).alias("at"))
+    s = snap_to_arcs(both.select(F.struct("id", "at.end").alias("id"), "at.x", "at.y"), arcs, tolerance)
+    a = arcs.select(F.col("id").alias("arc_id"), "src", "dst", "x1", "y1", "x2", "y2")
+    d1 = geodesy.planar_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))
+    d2 = geodesy.planar_distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
+    near = F.least(F.struct(d1.alias("d"), F.col("src").alias("n")), F.struct(d2.alias("d"), F.col("dst").alias("n")))
+    snapped = s.join(a, "arc_id").select("point_id.*", near["n"].alias("n"), (F.col("distance") + near["d"]).alias("step"))
+    of = lambda end, c: F.min(F.when(F.col("end") == end, F.col(c)))
+    placed = snapped.groupBy("id").agg(
+        of(0, "n").alias("source"), of(0, "step").alias("source_step"), of(1, "n").alias("target"), of(1, "step").alias("target_step")
+    ).where("source is not null and target is not null")
     half = both_ways(arcs.withColumn("weight", geodesy.planar_distance(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))))
     found = astar(nodes, half, placed.select("source", "target").distinct(), exact=True)
-    joined = trips.select("id").join(placed, "id", "left").join(found, ["source", "target"], "left")
+    # Both grow with the trips, so they are never broadcast.
+    joined = trips.select("id").join(placed.hint("merge"), "id", "left").join(found.hint("merge"), ["source", "target"], "left")
     return joined.select(
         "id",
         F.coalesce("exists", F.lit(False)).alias("exists"),
