@@ -64,7 +64,7 @@ def k04_track_set(spark, sf):
         F.lit(-1.0).alias("speed"), F.lit(-1.0).alias("direction"), F.create_map(F.lit("kind"), C("kind")).alias("extra"),
     )
     path = scratch(spark, "tracks")
-    P.write_track_set(g, path, files=8)
+    P.write_track_set(g, path, files=P.files_for(g, 8))
     back = P.read_track_set(spark, f"{path}/*/*.txt")
     return back.groupBy(C("traj_id").cast("bigint").alias("traj_id"), C("extra")["kind"].alias("kind")).agg(F.count("*").alias("n"), R(F.sum("x"), 4).alias("x"))
 

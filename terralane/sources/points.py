@@ -78,6 +78,10 @@ def with_two_points(points: DataFrame) -> DataFrame:
 
 def parse_track_set(text: str) -> list[tuple]:
     """(traj_id, crs, seq, x, y, ts, speed, direction, extra) of one track-set text."""
+    return list(_track_set_rows(text))
+
+
+def _track_set_rows(text: str):
     import re
 
     lines = iter(text.splitlines())
@@ -85,15 +89,13 @@ def parse_track_set(text: str) -> list[tuple]:
         raise ValueError("not a track-set text")
     count, separator = next(lines).split("\t")[:2]
     fields = next(lines).split("\t")
-    rows = []
     for _ in range(int(count)):
         name, n = next(lines).split("\t")[:2]
         crs = next(lines)
         for seq in range(int(n)):
             v = next(lines).split(separator)
             extra = dict(zip(fields[6:], v[6:], strict=False))
-            rows.append((name, crs, seq, *map(float, v[1:6]), extra))
-    return rows
+            yield (name, crs, seq, *map(float, v[1:6]), extra)
 
 
 TRACK_SET = (
@@ -103,14 +105,17 @@ TRACK_SET = (
 
 
 def read_track_set(spark: SparkSession, path: str) -> DataFrame:
-    """Track-set files, each read whole by one task."""
+    """Track-set files, each read whole by one task; ten thousand points at most are parsed at once."""
     def run(frames):
+        from itertools import islice
+
         import pandas as pd
 
         for frame in frames:
             for text in frame["value"]:
-                rows = parse_track_set(text)
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_SET.split(", ")])
+                rows = _track_set_rows(text)
+                while piece := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(piece, columns=[c.split()[0] for c in TRACK_SET.split(", ")])
 
     return spark.read.text(path, wholetext=True).mapInPandas(run, TRACK_SET)
 
@@ -153,6 +158,15 @@ def track_set_lines(
     return first.unionByName(names).unionByName(systems).unionByName(rows)
 
 
+#: Points of one track-set text, on average, where the number of texts follows the points.
+FILE_POINTS = 50_000
+
+
+def files_for(points: DataFrame, least: int = 1) -> int:
+    """How many texts hold ``FILE_POINTS`` points each, ``least`` at least: a text is read whole by one task."""
+    return max(least, -(-points.count() // FILE_POINTS))
+
+
 def write_track_set(points: DataFrame, path: str, files: int = 1, **settings) -> None:
     """One text or, with more ``files``, folders file=0, file=1, ... with a whole track set each.
 
