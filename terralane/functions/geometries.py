@@ -183,26 +183,71 @@ def hull(points):
     return half(rows) + half(rows[::-1])
 
 
-def hulls(points: DataFrame, key: str) -> DataFrame:
-    """key, hull of the points (x, y) of each key.
+def _chains(rows):
+    """(key, lower, upper) of each key of (key, x, y) in order: the two chains of its hull.
 
-    Partial hulls are made per partition first, so a group's points never meet in full.
+    Only the chains are held, however many points a key has.
     """
-    import pandas as pd
+    same = lambda a, b: a == b or (a != a and b != b)
+    key, low, high, last, any_row = None, [], [], None, False
+    for k, x, y in rows:
+        if not any_row or not same(k, key):
+            if any_row:
+                yield key, low, high
+            key, low, high, last, any_row = k, [], [], None, True
+        if x is None or y is None or x != x or y != y or (x, y) == last:
+            continue
+        last = (x, y)
+        while len(low) > 1 and (low[-1][0] - low[-2][0]) * (y - low[-2][1]) - (low[-1][1] - low[-2][1]) * (x - low[-2][0]) <= 0:
+            low.pop()
+        low.append(last)
+        while len(high) > 1 and (high[-1][0] - high[-2][0]) * (y - high[-2][1]) - (high[-1][1] - high[-2][1]) * (x - high[-2][0]) >= 0:
+            high.pop()
+        high.append(last)
+    if any_row:
+        yield key, low, high
+
 
-    def partial(frames):
-        for frame in frames:
-            rows = [
-                (k, x, y)
-                for k, g in frame.groupby(key, dropna=False)
-                for x, y in (hull(g[["x", "y"]].to_numpy()) or g[["x", "y"]].drop_duplicates().to_numpy())
-            ]
-            yield pd.DataFrame(rows, columns=[key, "x", "y"])
+def hulls(points: DataFrame, key: str) -> DataFrame:
+    """key, hull of the points (x, y) of each key.
 
-    def final(frame):
-        ring = hull(frame[["x", "y"]].to_numpy())
-        return pd.DataFrame({key: [frame[key].iloc[0]], "hull": [[{"x": x, "y": y} for x, y in ring]]})
+    Partial hulls are made per partition first, so a group's points never meet in full. Both
+    steps read points in order of key and place, and hold no more than one hull.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     kind = points.schema[key].dataType.simpleString()
-    some = points.select(key, "x", "y").mapInPandas(partial, f"{key} {kind}, x double, y double")
-    return some.groupBy(key).applyInPandas(final, f"{key} {kind}, hull {POINTS}")
+    flat, whole = f"`{key}` {kind}, x double, y double", f"`{key}` {kind}, hull {POINTS}"
+    flat_schema, whole_schema = (to_arrow_schema(_parse_datatype_string(s)) for s in (flat, whole))
+
+    def rows(batches):
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def pieces(made, size, schema):
+        import pyarrow as pa
+
+        held, n = [], 0
+        for row in made:
+            held.append(row)
+            n += size(row)
+            if n >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    def partial(batches):
+        made = ((k, x, y) for k, low, high in _chains(rows(batches)) for x, y in sorted({*low, *high}) or [(None, None)])
+        yield from pieces(made, lambda _: 1, flat_schema)
+
+    def final(batches):
+        named = lambda ring: [{"x": x, "y": y} for x, y in ring]
+        ring = lambda low, high: low[:-1] + high[:0:-1] if len({*low, *high}) > 2 else []
+        made = ((k, named(ring(low, high))) for k, low, high in _chains(rows(batches)))
+        yield from pieces(made, lambda r: len(r[1]) + 1, whole_schema)
+
+    some = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    some = some.sortWithinPartitions(key, "x", "y").mapInArrow(partial, flat)
+    return some.repartition(key).sortWithinPartitions(key, "x", "y").mapInArrow(final, whole)
