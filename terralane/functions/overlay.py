@@ -74,6 +74,23 @@ def fill_cells(rings: list, size: float) -> list[tuple[int, int]]:
     return out
 
 
+#: Bytes of Arrow data that become Python values at once: they take some thirty times as much.
+PIECE_BYTES = 262_144
+
+
+def _pieces(batch):
+    """Slices of a batch of ``PIECE_BYTES`` each, or of one row if that is larger."""
+    start = size = 0
+    for i in range(batch.num_rows):
+        own = batch.slice(i, 1).nbytes
+        if i > start and size + own > PIECE_BYTES:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += own
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _rows(df, columns: list[str], schema: str, make):
     """``make(values of a row)`` gives rows of the schema; nested values stay plain lists."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -85,10 +102,11 @@ def _rows(df, columns: list[str], schema: str, make):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [r for values in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in make(*values)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], [f.name for f in fields]
-            )
+            for piece in _pieces(batch):
+                rows = [r for values in zip(*(c.to_pylist() for c in piece.columns), strict=True) for r in make(*values)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], [f.name for f in fields]
+                )
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -115,3 +133,71 @@ def buffered(lines, radius: float, side: str = "both"):
     kind = lines.schema["id"].dataType.simpleString()
     make = lambda i, line: [(i, _named(buffer_line(_xy(line), radius, side)))]
     return _rows(lines, ["id", "line"], f"id {kind}, ring {_RING}", make)
+
+
+def _side(ax, ay, bx, by, px, py):
+    return np.sign((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+
+def _to_segment(ax, ay, bx, by, px, py):
+    square = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(square > 0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / square, 0.0)
+    t = np.clip(t, 0.0, 1.0)
+    x, y = ax + t * (bx - ax), ay + t * (by - ay)
+    return np.sqrt((y - py) * (y - py) + (x - px) * (x - px))
+
+
+def _between(v, a, b):
+    return (v >= np.minimum(a, b)) & (v <= np.maximum(a, b))
+
+
+def distance_to_edge(ax, ay, bx, by, cx, cy, dx, dy):
+    """As ``geodesy.segment_distance`` of arrays of segments and one edge: 0 if they meet."""
+    d1, d2 = _side(cx, cy, dx, dy, ax, ay), _side(cx, cy, dx, dy, bx, by)
+    d3, d4 = _side(ax, ay, bx, by, cx, cy), _side(ax, ay, bx, by, dx, dy)
+    on = lambda d, x, y, px, py, qx, qy: (d == 0) & _between(x, px, qx) & _between(y, py, qy)
+    meets = (
+        ((d1 * d2 < 0) & (d3 * d4 < 0))
+        | on(d1, ax, ay, cx, cy, dx, dy)
+        | on(d2, bx, by, cx, cy, dx, dy)
+        | on(d3, cx, cy, ax, ay, bx, by)
+        | on(d4, dx, dy, ax, ay, bx, by)
+    )
+    edge, own = (cx, cy, dx, dy), (ax, ay, bx, by)
+    ends = np.minimum(_to_segment(*edge, ax, ay), _to_segment(*edge, bx, by))
+    return np.where(meets, 0.0, np.minimum(ends, np.minimum(_to_segment(*own, cx, cy), _to_segment(*own, dx, dy))))
+
+
+def segment_distances(segments, edges):
+    """fid, region, distance: for each batch of segments (fid, x1, y1, x2, y2) the least of every fid.
+
+    ``edges`` (region, x1, y1, x2, y2) are a stated, small set that goes to all tasks; the least of
+    all batches is the least distance of a line.
+    """
+    sides: dict = {}
+    for r in edges.select("region", "x1", "y1", "x2", "y2").collect():
+        sides.setdefault(r.region, []).append(tuple(r)[1:])
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            keys = batch.column(0).dictionary_encode("encode")
+            code = keys.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            starts = np.nonzero(np.r_[True, np.diff(code[order]) > 0])[0]
+            names = pc.take(keys.dictionary, pa.array(code[order][starts]))
+            for region, own in sides.items():
+                d = distance_to_edge(*ends, *own[0])
+                for edge in own[1:]:
+                    d = np.minimum(d, distance_to_edge(*ends, *edge))
+                least = pa.array(np.fmin.reduceat(d[order], starts), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([names, pa.array([region] * len(starts), pa.string()), least], ["fid", "region", "distance"])
+
+    kind = segments.schema["fid"].dataType.simpleString()
+    return segments.select("fid", "x1", "y1", "x2", "y2").mapInArrow(run, f"fid {kind}, region string, distance double")
