@@ -122,16 +122,24 @@ def s08_shapefile(spark, sf):
 
 
 def s10_dbf(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand", (C("p_partkey") % 4).alias("file"))
+    """Parts written as tables of ten thousand rows at most, parsed again from their bytes."""
+    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
+    known = lambda v, kind: None if v is None or v != v else kind(v)
 
-    def run(frame):
+    def run(frames):
         import pandas as pd
 
-        rows = [{"k": int(r.p_partkey), "s": int(r.p_size), "p": float(r.p_retailprice), "b": r.p_brand} for r in frame.itertuples()]
-        back = files.parse_dbf(files.dbf_bytes(rows))[1]
-        return pd.DataFrame([(r["k"], r["s"], round(r["p"], 2), r["b"]) for r in back], columns=["k", "s", "p", "b"])
-
-    return part.groupBy("file").applyInPandas(run, "k bigint, s bigint, p double, b string")
+        for frame in frames:
+            for i in range(0, len(frame), 10_000):
+                rows = [
+                    {"k": known(k, int), "s": known(s, int), "p": known(p, float), "b": known(b, str)}
+                    for k, s, p, b in frame.iloc[i : i + 10_000].itertuples(index=False)
+                ]
+                back = files.parse_dbf(files.dbf_bytes(rows))[1]
+                out = [(r["k"], r["s"], known(r["p"], lambda p: round(p, 2)), r["b"]) for r in back]
+                yield pd.DataFrame(out, columns=["k", "s", "p", "b"], dtype=object)
+
+    return part.mapInPandas(run, "k bigint, s bigint, p double, b string")
 
 
 def s14_geotiff(spark, sf):
