@@ -382,9 +382,8 @@ def u04_same_sets(spark, sf):
 def f12_geometry_distance(spark, sf):
     """Least distance of every line to every region, through their segments."""
     seg = geometries.explode_segments(_lines(spark, sf)).select("fid", "x1", "y1", "x2", "y2")
-    scaled = spatial_joins.ring_edges(regions(spark)).select("region", *(((C(c) - b) * 100000).alias(f"r{c}") for c, b in (("x1", 116), ("y1", 39), ("x2", 116), ("y2", 39))))
-    d = geodesy.segment_distance(*(C(c) for c in ("x1", "y1", "x2", "y2", "rx1", "ry1", "rx2", "ry2")))
-    return seg.join(F.broadcast(scaled)).groupBy("fid", "region").agg(R(F.min(d), 3).alias("distance"))
+    scaled = spatial_joins.ring_edges(regions(spark)).select("region", *(((C(c) - b) * 100000).alias(c) for c, b in (("x1", 116), ("y1", 39), ("x2", 116), ("y2", 39))))
+    return overlay.segment_distances(seg, scaled).groupBy("fid", "region").agg(R(F.min("distance"), 3).alias("distance"))
 
 
 def f15_intersections(spark, sf):
